@@ -16,13 +16,23 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def shingles(column: str, width: int, hashed: bool) -> Column:
-    """Shingles of an array of words, repeats included; an array of fewer words is one shingle, an empty one none."""
-    w = F.col(column)
-    make = (lambda parts: F.xxhash64(*parts)) if hashed else (lambda parts: F.concat_ws(" ", *parts))
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: make([F.element_at(w, i + j) for j in range(width)]))
-    short = F.array(F.xxhash64(F.concat_ws(" ", w)) if hashed else F.concat_ws(" ", w))
-    return F.when(F.size(w) >= width, runs).when(F.size(w) > 0, short).otherwise(F.array().cast("array<bigint>" if hashed else "array<string>"))
+def shingles(words: Column, width: int, hashed: bool) -> Column:
+    """Shingles of an array of words, repeats included; an array of fewer words is one shingle, an empty one none.
+
+    The array is bound to a variable first, so that it is made once and not again for every shingle.
+    """
+    kind = "array<bigint>" if hashed else "array<string>"
+
+    def make(parts: list[Column]) -> Column:
+        return F.xxhash64(*parts) if hashed else F.concat_ws(" ", *parts)
+
+    def runs(w: Column) -> Column:
+        several = F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: make([F.element_at(w, i + j) for j in range(width)]))
+        whole = F.array_join(w, " ")
+        one = F.array(F.xxhash64(whole) if hashed else whole)
+        return F.when(F.size(w) >= width, several).when(F.size(w) > 0, one).otherwise(F.array().cast(kind))
+
+    return F.element_at(F.transform(F.array(words), runs), 1)
 
 
 def sketches(items: DataFrame, width: int, similarity: float, item_key: str, text: str) -> DataFrame:
@@ -33,7 +43,7 @@ def sketches(items: DataFrame, width: int, similarity: float, item_key: str, tex
     class's sketch size exceeds that for its largest items, so at least ``needed`` >= 1 of the item's
     bottom hashes are then in the document: no contained item escapes.
     """
-    sized = items.select(F.col(item_key).alias("item"), words(F.col(text)).alias("w")).select("item", F.array_sort(F.array_distinct(shingles("w", width, True))).alias("hashes"))
+    sized = items.select(F.col(item_key).alias("item"), F.array_sort(F.array_distinct(shingles(words(F.col(text)), width, True))).alias("hashes"))
     sized = sized.where(F.size("hashes") > 0).withColumn("n", F.size("hashes"))
     sized = sized.withColumn("class", F.floor(F.log2(F.col("n").cast("double"))).cast("int"))
     missed = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9)
@@ -56,15 +66,16 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, similarit
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     body = docs.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("body"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"))
-    probes = body.select("doc", "text_hash", words(F.col("body")).alias("w")).select("doc", "text_hash", F.explode(shingles("w", width, True)).alias("hash"))
+    probes = body.select("doc", "text_hash", F.explode(shingles(words(F.col("body")), width, True)).alias("hash"))
     hits = probes.join(wanted, "hash").groupBy("doc", "text_hash", "item", "needed").agg(F.count_distinct("hash").alias("hits"))
     pairs = materialise(hits.where("hits >= needed").select("doc", "text_hash", "item"), "candidates")
     texts = body.join(pairs.select("doc", "text_hash").distinct().withColumnsRenamed({"doc": "d", "text_hash": "h"}), F.col("doc").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left_semi")
     texts = texts.dropDuplicates(["doc", "text_hash"]).withColumnsRenamed({"doc": "d", "text_hash": "h"})
     both = pairs.join(texts, F.col("doc").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
-    own = items.select(F.col(item_key).alias("i"), words(F.col(item_text)).alias("w")).select("i", F.array_distinct(shingles("w", width, False)).alias("item_set"))
-    both = both.join(own, F.col("item").eqNullSafe(F.col("i"))).withColumn("w", words(F.col("body")))
-    found = both.select("doc", "text_hash", "item", F.size("item_set").cast("long").alias("item_shingles"), F.size(F.array_intersect("item_set", shingles("w", width, False))).cast("long").alias("shared"))
+    own = items.select(F.col(item_key).alias("i"), F.array_distinct(shingles(words(F.col(item_text)), width, False)).alias("item_set"))
+    both = both.join(own, F.col("item").eqNullSafe(F.col("i")))
+    held = F.size(F.array_intersect("item_set", shingles(words(F.col("body")), width, False)))
+    found = both.select("doc", "text_hash", "item", F.size("item_set").cast("long").alias("item_shingles"), held.cast("long").alias("shared"))
     found = found.withColumn("containment", F.col("shared") / F.col("item_shingles")).where(F.col("shared") >= F.col("item_shingles") * similarity - 1e-9)
     return found.select(F.col("doc").alias(key), "text_hash", F.col("item").alias(item_key), "shared", "item_shingles", "containment")
 
