@@ -35,15 +35,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(df: DataFrame) -> None:
-    """Delete a table that ``materialise`` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for part in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(part)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 _shipped: set[str] = set()
 
 
@@ -75,26 +66,30 @@ def fold_ascii(col):
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph: (node, component), component the smallest node.
 
-    ``edges`` has the columns a and b of one comparable type. Each round hooks every node and its
-    root to the smallest root among its neighbours and then halves paths, so rounds grow with the
-    logarithm of a component's diameter. Every round is a written table; only counts reach the
-    driver. Self loops keep their node. An empty input gives an empty result.
+    ``edges`` has the columns a and b of one comparable type; null ends are no edges, self loops keep
+    their node. Each round sends every node to its smallest neighbour, follows those pointers four
+    steps, and contracts the edges to the nodes reached, so that the graph at least halves and rounds grow
+    with the logarithm of its size. Every round's tables are written; only the number of edges left
+    reaches the driver. An empty input gives an empty result.
     """
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).where("u is not null and v is not null").distinct()
-    both = materialise(both, "cc-edges")
-    label = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("f")), "cc-label")
+    live = edges.where("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    live = materialise(live, "cc-edges")
+    label = None
     for _ in range(max_rounds):
-        near = both.join(label.select(F.col("u").alias("v"), F.col("f").alias("g")), "v").groupBy("u").agg(F.min("g").alias("g"))
-        moved = label.join(near, "u").select("u", "f", "g")
-        hooks = moved.select("u", F.least("f", "g").alias("f")).unionByName(moved.where("g < f").select(F.col("f").alias("u"), F.col("g").alias("f")))
-        hooked = hooks.groupBy("u").agg(F.min("f").alias("f"))
-        root = hooked.select(F.col("u").alias("f"), F.col("f").alias("r"))
-        halved = hooked.join(root, "f", "left").select("u", F.least("f", F.coalesce("r", "f")).alias("f"))
-        new = materialise(halved, "cc-label")
-        changed = new.join(label.withColumnRenamed("f", "was"), "u").where("f <> was").limit(1).count()
-        drop_scratch(label)
-        label = new
-        if not changed:
-            return label.select(F.col("u").alias("node"), F.col("f").alias("component"))
+        ends = live.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(live.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        up = ends.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("p"))
+        for _ in range(2):
+            above = up.select(F.col("u").alias("p"), F.col("p").alias("q"))
+            up = up.join(above, "p").select("u", F.col("q").alias("p"))
+        up = materialise(up, "cc-pointers")
+        to = up.select(F.col("u").alias("c"), F.col("p").alias("component"))
+        if label is None:
+            label = up.select(F.col("u").alias("node"), F.col("p").alias("component"))
+        else:
+            moved = label.withColumnRenamed("component", "c").join(to, "c", "left")
+            label = materialise(moved.select("node", F.coalesce("component", "c").alias("component")), "cc-labels")
+        pairs = live.where("a <> b").join(up.select(F.col("u").alias("a"), F.col("p").alias("pa")), "a").join(up.select(F.col("u").alias("b"), F.col("p").alias("pb")), "b").where("pa <> pb")
+        live = materialise(pairs.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "cc-edges")
+        if not live.limit(1).count():
+            return label
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
