@@ -18,11 +18,11 @@ def bag_scores(rows: DataFrame, keys: list[str], predicted: Column, gold: Column
     Tokens are counted a row and side first; no pair of tokens is ever formed.
     """
     both = rows.select(*keys, predicted.alias("_p"), gold.alias("_g"))
-    sides = [both.select(*keys, F.explode(T.tokens(F.col(c))).alias("t"), F.lit(int(c == "_p")).alias("p"), F.lit(int(c == "_g")).alias("g")) for c in ("_p", "_g")]
-    counts = sides[0].unionByName(sides[1]).groupBy(*keys, "t").agg(F.sum("p").alias("p"), F.sum("g").alias("g"))
-    sums = counts.groupBy(*keys).agg(F.sum(F.least("p", "g")).alias("m"), F.sum("p").alias("np"), F.sum("g").alias("ng"))
+    sides = [both.select(*keys, F.explode(T.tokens(F.col(c))).alias("_t"), F.lit(int(c == "_p")).alias("_a"), F.lit(int(c == "_g")).alias("_b")) for c in ("_p", "_g")]
+    counts = sides[0].unionByName(sides[1]).groupBy(*keys, "_t").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    sums = counts.groupBy(*keys).agg(F.sum(F.least("_a", "_b")).alias("_m"), F.sum("_a").alias("_na"), F.sum("_b").alias("_nb"))
     scored = both.join(sums, keys, "left")
-    f1 = F.when(F.coalesce("m", F.lit(0)) == 0, F.lit(0.0)).otherwise(2.0 * F.col("m") / (F.col("np") + F.col("ng")))
+    f1 = F.when(F.coalesce("_m", F.lit(0)) == 0, F.lit(0.0)).otherwise(2.0 * F.col("_m") / (F.col("_na") + F.col("_nb")))
     return scored.select(*keys, (F.col("_p") == F.col("_g")).cast("int").alias("em"), f1.alias("f1"))
 
 
@@ -165,8 +165,8 @@ def ngram_overlap(rows: DataFrame, key: str, n: int, predicted: str = "predicted
         units = F.split(F.regexp_replace(column, r"\s+", ""), "") if chars else T.tokens(F.col(column))
         return T.ngrams(units, n)
 
-    sides = [rows.select(key, F.explode(grams(c)).alias("g"), F.lit(int(c == predicted)).alias("p"), F.lit(int(c == gold)).alias("q")) for c in (predicted, gold)]
-    counts = sides[0].unionByName(sides[1]).groupBy(key, "g").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    sides = [rows.select(F.col(key).alias("_k"), F.explode(grams(c)).alias("_g"), F.lit(int(c == predicted)).alias("_p"), F.lit(int(c == gold)).alias("_q")) for c in (predicted, gold)]
+    counts = sides[0].unionByName(sides[1]).groupBy("_k", "_g").agg(F.sum("_p").alias("p"), F.sum("_q").alias("q"))
     return counts.agg(F.sum(F.least("p", "q")).alias("matches"), F.sum("p").alias("predicted_grams"), F.sum("q").alias("gold_grams"))
 
 
@@ -176,8 +176,8 @@ def bleu(rows: DataFrame, key: str, predicted: str = "predicted", gold: str = "g
     for n in range(1, 5):
         part = ngram_overlap(rows, key, n, predicted, gold).withColumn("n", F.lit(n))
         parts = part if parts is None else parts.unionByName(part)
-    logs = parts.agg(F.sum(F.log(F.col("matches") / F.col("predicted_grams")) / 4).alias("l"), F.max(F.when(F.col("n") == 1, F.col("predicted_grams"))).alias("p"), F.max(F.when(F.col("n") == 1, F.col("gold_grams"))).alias("g"), F.min("matches").alias("m"))
-    return logs.select(F.when(F.coalesce("m", F.lit(0)) == 0, 0.0).otherwise(100 * F.exp(F.col("l") + F.least(F.lit(0.0), 1 - F.col("g") / F.col("p")))).alias("bleu"))
+    logs = parts.agg(F.sum(F.log(F.try_divide("matches", "predicted_grams")) / 4).alias("l"), F.max(F.when(F.col("n") == 1, F.col("predicted_grams"))).alias("p"), F.max(F.when(F.col("n") == 1, F.col("gold_grams"))).alias("g"), F.min("matches").alias("m"))
+    return logs.select(F.when(F.coalesce("m", F.lit(0)) == 0, 0.0).otherwise(100 * F.exp(F.col("l") + F.least(F.lit(0.0), 1 - F.try_divide("g", "p")))).alias("bleu"))
 
 
 def regex_pick(response: Column, pattern: str, group: int = 0, select: int = 0, fallback: str = "[invalid]") -> Column:
