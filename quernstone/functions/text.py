@@ -99,9 +99,16 @@ def tokens(text: Column) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """Sliding n-word strings of an array of words; fewer words give none."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>"))
+    """Sliding n-word strings of an array of words; fewer words give none.
+
+    The array is bound to a variable first, so that it is made once and not again for every gram.
+    """
+
+    def runs(w: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    return F.element_at(F.transform(F.array(words), runs), 1)
 
 
 def chunk(text: Column, size: int, overlap: int = 0) -> Column:
