@@ -127,34 +127,45 @@ def neighbourhood_edges(edges: DataFrame, reached: DataFrame, hops: int, leaf: C
 def personalised_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float, iterations: int, tolerance: float | None = None) -> DataFrame:
     """(qid, name, rank): PageRank with restarts in each question's seeds (qid, name, weight).
 
-    Edges are unweighted and parallel ones count once; rank starts even; nodes without out-edges give theirs to
-    the seeds. Contributions are summed before they shuffle; each round is a written table. Stops after
-    ``iterations`` rounds, or when the change is below ``tolerance`` times the number of nodes.
+    Edges are unweighted and parallel ones count once; rank starts even over all nodes; nodes without out-edges
+    give theirs to the seeds. The walk is linear, so the even start is walked once for all questions, and a
+    question's own state holds only nodes that its seeds have reached; no question is ever joined with all nodes.
+    The result has the nodes reached; any other has what is left of the even start there, the same for every
+    question. What a round loses in dead ends is its sum before less its sum after, so no join finds them.
+    Stops after ``iterations`` rounds, or when the change is below ``tolerance`` times the number of nodes.
     """
     links = edges.select("src", "dst").distinct()
     links = cut(links.join(links.groupBy("src").agg(F.count("*").alias("out")), "src"), "ppr-links")
     nodes = cut(links.select(F.col("src").alias("name")).unionAll(links.select("dst")).distinct(), "ppr-nodes")
-    total = nodes.count()
-    sinks = nodes.join(links.select(F.col("src").alias("name")).distinct(), "name", "left_anti").withColumn("sink", F.lit(True))
+    total = max(nodes.count(), 1)
     known = seeds.join(nodes, "name", "left_semi")
     mass = known.groupBy("qid").agg(F.sum("weight").alias("all"))
-    restart = known.join(mass, "qid").groupBy("qid", "name").agg((F.sum("weight") / F.first("all")).alias("p"))
-    base = mass.select("qid").crossJoin(nodes).join(restart, ["qid", "name"], "left").join(sinks, "name", "left")
-    base = cut(base.select("qid", "name", F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("sink", F.lit(False)).alias("sink")), "ppr-base")
-    rank = base.select("qid", "name", F.lit(1.0 / max(total, 1)).alias("rank"), "sink")
+    restart = cut(known.join(mass, "qid").groupBy("qid", "name").agg((F.sum("weight") / F.first("all")).alias("p")), "ppr-restart")
+    even, even_sum = nodes.withColumn("rank", F.lit(1.0 / total)), 1.0
+    own = restart.select("qid", "name", F.lit(0.0).alias("rank")).limit(0)
+
+    def step(state: DataFrame, by: list[str]) -> DataFrame:
+        return state.withColumnRenamed("name", "src").join(links, "src").groupBy(*by, F.col("dst").alias("name")).agg((alpha * F.sum(F.col("rank") / F.col("out"))).alias("rank"))
+
     for _ in range(iterations):
-        moved = rank.select("qid", F.col("name").alias("src"), "rank").join(links, "src").groupBy("qid", F.col("dst").alias("name")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        lost = rank.groupBy("qid").agg(F.sum(F.when(F.col("sink"), F.col("rank")).otherwise(0.0)).alias("lost"))
-        now = base.join(moved, ["qid", "name"], "left").join(lost, "qid")
-        now = now.select("qid", "name", (alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("p")) + (1 - alpha) * F.col("p")).alias("rank"), "sink")
-        now = cut(now, "ppr-rank")
+        next_even = cut(step(even, []), "ppr-even")
+        kept = next_even.agg(F.sum("rank")).first()[0] or 0.0
+        lost_even, even_sum = alpha * even_sum - kept, kept
+        moved = cut(step(own, ["qid"]), "ppr-moved")
+        before = own.groupBy("qid").agg(F.sum("rank").alias("was")).join(moved.groupBy("qid").agg(F.sum("rank").alias("now")), "qid", "left")
+        lost = before.select("qid", (alpha * F.col("was") - F.coalesce("now", F.lit(0.0))).alias("lost"))
+        back = restart.join(lost, "qid", "left").select("qid", "name", ((F.coalesce("lost", F.lit(0.0)) + lost_even + 1 - alpha) * F.col("p")).alias("rank"))
+        now = cut(moved.unionByName(back).groupBy("qid", "name").agg(F.sum("rank").alias("rank")), "ppr-rank")
+        settled = False
         if tolerance is not None:
-            change = now.join(rank.select("qid", "name", F.col("rank").alias("was")), ["qid", "name"]).groupBy("qid").agg(F.sum(F.abs(F.col("rank") - F.col("was"))).alias("d")).agg(F.max("d")).first()[0]
-            if change is None or change < total * tolerance:
-                rank = now
-                break
-        rank = now
-    return rank.select("qid", "name", "rank")
+            gap = lambda a, b, by: a.join(b.withColumnRenamed("rank", "was"), by, "full").select(*by, F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))).alias("d"))
+            change = gap(now, own, ["qid", "name"]).groupBy("qid").agg(F.sum("d").alias("d")).agg(F.max("d")).first()[0] or 0.0
+            change += gap(next_even, even, ["name"]).agg(F.sum("d")).first()[0] or 0.0
+            settled = change < total * tolerance
+        own, even = now, next_even
+        if settled:
+            break
+    return own.join(even.withColumnRenamed("rank", "even"), "name", "left").select("qid", "name", (F.col("rank") + F.coalesce("even", F.lit(0.0))).alias("rank"))
 
 
 def paths(edges: DataFrame, starts: DataFrame, depth: int, width: int | None = None, score: Column | None = None, both_ways: bool = False) -> DataFrame:

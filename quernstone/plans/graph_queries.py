@@ -236,8 +236,10 @@ def o9(spark, sf):
     r0 as (select qid, name, p, sink, 1.0 / (select n from n) as x from base),
     """ + ",\n".join(f"""g{i} as (select r.qid, l.dst as name, sum(r.x / o.k) as got from r{i - 1} r join links l on l.src = r.name join outs o on o.src = r.name group by 1, 2),
     d{i} as (select qid, sum(case when sink then x else 0 end) as lost from r{i - 1} group by qid),
-    r{i} as (select r.qid, r.name, r.p, r.sink, 0.9 * (coalesce(g.got, 0) + d.lost * r.p) + 0.1 * r.p as x from r{i - 1} r left join g{i} g on g.qid = r.qid and g.name = r.name join d{i} d on d.qid = r.qid)""" for i in range(1, 11)) + """
-    select qid, name, round(x, 9) as rank from r10""")
+    r{i} as (select r.qid, r.name, r.p, r.sink, 0.9 * (coalesce(g.got, 0) + d.lost * r.p) + 0.1 * r.p as x from r{i - 1} r left join g{i} g on g.qid = r.qid and g.name = r.name join d{i} d on d.qid = r.qid)""" for i in range(1, 11)) + """,
+    e0 as (select name, 1.0 / (select n from n) as x from nodes),
+    """ + ",\n".join(f"e{i} as (select l.dst as name, 0.9 * sum(e.x / o.k) as x from e{i - 1} e join links l on l.src = e.name join outs o on o.src = e.name group by 1)" for i in range(1, 11)) + """
+    select qid, r10.name, round(r10.x, 9) as rank from r10 left join e10 on e10.name = r10.name where r10.x - coalesce(e10.x, 0) > 1e-12""")
 def g5(spark, sf):
     edges = V.geography(spark, sf)
     seeds = edges.where("relation = 'part of'").select(F.substring_index("dst", " ", -1).cast("long").alias("qid"), F.col("src").alias("name"), F.lit(1.0).alias("weight"))
