@@ -119,7 +119,9 @@ def test_long_postings_lose_no_link(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, got.values()))
 
 
-def test_components_of_chains(spark):
+@pytest.mark.parametrize("small", [0, 5, common.SMALL_GRAPH])
+def test_components_of_chains(spark, monkeypatch, small):
+    monkeypatch.setattr(common, "SMALL_GRAPH", small)
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1001), (7, 7), (2000, 2000)]
     got = {r["node"]: r["component"] for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == dict.fromkeys(range(201), 0) | {1000: 1000, 1001: 1000, 2000: 2000}
@@ -222,15 +224,13 @@ def test_packing(docs, rows, odd, none):
     assert packing.pack(none).count() == 0
 
 
-def brute_repeats(texts, sentences=2, words=20):
-    first, found = {}, []
-    for d, t in texts:
-        for h, i, n in span_dedup.spans(t or "", sentences, words):
-            found.append((h, d is None, d or 0, xxhash.xxh64_intdigest((t or "").encode(), 42), i, n, d, t))
-    # a place is compared by key and position; equal rows are one document
-    for h, *place in found:
-        first.setdefault(h, set()).add(tuple(place[:2]))
-    return first, found
+@pytest.mark.parametrize("text", ["İstanbul İ ÇA ça's don't we'll", "a.b c,, d!! (e) f| \"g\" '' '", "x1 2y ßẞ ǅ ŉ ﬁ ½ ²", "e\u0301a \u0301 a\xa0b a\x1cb a\u2028b", "<|endoftext|> a<|startoftext|>b.", "The THE the. tHe," * 3, "<|ENDOFTEXT|> a, b. c,. d!, e., (f) 'g.' h.\n_i_ --j-- |k| l", "a.b, c, d , . e\u0301, É. é.", "中文 字 ñandú ÑANDÚ. Σας ΣΑΣ"])
+def test_word_ids_are_the_tokenizers(text):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    memo = packing.WordIds(path)
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    for _ in range(2):
+        assert [np.frombuffer(i, "<u4").tolist() for i in memo.texts([text.encode(), None])] == [want, []]
 
 
 def test_repeated_spans(docs, rows):

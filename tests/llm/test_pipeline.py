@@ -60,7 +60,7 @@ def test_near_duplicate_groups(docs):
 
 
 def test_large_group_of_near_copies(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "POSTING_PAIRS", 8)
+    monkeypatch.setattr(simhash, "WIDE_PAIRS", 4)
     rng = np.random.default_rng(2)
     words = [f"w{x}" for x in rng.integers(0, 3000, 200)]
     rows = []
@@ -92,7 +92,7 @@ def test_pipeline_stages(spark, docs):
             assert not any(pii.base_spans(t) for t in after.values())
     pieces = corpus_pipeline.STAGES[-1][1](spark, at, SF)
     tokens = packing.word_ids(packing.public_tokenizers.path("word_bpe_49k.json"))
-    assert sum(r["length"] for r in pieces.collect()) == sum(len(tokens.text(t.encode())) // 4 + 1 for t in after.values())
+    assert sum(r["length"] for r in pieces.collect()) == sum(len(i) // 4 + 1 for i in tokens.texts([t.encode() for t in after.values()]))
 
 
 def test_run_and_odd_tables(spark, tmp_path):
