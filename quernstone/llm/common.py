@@ -2,27 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import shared_dir, ship_package
+
 #: Rows of an Arrow batch sent to Python: bounds a worker's memory when texts are long.
 BATCH_ROWS = 500
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="quernstone-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark)}/quernstone/{name}-{uuid.uuid4().hex}"
@@ -32,24 +24,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
-_shipped: set[str] = set()
 
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, once an application, for clusters that have no copy on their path."""
-    application = spark.sparkContext.applicationId
-    if application in _shipped:
-        return
-    top = Path(__file__).resolve().parents[1]
-    at = Path(tempfile.mkdtemp(prefix="quernstone-")) / f"{top.name}.zip"
-    with zipfile.ZipFile(at, "w") as out:
-        for f in sorted(top.rglob("*.py")):
-            out.write(f, f.relative_to(top.parent))
-    spark.sparkContext.addPyFile(str(at))
-    _shipped.add(application)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote, once nothing that is still to run reads them."""
+    for df in tables:
+        if path := getattr(df, "_scratch", None):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -63,19 +48,58 @@ def fold_ascii(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Edges up to which one task finishes a contracted graph: two longs each, counted first.
+SMALL_GRAPH = 1_000_000
+
+
+def _finish(live: DataFrame) -> DataFrame:
+    """(c, component) of a graph of at most SMALL_GRAPH edges, by union-find in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict = {}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                root.setdefault(a, a)
+                root.setdefault(b, b)
+                a, b = find(a), find(b)
+                root[max(a, b)] = min(a, b)
+        if root:
+            yield pa.RecordBatch.from_arrays([pa.array(root.keys(), kind), pa.array([find(x) for x in root], kind)], ["c", "component"])
+
+    kind = live.schema["a"].dataType.simpleString()
+    return materialise(live.coalesce(1).mapInArrow(run, f"c {kind}, component {kind}"), "cc-finish")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph: (node, component), component the smallest node.
 
     ``edges`` has the columns a and b of one comparable type; null ends are no edges, self loops keep
     their node. Each round sends every node to its smallest neighbour, follows those pointers four
     steps, and contracts the edges to the nodes reached, so that the graph at least halves and rounds grow
-    with the logarithm of its size. Every round's tables are written; only the number of edges left
-    reaches the driver. An empty input gives an empty result.
+    with the logarithm of its size; a graph of at most SMALL_GRAPH edges is finished in one task. Every
+    round's tables are written; only the number of edges left reaches the driver. An empty input gives
+    an empty result.
     """
     live = edges.where("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     live = materialise(live, "cc-edges")
     label = None
     for _ in range(max_rounds):
+        if live.count() <= SMALL_GRAPH:
+            done = _finish(live)
+            discard(live)
+            if label is None:
+                return done.withColumnRenamed("c", "node")
+            moved = label.withColumnRenamed("component", "c").join(done, "c", "left")
+            return moved.select("node", F.coalesce("component", "c").alias("component"))
         ends = live.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(live.select(F.col("b").alias("u"), F.col("a").alias("v")))
         up = ends.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("p"))
         for _ in range(2):
@@ -83,13 +107,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             up = up.join(above, "p").select("u", F.col("q").alias("p"))
         up = materialise(up, "cc-pointers")
         to = up.select(F.col("u").alias("c"), F.col("p").alias("component"))
+        was = label
         if label is None:
-            label = up.select(F.col("u").alias("node"), F.col("p").alias("component"))
+            label = materialise(to.withColumnRenamed("c", "node"), "cc-labels")
         else:
-            moved = label.withColumnRenamed("component", "c").join(to, "c", "left")
+            moved = was.withColumnRenamed("component", "c").join(to, "c", "left")
             label = materialise(moved.select("node", F.coalesce("component", "c").alias("component")), "cc-labels")
+            discard(was)
         pairs = live.where("a <> b").join(up.select(F.col("u").alias("a"), F.col("p").alias("pa")), "a").join(up.select(F.col("u").alias("b"), F.col("p").alias("pb")), "b").where("pa <> pb")
-        live = materialise(pairs.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "cc-edges")
-        if not live.limit(1).count():
-            return label
+        contracted = materialise(pairs.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "cc-edges")
+        discard(live, up)
+        live = contracted
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -32,16 +32,20 @@ class Space:
     def __init__(self, dimensions: int = DIMENSIONS):
         letters = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (SYMBOLS, dimensions))
         self.first, self.second, self.third = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1), letters
-        self.bound = np.zeros((SYMBOLS**3, dimensions), np.int8)
-        self.made = np.zeros(SYMBOLS**3, bool)
+        self.bound = np.zeros((1024, dimensions), np.int8)
+        self.made = 0
+        self.slot = np.full(SYMBOLS**3, -1, np.int32)
         self.symbols = np.array([_symbol(c) for c in range(_TABLE_SIZE)], np.int64)
 
     def vectors(self, trigrams: np.ndarray) -> np.ndarray:
-        new = trigrams[~self.made[trigrams]]
+        new = np.unique(trigrams[self.slot[trigrams] < 0])
         if len(new):
-            self.bound[new] = self.first[new >> 12] * self.second[new >> 6 & 63] * self.third[new & 63]
-            self.made[new] = True
-        return self.bound[trigrams]
+            while self.made + len(new) > len(self.bound):
+                self.bound = np.concatenate([self.bound, np.zeros_like(self.bound)])
+            self.slot[new] = np.arange(self.made, self.made + len(new))
+            self.bound[self.made : self.made + len(new)] = self.first[new >> 12] * self.second[new >> 6 & 63] * self.third[new & 63]
+            self.made += len(new)
+        return self.bound[self.slot[trigrams]]
 
     def trigrams(self, text: str) -> np.ndarray:
         """Ids of the letter trigrams of a text, a run of other characters counting as one blank."""

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected_components, materialise
+from .common import bounded_batches, connected_components, discard, materialise
 
 #: Postings of up to this many distinct fingerprints are compared pair by pair; longer ones go the exact neighbour way.
 POSTING_PAIRS = 32
@@ -133,9 +133,9 @@ WIDE_SHINGLE = 2
 TABLES = 64
 KEY_BYTES = 3
 #: Positions out of WIDE_BYTES that a candidate pair must share. A pair at the similarity wanted has about 29 in common, an unrelated one about one.
-LEAST_SHARED = 12
-#: Texts of a long posting that all its others are compared with in a round.
-LEADERS = 8
+LEAST_SHARED = 14
+#: Postings of up to this many texts are paired up; in longer ones all are compared with one.
+WIDE_PAIRS = 8
 
 
 def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
@@ -189,16 +189,17 @@ def _postings(nodes: DataFrame) -> DataFrame:
 
 
 def _count_filter(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose tally of shared positional bytes reaches LEAST_SHARED."""
+    """(a, b, star, ok) of pairs (a, b, star): ok if their tally of shared positional bytes reaches LEAST_SHARED. Others stay only as stars."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, WIDE_BYTES) for i in (2, 3))
-            kept = pa.array((a == b).sum(1) >= LEAST_SHARED)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, WIDE_BYTES) for i in (3, 4))
+            ok = pa.array((a == b).sum(1) >= LEAST_SHARED)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], ok], ["a", "b", "star", "ok"])
 
     fa, fb = nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa")), nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
-    return pairs.join(fa, "a").join(fb, "b").select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long")
+    rows = pairs.join(fa, "a").join(fb, "b").select("a", "b", "star", "fa", "fb")
+    return rows.mapInArrow(run, "a long, b long, star boolean, ok boolean").where("ok or star")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float, key: str, text: str) -> DataFrame:
@@ -208,7 +209,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, s
     body = F.col(text).cast("string")
     texts = docs.select(F.col(key).alias("doc"), F.xxhash64(body).alias("text_hash"), body.alias("body"))
     texts = texts.join(places, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))).select("node", "body")
-    texts = materialise(texts, "pair-texts").dropDuplicates(["node"])
+    texts = materialise(texts.dropDuplicates(["node"]), "pair-texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,47 +222,91 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, s
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
 
     ta, tb = (texts.select(F.col("node").alias(n), F.col("body").alias(f"t{n}")) for n in "ab")
-    return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    out = materialise(pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "verified")
+    discard(texts)
+    return out
+
+
+def _crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs between different components so far, with these as ca < cb."""
+    la, lb = (labels.select(F.col("node").alias(n), F.col("component").alias(f"l{n}")) for n in "ab")
+    both = pairs.join(la, "a", "left").join(lb, "b", "left").select(*pairs.columns, F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
+    return both.where("la <> lb").select(*pairs.columns, F.least("la", "lb").alias("ca"), F.greatest("la", "lb").alias("cb"))
+
+
+def _joined(candidates: DataFrame, links: DataFrame, labels: DataFrame | None, verify) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """(links, labels, stars that still cross) with all ``ok`` candidates decided, verifying only pairs that can still join two components.
+
+    First every text is verified against its smallest candidate, then one pair of any two components, then
+    all pairs that still cross: within a group that has come together none is verified any more. What
+    crosses no longer is left out of the next step's table.
+    """
+    for picked in (lambda c: c.groupBy("b").agg(F.min("a").alias("a")), lambda c: c.groupBy("ca", "cb").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"), lambda c: c):
+        crossing = candidates
+        if labels is not None:
+            crossing = materialise(_crossing(candidates, labels), "crossing")
+            discard(candidates)
+        candidates = crossing.select("a", "b", "star", "ok")
+        if not crossing.where("ok").limit(1).count():
+            break
+        chosen = materialise(picked(crossing.where("ok")).select("a", "b"), "chosen")
+        found = verify(chosen)
+        more = materialise(links.unionByName(found), "links")
+        done = candidates.join(chosen.withColumn("done", F.lit(True)), ["a", "b"], "left").withColumn("ok", F.col("ok") & F.col("done").isNull())
+        candidates = materialise(done.where("ok or star").select("a", "b", "star", "ok"), "candidates")
+        discard(links, found, chosen, crossing, *([labels] if labels is not None else []))
+        links, labels = more, connected_components(more)
+    stars = candidates.where("star").select("a", "b")
+    if labels is not None:
+        stars = _crossing(stars, labels).select("a", "b")
+    return links, labels, materialise(stars, "strays")
 
 
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, text_hash, node, component) for every row: groups of texts similar by their word shingles.
 
     Candidates come from wide SimHash fingerprints through the positional index: texts that agree in the
-    bytes of one of TABLES keys and in at least LEAST_SHARED positions. All candidates are verified by
-    the Jaccard similarity of their ``width``-word shingle sets, so no unlike texts are grouped; a pair at
-    0.8 is missed with a chance of about one in a hundred or less. Texts of equal words are one node. A
-    posting of up to POSTING_PAIRS nodes is paired up; in a longer one every node is compared with LEADERS
-    leaders a round, those unlike all of them going on to the next round's leaders until none is left, so
-    that a group of any size costs rows in proportion.
+    bytes of one of TABLES keys and in at least LEAST_SHARED positions. Links are verified by the
+    Jaccard similarity of the ``width``-word shingle sets, so no unlike texts are linked; a pair at
+    0.8 is missed with a chance of about one in a hundred. Texts of equal words are one node. A posting of up
+    to WIDE_PAIRS nodes is paired up. In a longer one all nodes are compared with its smallest, and those
+    that don't come together with it make a posting of their own for the next round, in which four times as
+    many are paired up, until none is left: a group of any size costs rows in proportion, and no node goes
+    uncompared.
     """
     base = materialise(_wide(docs, key, text), "wide")
     nodes = base.groupBy("node").agg(F.min(F.struct("doc", "text_hash", "fp")).alias("r")).select("node", "r.*")
     nodes = materialise(nodes, "wide-nodes")
     index = materialise(_postings(nodes), "postings")
-    sizes = materialise(index.groupBy("posting").agg(F.count("*").alias("n")).where("n > 1"), "posting-sizes")
-    shared = index.join(sizes, "posting")
-    short = shared.where(F.col("n") <= POSTING_PAIRS).select("posting", "node")
-    pairs = short.withColumnRenamed("node", "a").join(short.withColumnRenamed("node", "b"), "posting").where("a < b").select("a", "b").distinct()
-    links = materialise(_verified(materialise(_count_filter(pairs, nodes), "candidates"), nodes, docs, width, similarity, key, text), "links")
-    left = materialise(shared.where(F.col("n") > POSTING_PAIRS).select("posting", "node"), "long-postings")
+    sizes = index.groupBy("posting").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
+    left = materialise(index.join(sizes, "posting"), "shared-postings")
+    discard(index)
+    links = materialise(nodes.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b")), "links")
+    labels = None
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return _verified(pairs, nodes, docs, width, similarity, key, text)
+
+    limit = WIDE_PAIRS
     while left.limit(1).count():
-        first = materialise(_least_nodes(left), "leaders")
-        against = left.join(first, "posting").where("node <> leader").select("posting", F.col("leader").alias("a"), F.col("node").alias("b"))
-        tried = against.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        tried = tried.join(links, ["a", "b"], "left_anti")
-        fresh = materialise(_verified(materialise(_count_filter(tried, nodes), "candidates"), nodes, docs, width, similarity, key, text), "links")
-        links = materialise(links.unionByName(fresh), "links")
-        joined = against.join(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_semi").select("posting", F.col("b").alias("node"))
-        done = joined.unionByName(first.select("posting", F.col("leader").alias("node"))).distinct()
-        left = materialise(left.join(done, ["posting", "node"], "left_anti"), "long-postings")
-    parts = connected_components(links)
-    return base.select("doc", "text_hash", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).select("doc", "text_hash", "node", "component")
-
-
-def _least_nodes(left: DataFrame) -> DataFrame:
-    """(posting, leader): the smallest node of each of LEADERS residue classes of a posting, one aggregation that combines in every task."""
-    return left.groupBy("posting", F.pmod("node", F.lit(LEADERS)).alias("class")).agg(F.min("node").alias("leader")).select("posting", "leader")
+        short = left.where(F.col("n") <= limit).select("posting", "node")
+        pairs = short.withColumnRenamed("node", "a").join(short.withColumnRenamed("node", "b"), "posting").where("a < b").select("a", "b", F.lit(False).alias("star"))
+        long = left.where((F.col("n") > limit) & (F.col("node") != F.col("least")))
+        stars = long.select(F.col("least").alias("a"), F.col("node").alias("b"), F.lit(True).alias("star"))
+        met = pairs.unionByName(stars).groupBy("a", "b").agg(F.bool_or("star").alias("star"))
+        candidates = materialise(_count_filter(met, nodes), "candidates")
+        links, labels, strays = _joined(candidates, links, labels, verify)
+        apart = strays.withColumnsRenamed({"a": "least", "b": "node"})
+        rest = materialise(long.select("posting", "node", "least").join(apart, ["least", "node"], "left_semi").select("posting", "node"), "rest")
+        sizes = rest.groupBy("posting").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
+        again = materialise(rest.join(sizes, "posting"), "shared-postings")
+        discard(left, rest, strays)
+        left = again
+        limit *= 4  # what stays apart is few and unlike
+    if labels is None:
+        return base.select("doc", "text_hash", "node", F.col("node").alias("component"))
+    out = base.select("doc", "text_hash", "node").join(labels, "node", "left")
+    return out.select("doc", "text_hash", "node", F.coalesce("component", "node").alias("component"))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
