@@ -134,8 +134,11 @@ TABLES = 64
 KEY_BYTES = 3
 #: Positions out of WIDE_BYTES that a candidate pair must share. A pair at the similarity wanted has about 29 in common, an unrelated one about one.
 LEAST_SHARED = 14
-#: Postings of up to this many texts are paired up; in longer ones all are compared with one.
+#: Postings of up to this many texts are paired up; in longer ones all are first compared with one.
 WIDE_PAIRS = 8
+#: Texts of a long posting that one row holds of either side, and the likeliest partners a text is verified with in the first round.
+WIDE_BLOCK = 512
+PARTNERS = 4
 
 
 def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
@@ -189,17 +192,17 @@ def _postings(nodes: DataFrame) -> DataFrame:
 
 
 def _count_filter(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, star, ok) of pairs (a, b, star): ok if their tally of shared positional bytes reaches LEAST_SHARED. Others stay only as stars."""
+    """The pairs (a, b) whose tally of shared positional bytes reaches LEAST_SHARED."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, WIDE_BYTES) for i in (3, 4))
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, WIDE_BYTES) for i in (2, 3))
             ok = pa.array((a == b).sum(1) >= LEAST_SHARED)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], ok], ["a", "b", "star", "ok"])
+            yield pa.RecordBatch.from_arrays([c.filter(ok) for c in batch.columns[:2]], ["a", "b"])
 
     fa, fb = nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa")), nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
-    rows = pairs.join(fa, "a").join(fb, "b").select("a", "b", "star", "fa", "fb")
-    return rows.mapInArrow(run, "a long, b long, star boolean, ok boolean").where("ok or star")
+    rows = pairs.join(fa, "a").join(fb, "b").select("a", "b", "fa", "fb")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float, key: str, text: str) -> DataFrame:
@@ -234,8 +237,8 @@ def _crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.where("la <> lb").select(*pairs.columns, F.least("la", "lb").alias("ca"), F.greatest("la", "lb").alias("cb"))
 
 
-def _joined(candidates: DataFrame, links: DataFrame, labels: DataFrame | None, verify) -> tuple[DataFrame, DataFrame | None, DataFrame]:
-    """(links, labels, stars that still cross) with all ``ok`` candidates decided, verifying only pairs that can still join two components.
+def _joined(candidates: DataFrame, links: DataFrame, labels: DataFrame | None, verify) -> tuple[DataFrame, DataFrame | None]:
+    """(links, labels) with all candidates decided, verifying only pairs that can still join two components.
 
     First every text is verified against its smallest candidate, then one pair of any two components, then
     all pairs that still cross: within a group that has come together none is verified any more. What
@@ -246,20 +249,69 @@ def _joined(candidates: DataFrame, links: DataFrame, labels: DataFrame | None, v
         if labels is not None:
             crossing = materialise(_crossing(candidates, labels), "crossing")
             discard(candidates)
-        candidates = crossing.select("a", "b", "star", "ok")
-        if not crossing.where("ok").limit(1).count():
+        if not crossing.limit(1).count():
             break
-        chosen = materialise(picked(crossing.where("ok")).select("a", "b"), "chosen")
+        chosen = materialise(picked(crossing).select("a", "b"), "chosen")
         found = verify(chosen)
         more = materialise(links.unionByName(found), "links")
-        done = candidates.join(chosen.withColumn("done", F.lit(True)), ["a", "b"], "left").withColumn("ok", F.col("ok") & F.col("done").isNull())
-        candidates = materialise(done.where("ok or star").select("a", "b", "star", "ok"), "candidates")
+        candidates = materialise(crossing.select("a", "b").join(chosen, ["a", "b"], "left_anti"), "candidates")
         discard(links, found, chosen, crossing, *([labels] if labels is not None else []))
         links, labels = more, connected_components(more)
-    stars = candidates.where("star").select("a", "b")
+    return links, labels
+
+
+def _apart(index: DataFrame, nodes: DataFrame, labels: DataFrame | None, partners: int) -> DataFrame:
+    """(a, b, cut): pairs of different components in the postings ``index`` (posting, node), for each text its likeliest ``partners`` a block.
+
+    Of a posting only the texts outside its largest component need partners, so one come together costs nothing.
+    Both sides are dealt in blocks; a pair whose tally of shared bytes is under LEAST_SHARED is never a row.
+    ``cut`` says that a text had more partners than it was given.
+    """
+    known = index.join(nodes.select("node", "fp"), "node")
     if labels is not None:
-        stars = _crossing(stars, labels).select("a", "b")
-    return links, labels, materialise(stars, "strays")
+        known = known.join(labels, "node", "left")
+    else:
+        known = known.withColumn("component", F.lit(None).cast("long"))
+    known = materialise(known.select("posting", "node", "fp", F.coalesce("component", "node").alias("component")), "known")
+    parts = known.groupBy("posting", "component").agg(F.count("*").alias("n"))
+    main = parts.groupBy("posting").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most")).where("most.n < n")
+    main = main.select("posting", F.col("most.component").alias("main"), F.ceil(F.col("n") / WIDE_BLOCK).alias("wide"), F.ceil((F.col("n") - F.col("most.n")) / WIDE_BLOCK).alias("high"))
+    dealt = known.join(main, "posting")
+    member = F.struct("node", "component", "fp").alias("m")
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    whole = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = dealt.where("component <> main").select("posting", block("high").alias("i"), whole("wide").alias("j"), F.lit(True).alias("out"), member)
+    right = dealt.select("posting", whole("high").alias("i"), block("wide").alias("j"), F.lit(False).alias("out"), member)
+    pick = lambda out: F.collect_list(F.when(F.col("out") == out, F.col("m")))
+    blocks = left.unionByName(right).groupBy("posting", "i", "j").agg(pick(True).alias("one"), pick(False).alias("two"))
+    blocks = blocks.where("size(one) > 0 and size(two) > 0").select("one", "two")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                sides = []
+                for column in batch.columns:
+                    m = column[row].values
+                    fp = np.frombuffer(b"".join(m.field("fp").to_pylist()), np.uint8).reshape(-1, WIDE_BYTES)
+                    sides.append((m.field("node").to_numpy(), m.field("component").to_numpy(), fp))
+                (na, ca, fa), (nb, cb, fb) = sides
+                pairs = []
+                for i in range(len(na)):
+                    tally = np.where(cb == ca[i], 0, (fb == fa[i]).sum(1))
+                    found = np.flatnonzero(tally >= LEAST_SHARED)
+                    cut = len(found) > partners
+                    if cut:
+                        found = found[np.argsort(-tally[found], kind="stable")[:partners]]
+                    pairs += [(min(na[i], n), max(na[i], n), cut) for n in nb[found]]
+                cols = list(zip(*pairs, strict=True)) or [[]] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["a", "b", "cut"])
+
+    bounded_batches(index.sparkSession, 50)
+    met = blocks.mapInArrow(run, "a long, b long, cut boolean").groupBy("a", "b").agg(F.bool_or("cut").alias("cut"))
+    out = materialise(met, "apart")
+    bounded_batches(index.sparkSession)
+    discard(known)
+    return out
 
 
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -269,10 +321,10 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, key
     bytes of one of TABLES keys and in at least LEAST_SHARED positions. Links are verified by the
     Jaccard similarity of the ``width``-word shingle sets, so no unlike texts are linked; a pair at
     0.8 is missed with a chance of about one in a hundred. Texts of equal words are one node. A posting of up
-    to WIDE_PAIRS nodes is paired up. In a longer one all nodes are compared with its smallest, and those
-    that don't come together with it make a posting of their own for the next round, in which four times as
-    many are paired up, until none is left: a group of any size costs rows in proportion, and no node goes
-    uncompared.
+    to WIDE_PAIRS nodes is paired up. In a longer one all nodes are compared with its smallest; then those
+    outside its largest component with all nodes of other components, those joined before too, the
+    likeliest partners first and in each round eight times as many, until none had more: no pair
+    of a posting stays undecided unless its texts have come together by other links.
     """
     base = materialise(_wide(docs, key, text), "wide")
     nodes = base.groupBy("node").agg(F.min(F.struct("doc", "text_hash", "fp")).alias("r")).select("node", "r.*")
@@ -287,22 +339,22 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, key
     def verify(pairs: DataFrame) -> DataFrame:
         return _verified(pairs, nodes, docs, width, similarity, key, text)
 
-    limit = WIDE_PAIRS
-    while left.limit(1).count():
-        short = left.where(F.col("n") <= limit).select("posting", "node")
-        pairs = short.withColumnRenamed("node", "a").join(short.withColumnRenamed("node", "b"), "posting").where("a < b").select("a", "b", F.lit(False).alias("star"))
-        long = left.where((F.col("n") > limit) & (F.col("node") != F.col("least")))
-        stars = long.select(F.col("least").alias("a"), F.col("node").alias("b"), F.lit(True).alias("star"))
-        met = pairs.unionByName(stars).groupBy("a", "b").agg(F.bool_or("star").alias("star"))
-        candidates = materialise(_count_filter(met, nodes), "candidates")
-        links, labels, strays = _joined(candidates, links, labels, verify)
-        apart = strays.withColumnsRenamed({"a": "least", "b": "node"})
-        rest = materialise(long.select("posting", "node", "least").join(apart, ["least", "node"], "left_semi").select("posting", "node"), "rest")
-        sizes = rest.groupBy("posting").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
-        again = materialise(rest.join(sizes, "posting"), "shared-postings")
-        discard(left, rest, strays)
-        left = again
-        limit *= 4  # what stays apart is few and unlike
+    short = left.where(F.col("n") <= WIDE_PAIRS).select("posting", "node")
+    pairs = short.withColumnRenamed("node", "a").join(short.withColumnRenamed("node", "b"), "posting").where("a < b").select("a", "b")
+    long = left.where(F.col("n") > WIDE_PAIRS)
+    stars = long.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    candidates = materialise(_count_filter(pairs.unionByName(stars).distinct(), nodes), "candidates")
+    links, labels = _joined(candidates, links, labels, verify)
+    partners = PARTNERS
+    while long.limit(1).count():
+        apart = _apart(long.select("posting", "node"), nodes, labels, partners)
+        more = apart.where("cut").limit(1).count()
+        links, labels = _joined(materialise(apart.select("a", "b"), "candidates"), links, labels, verify)
+        discard(apart)
+        if not more:
+            break
+        partners *= 8  # what is still apart is few, or unlike
+    discard(left)
     if labels is None:
         return base.select("doc", "text_hash", "node", F.col("node").alias("component"))
     out = base.select("doc", "text_hash", "node").join(labels, "node", "left")

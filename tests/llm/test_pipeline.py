@@ -74,6 +74,23 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert kept == [0, *range(1000, 1030)]
 
 
+def test_hub_of_copies_unlike_each_other(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{x}" for x in rng.integers(0, 3000, 200)]
+    rows = [(0, " ".join(words))]
+    for i in range(1, 200):
+        w = list(words)
+        for n, at in enumerate(rng.choice(40, 3, replace=False) * 5):
+            w[int(at)] = f"new{i}x{n}"
+        rows.append((i, " ".join(w)))
+    sets = [shingle_set(t) for _, t in rows]
+    alike = [len(sets[0] & s) / len(sets[0] | s) for s in sets[1:]]
+    between = [len(sets[1] & s) / len(sets[1] | s) for s in sets[2:]]
+    assert min(alike) >= 0.8 and np.mean(np.array(between) < 0.8) > 0.9
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert [r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()] == [0]
+
+
 def test_pipeline_stages(spark, docs):
     at = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
