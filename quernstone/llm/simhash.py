@@ -127,13 +127,15 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 2, key: str
     return out.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Bytes of a wide fingerprint, words of the shingles it is made of, index tables, and positional bytes of a table's key.
+#: Bytes of a wide fingerprint.
 WIDE_BYTES = 64
-WIDE_SHINGLE = 2
+#: Bytes of a signature, index tables, and positional bytes of a table's key. A signature's byte agrees as often as two shingle sets are similar,
+#: whatever the edit: a pair at 0.8 meets in no table with a chance of 1.3 in ten thousand.
+MIN_BYTES = 128
 TABLES = 64
-KEY_BYTES = 3
-#: Positions out of WIDE_BYTES that a candidate pair must share. A pair at the similarity wanted has about 29 in common, an unrelated one about one.
-LEAST_SHARED = 14
+KEY_BYTES = 7
+#: Positions out of WIDE_BYTES that a candidate pair must share. A pair at 0.8 has 17 in common at the mean and under 5 once in thirty thousand, an unrelated one hardly one.
+LEAST_SHARED = 5
 #: Postings of up to this many texts are paired up; in longer ones all are first compared with one.
 WIDE_PAIRS = 8
 #: Texts of a long posting that one row holds of either side, and the likeliest partners a text is verified with in the first round.
@@ -154,26 +156,39 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def min_signature(hashes: np.ndarray) -> np.ndarray:
+    """MIN_BYTES bytes: for each odd multiplier a byte of the hash whose product is the smallest."""
+    factors = np.random.default_rng(7).integers(0, 1 << 64, MIN_BYTES, np.uint64) | np.uint64(1)
+    if not len(hashes):
+        return np.zeros(MIN_BYTES, np.uint8)
+    mixed, least = np.unique(hashes), np.full(MIN_BYTES, np.iinfo(np.uint64).max)
+    for at in range(0, len(mixed), 1024):
+        least = np.minimum(least, (factors[:, None] * mixed[at : at + 1024]).min(1))
+    return (least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8)
+
+
 def _tables() -> np.ndarray:
     """The positions that make up each table's key, the same everywhere."""
     rng = np.random.default_rng(5)
-    return np.array([rng.permutation(WIDE_BYTES)[:KEY_BYTES] for _ in range(TABLES)])
+    return np.array([rng.permutation(MIN_BYTES)[:KEY_BYTES] for _ in range(TABLES)])
 
 
-def _wide(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, text_hash, node, fp) for every row; texts of equal words have equal nodes."""
+def _wide(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
+    """(doc, text_hash, node, fp, sig) for every row, of the sets that decide; texts of equal words have equal nodes."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).cast(pa.binary()).to_pylist()
             nodes = [xxhash.xxh3_64_intdigest(b" ".join((t or b"").lower().split())) - (1 << 63) for t in texts]
-            fps = [wide_fingerprint(shingle_hashes(t, WIDE_SHINGLE)).tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(fps, pa.binary())], ["doc", "text_hash", "node", "fp"])
+            sets = (shingle_hashes(t, width) for t in texts)
+            prints = [(wide_fingerprint(s).tobytes(), min_signature(s).tobytes()) for s in sets]
+            fps, sigs = (pa.array([p[i] for p in prints], pa.binary()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), fps, sigs], ["doc", "text_hash", "node", "fp", "sig"])
 
     kind = docs.schema[key].dataType.simpleString()
     body = F.col(text).cast("string")
-    return docs.select(F.col(key), F.xxhash64(body), body).mapInArrow(run, f"doc {kind}, text_hash long, node long, fp binary")
+    return docs.select(F.col(key), F.xxhash64(body), body).mapInArrow(run, f"doc {kind}, text_hash long, node long, fp binary, sig binary")
 
 
 def _postings(nodes: DataFrame) -> DataFrame:
@@ -182,13 +197,13 @@ def _postings(nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, WIDE_BYTES)
-            keys = np.broadcast_to(np.arange(TABLES, dtype=np.int64), (len(fps), TABLES)).copy()
+            sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, MIN_BYTES)
+            keys = np.broadcast_to(np.arange(TABLES, dtype=np.int64), (len(sigs), TABLES)).copy()
             for b in range(KEY_BYTES):
-                keys = keys << 8 | fps[:, tables[:, b]]
+                keys = keys << 8 | sigs[:, tables[:, b]]
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.array(batch.column(0)), TABLES))], ["posting", "node"])
 
-    return nodes.select("node", "fp").mapInArrow(run, "posting long, node long")
+    return nodes.select("node", "sig").mapInArrow(run, "posting long, node long")
 
 
 def _count_filter(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -317,17 +332,18 @@ def _apart(index: DataFrame, nodes: DataFrame, labels: DataFrame | None, partner
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, text_hash, node, component) for every row: groups of texts similar by their word shingles.
 
-    Candidates come from wide SimHash fingerprints through the positional index: texts that agree in the
-    bytes of one of TABLES keys and in at least LEAST_SHARED positions. Links are verified by the
-    Jaccard similarity of the ``width``-word shingle sets, so no unlike texts are linked; a pair at
-    0.8 is missed with a chance of about one in a hundred. Texts of equal words are one node. A posting of up
+    Candidates are texts that agree in the signature bytes of one of TABLES keys of the positional index
+    and in at least LEAST_SHARED positions of their wide SimHash fingerprints. Both are of the sets that
+    decide, so a candidate's chance hangs on its similarity alone and not on the kind of edit. Links are
+    verified by the Jaccard similarity of the ``width``-word shingle sets, so no unlike texts are
+    linked; a pair at 0.8 is missed with a chance of about two in ten thousand. Texts of equal words are one node. A posting of up
     to WIDE_PAIRS nodes is paired up. In a longer one all nodes are compared with its smallest; then those
     outside its largest component with all nodes of other components, those joined before too, the
     likeliest partners first and in each round eight times as many, until none had more: no pair
     of a posting stays undecided unless its texts have come together by other links.
     """
-    base = materialise(_wide(docs, key, text), "wide")
-    nodes = base.groupBy("node").agg(F.min(F.struct("doc", "text_hash", "fp")).alias("r")).select("node", "r.*")
+    base = materialise(_wide(docs, width, key, text), "wide")
+    nodes = base.groupBy("node").agg(F.min(F.struct("doc", "text_hash", "fp", "sig")).alias("r")).select("node", "r.*")
     nodes = materialise(nodes, "wide-nodes")
     index = materialise(_postings(nodes), "postings")
     sizes = index.groupBy("posting").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")

@@ -91,6 +91,29 @@ def test_hub_of_copies_unlike_each_other(spark):
     assert [r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()] == [0]
 
 
+@pytest.mark.parametrize("edit", ["appended", "replaced"])
+def test_contiguous_changes_are_found(spark, edit):
+    rng = np.random.default_rng(4)
+    rows, n = [], 300
+    for i in range(n):
+        length = int(rng.integers(100, 400))
+        words = [f"w{x}" for x in rng.integers(0, 50_000, length)]
+        more = [f"v{x}" for x in rng.integers(0, 50_000, length)]
+        share = float(rng.uniform(0.8, 0.85))
+        if edit == "appended":
+            one, two = words, words + more[: int((length - 4) * (1 / share - 1))]
+        else:
+            cut = int((length - 4) * (1 - share) / (1 + share)) - 4
+            at = int(rng.integers(0, length - cut))
+            one, two = words, words[:at] + more[:cut] + words[at + cut :]
+        a, b = shingle_set(" ".join(one)), shingle_set(" ".join(two))
+        assert 0.8 <= len(a & b) / len(a | b) < 0.9
+        rows += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(two))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()}
+    assert kept >= {2 * i for i in range(n)} and len(kept) <= n + 1
+
+
 def test_pipeline_stages(spark, docs):
     at = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
