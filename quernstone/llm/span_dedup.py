@@ -52,22 +52,42 @@ def sentences(text: str) -> list[str]:
 
 
 def spans(text: str, least_sentences: int, least_words: int) -> Iterator[tuple[int, int, int]]:
-    """(hash, first sentence, sentences) of the shortest run from each sentence that has at least so many sentences and words.
+    """(hash, first sentence, sentences) of the shortest runs that have at least so many sentences and words, by their first sentence.
 
-    The hash is of the words, case and white space aside.
+    These are the shortest run from each sentence and the shortest run up to each: together those inside
+    any longer run cover all of it. Runs start with a word, and those up to a sentence also end with one, so no two are the
+    same words in the same place. The hash is of the words, case and white space aside.
     """
     units = [" ".join(s.lower().split()) for s in sentences(text)]
     sizes = [u.count(" ") + 1 if u else 0 for u in units]
+    ends: list[list[int]] = [[] for _ in units]
     end = total = 0
     for i, size in enumerate(sizes):
         while end < len(units) and (end - i < least_sentences or total < least_words):
             total += sizes[end]
             end += 1
         if end - i < least_sentences or total < least_words:
-            return
+            break
         if size:
-            yield xxhash.xxh3_64_intdigest(" ".join(units[i:end]).encode()) - (1 << 63), i, end - i
+            ends[i].append(end)
         total -= size
+    start, total = 0, sum(sizes[:1])
+    for end in range(1, len(units) + 1):
+        if end > 1:
+            total += sizes[end - 1]
+        at = start + 1
+        while at < end:  # the last start with a word from which the run is long enough
+            less = total - sum(sizes[start:at])
+            if end - at < least_sentences or less < least_words:
+                break
+            if sizes[at]:
+                start, total = at, less
+            at += 1
+        if sizes[end - 1] and sizes[start] and end - start >= least_sentences and total >= least_words and end not in ends[start]:
+            ends[start].append(end)
+    for i, found in enumerate(ends):
+        for end in sorted(found):
+            yield xxhash.xxh3_64_intdigest(" ".join(units[i:end]).encode()) - (1 << 63), i, end - i
 
 
 def repeated_spans(docs: DataFrame, least_sentences: int = 2, least_words: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -250,6 +250,57 @@ def test_repeated_spans(docs, rows):
     assert sum(map(len, covered.values())) > 100
 
 
+def all_runs_covered(texts, least_sentences=2, least_words=20):
+    """The covered sentences of each text, by every run of enough sentences and words; runs start and end with a word."""
+    seen, covered = set(), []
+    for t in texts:
+        units = [s.lower().split() for s in span_dedup.sentences(t)]
+        gone = set()
+        for i in range(len(units)):
+            for j in range(i + least_sentences, len(units) + 1):
+                words = " ".join(sum(units[i:j], []))
+                if units[i] and units[j - 1] and words.count(" ") + 1 >= least_words:
+                    if words in seen:
+                        gone |= set(range(i, j))
+                    seen.add(words)
+        covered.append(gone)
+    return covered
+
+
+def sentence(rng, size, name):
+    return " ".join(f"{name}{x}" for x in rng.integers(0, 10**6, size)) + ". "
+
+
+def test_all_runs_of_repeated_passages(spark):
+    rng = np.random.default_rng(6)
+    passages = [[12, 12, 3, 3], [3, 3, 12, 12], [5, 5, 5, 5, 5, 2], [2, 2, 12, 9, 1, 1, 4], *[rng.integers(1, 12, 9).tolist() for _ in range(30)]]
+    texts, tail = [], []
+    for sizes in passages:
+        body = "".join(sentence(rng, n, "p") for n in sizes)
+        texts += [sentence(rng, 11, "a") + body + sentence(rng, 9, "b") + sentence(rng, 4, "c") for _ in range(2)]
+        tail += [sentence(rng, 11, "d") + body]
+    texts += tail
+    want = all_runs_covered(texts)
+    got = {r[0]: r for r in span_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    for i, t in enumerate(texts):
+        assert got[i]["text"] == "".join(u for n, u in enumerate(span_dedup.sentences(t)) if n not in want[i])
+    assert got[1]["n_removed"] == 4
+
+
+def test_runs_cover_any_longer_run():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        t = "".join(sentence(rng, int(n), "w") if n else " \n" for n in rng.choice([0, 1, 3, 6, 9, 11], int(rng.integers(1, 14))))
+        units = [s.split() for s in span_dedup.sentences(t)]
+        found = [(i, i + n) for _, i, n in span_dedup.spans(t, 2, 20)]
+        assert len({h for h, _, _ in span_dedup.spans(t, 2, 20)}) == len(found) and found == sorted(found)
+        for a in range(len(units)):
+            for b in range(a + 2, len(units) + 1):
+                if units[a] and units[b - 1] and sum(map(len, units[a:b])) >= 20:
+                    inside = set().union(*[set(range(i, j)) for i, j in found if a <= i and j <= b])
+                    assert {i for i in range(a, b) if units[i]} <= inside
+
+
 def test_planted_passage_is_cut(spark):
     passage = "Alpha beta gamma delta epsilon zeta. Eta theta iota kappa lambda mu nu. " * 2 + " ".join(f"unit{i}" for i in range(60))
     rows = [(i, f"start{i} of text {i} " + passage + f" ending number {i} here.") for i in range(5)] + [(9, "A clean text. It stays as it is. Nothing repeats here at all.")]
