@@ -26,10 +26,9 @@ _TERM = re.compile(r"[^\W\d_]{4,}")
 
 #: Characters on either side of an entity in which a term counts as co-occurring with it.
 WINDOW = 80
-#: Different surroundings in which an entity and a term must meet, the share of a term's occurrences, and the bits of information.
+#: Different surroundings in which an entity and a term must meet, and the share of a term's occurrences.
 SUPPORT = 3
 SHARE = 0.5
-BITS = 3.0
 #: Size of the bit map that screens terms before the exact join: its size is fixed, its precision isn't needed.
 SCREEN = 1 << 22
 
@@ -119,18 +118,16 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return _rows(docs, key, text).mapInArrow(run, f"doc {kind}, text_hash long, spans array<struct<kind: int, start: int, end: int>>, near array<struct<entity: long, context: long, terms: array<string>>>")
 
 
-def revealing_terms(docs: DataFrame, found: DataFrame, text: str = "text", support: int = SUPPORT, share: float = SHARE, bits: float = BITS) -> DataFrame:
+def revealing_terms(docs: DataFrame, found: DataFrame, text: str = "text", support: int = SUPPORT, share: float = SHARE) -> DataFrame:
     """(term) whose occurrences disclose an entity.
 
     For a term t and an entity e: P(e|t) is the share of t's occurrences in the whole corpus that stand
-    near e, P(e) that of all entity windows that are e's; t reveals e if they meet in at least ``support``
-    different surroundings, P(e|t) >= ``share`` and log2(P(e|t) / P(e)) >= ``bits``. Copies of one passage
-    are one surrounding. Counts cover all documents; a bit map of fixed size only screens which words are
+    near e; t reveals e if they meet in at least ``support`` different surroundings and P(e|t) >=
+    ``share``. How frequent e is doesn't matter: log2(P(e|t) / P(e)) is at most -log2 P(e), so a least gain would
+    hide every term of a frequent entity. Copies of one passage are one surrounding. Counts cover all documents; a bit map of fixed size only screens which words are
     counted.
     """
     windows = found.select(F.explode("near").alias("w")).select("w.*")
-    entities = windows.groupBy("entity").agg(F.count("*").alias("seen"))
-    total = windows.count()
     met = windows.select("entity", "context", F.explode("terms").alias("term")).groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
     met = materialise(met.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("joint")).where(F.col("contexts") >= support), "met")
     screen = docs.sparkSession.sparkContext.broadcast(_screen(met))
@@ -151,9 +148,9 @@ def revealing_terms(docs: DataFrame, found: DataFrame, text: str = "text", suppo
         yield flush()
 
     counted = docs.select(F.col(text).cast("string")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("times"))
-    tied = met.join(counted, "term").join(entities, "entity")
+    tied = met.join(counted, "term")
     given = F.least(F.col("joint") / F.col("times"), F.lit(1.0))
-    tied = tied.where((given >= share) & (F.log2(given * total / F.col("seen")) >= bits))
+    tied = tied.where(given >= share)
     return tied.select("term").distinct()
 
 
@@ -186,7 +183,7 @@ def term_spans(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str
     return places.groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set(F.struct(F.lit(KINDS.index("term")).alias("kind"), "start", "end"))).alias("term_spans"))
 
 
-def find_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", support: int = SUPPORT, share: float = SHARE, bits: float = BITS) -> DataFrame:
+def find_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", support: int = SUPPORT, share: float = SHARE) -> DataFrame:
     """(key, text_hash, base, spans) for every row, both arrays of (kind, start, end) in code points.
 
     ``base`` has the pattern spans, ``spans`` these and the revealing terms'. Null texts count as empty;
@@ -195,7 +192,7 @@ def find_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", support
     """
     bounded_batches(docs.sparkSession)
     found = materialise(detect(docs, key, text), "pattern-spans")
-    terms = materialise(revealing_terms(docs, found, text, support, share, bits), "revealing-terms")
+    terms = materialise(revealing_terms(docs, found, text, support, share), "revealing-terms")
     base = found.select("doc", "text_hash", F.col("spans").alias("base"))
     if terms.limit(1).count():
         more = term_spans(docs, terms, key, text).withColumnsRenamed({"doc": "_doc", "text_hash": "_hash"})

@@ -502,6 +502,17 @@ def test_revealing_terms(spark):
     assert clean[50] == "Here [TERM] alone." and clean[51] is None and "[PHONE]" in clean[0] and clean[10] == rows[5][1]
 
 
+@pytest.mark.parametrize("others", [40, 0])
+def test_terms_of_a_frequent_entity(spark, others):
+    names = [f"{a}{b}" for a in ("harb", "mead", "lant", "juni") for b in ("our", "ow", "ern", "per", "alt")]
+    rows = [(i, f"{names[i]} then Zorblatt wrote to bob@site.org about {names[(i + 3) % 20]}") for i in range(20)]
+    rows += [(100 + i, f"{names[i % 20]} wrote to person{i}@site.org about {names[(i + 7) % 20]} then left") for i in range(others)]
+    rows += [(200 + i, f"then she wrote about the {names[i % 20]} number {i}") for i in range(60)] + [(300, "Here zorblatt alone.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["spans"] for r in pii.report(df).collect()}
+    assert got[300] == "term:5:13" and all(got[200 + i] == "" for i in range(60))
+
+
 def test_decontamination_matches_sql(spark):
     got = queries.op9_decontamination(spark, SF)
     want = oracle("op9_decontamination")
