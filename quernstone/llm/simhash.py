@@ -134,8 +134,8 @@ WIDE_BYTES = 64
 MIN_BYTES = 128
 TABLES = 64
 KEY_BYTES = 7
-#: Positions out of WIDE_BYTES that a candidate pair must share. A pair at 0.8 has 17 in common at the mean and under 5 once in thirty thousand, an unrelated one hardly one.
-LEAST_SHARED = 5
+#: Positions out of WIDE_BYTES that a candidate pair must share. A pair at 0.8 has 17 in common at the mean, one of sets of four and five, where bits tie, 12; an unrelated one hardly one.
+LEAST_SHARED = 3
 #: Postings of up to this many texts are paired up; in longer ones all are first compared with one.
 WIDE_PAIRS = 8
 #: Texts of a long posting that one row holds of either side, and the likeliest partners a text is verified with in the first round.
@@ -336,7 +336,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, key
     and in at least LEAST_SHARED positions of their wide SimHash fingerprints. Both are of the sets that
     decide, so a candidate's chance hangs on its similarity alone and not on the kind of edit. Links are
     verified by the Jaccard similarity of the ``width``-word shingle sets, so no unlike texts are
-    linked; a pair at 0.8 is missed with a chance of about two in ten thousand. Texts of equal words are one node. A posting of up
+    linked; a pair at 0.8 is missed with a chance of a few in ten thousand, more in sets of five. Texts of equal words are one node. A posting of up
     to WIDE_PAIRS nodes is paired up. In a longer one all nodes are compared with its smallest; then those
     outside its largest component with all nodes of other components, those joined before too, the
     likeliest partners first and in each round eight times as many, until none had more: no pair
