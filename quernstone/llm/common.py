@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scratch import shared_dir, ship_package
 
-#: Rows of an Arrow batch sent to Python: bounds a worker's memory when texts are long.
+#: Rows and bytes of an Arrow batch sent to Python: they bound a worker's memory when texts are long.
 BATCH_ROWS = 500
+BATCH_BYTES = 16 << 20
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -38,9 +39,25 @@ def discard(*tables: DataFrame) -> None:
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Make ready for Python stages: batches of ``rows`` rows, so that a worker's memory doesn't follow the longest texts."""
+    """Make ready for Python stages: batches of ``rows`` rows and BATCH_BYTES at most, so that a worker's memory doesn't follow the longest texts.
+
+    Plans read both when they run, long after an operator has returned its result, so they stay set in the session.
+    """
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def spare_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def fold_ascii(col):

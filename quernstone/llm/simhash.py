@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected_components, discard, materialise
+from .common import bounded_batches, connected_components, discard, materialise, spare_names
 
 #: Postings of up to this many distinct fingerprints are compared pair by pair; longer ones go the exact neighbour way.
 POSTING_PAIRS = 32
@@ -134,13 +135,15 @@ WIDE_BYTES = 64
 MIN_BYTES = 128
 TABLES = 64
 KEY_BYTES = 7
-#: Positions out of WIDE_BYTES that a candidate pair must share. A pair at 0.8 has 17 in common at the mean, one of sets of four and five, where bits tie, 12; an unrelated one hardly one.
+#: Positions that a candidate pair must share. Of the WIDE_BYTES a pair at 0.8 has 17 in common at the mean (sets of four and five, where bits tie, 12),
+#: of the MIN_BYTES 102 with a deviation of 4.5: the least is 4.5 deviations below.
 LEAST_SHARED = 3
-#: Postings of up to this many texts are paired up; in longer ones all are first compared with one.
-WIDE_PAIRS = 8
-#: Texts of a long posting that one row holds of either side, and the likeliest partners a text is verified with in the first round.
-WIDE_BLOCK = 512
-PARTNERS = 4
+LEAST_AGREED = 82
+#: Texts of a block, and bytes of text at which it is cut smaller.
+BLOCK_TEXTS = 512
+BLOCK_BYTES = 8 << 20
+#: Postings that hold more than this share of all index rows, so at most ten thousand, are dealt by broadcast.
+HOT_SHARE = 1e-4
 
 
 def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
@@ -174,7 +177,7 @@ def _tables() -> np.ndarray:
 
 
 def _wide(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
-    """(doc, text_hash, node, fp, sig) for every row, of the sets that decide; texts of equal words have equal nodes."""
+    """(doc, text_hash, size, node, fp, sig) for every row, of the sets that decide; texts of equal words have equal nodes."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,11 +187,12 @@ def _wide(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
             sets = (shingle_hashes(t, width) for t in texts)
             prints = [(wide_fingerprint(s).tobytes(), min_signature(s).tobytes()) for s in sets]
             fps, sigs = (pa.array([p[i] for p in prints], pa.binary()) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), fps, sigs], ["doc", "text_hash", "node", "fp", "sig"])
+            sizes = pa.array([len(t or b"") for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, pa.array(nodes, pa.int64()), fps, sigs], ["doc", "text_hash", "size", "node", "fp", "sig"])
 
     kind = docs.schema[key].dataType.simpleString()
     body = F.col(text).cast("string")
-    return docs.select(F.col(key), F.xxhash64(body), body).mapInArrow(run, f"doc {kind}, text_hash long, node long, fp binary, sig binary")
+    return docs.select(F.col(key), F.xxhash64(body), body).mapInArrow(run, f"doc {kind}, text_hash long, size long, node long, fp binary, sig binary")
 
 
 def _postings(nodes: DataFrame) -> DataFrame:
@@ -206,184 +210,185 @@ def _postings(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "sig").mapInArrow(run, "posting long, node long")
 
 
-def _count_filter(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose tally of shared positional bytes reaches LEAST_SHARED."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, WIDE_BYTES) for i in (2, 3))
-            ok = pa.array((a == b).sum(1) >= LEAST_SHARED)
-            yield pa.RecordBatch.from_arrays([c.filter(ok) for c in batch.columns[:2]], ["a", "b"])
+def _shared_postings(nodes: DataFrame) -> DataFrame:
+    """(posting, node, n) of the postings that n > 1 texts share. Of those that hold a notable share of all rows only the counts move."""
+    index = materialise(_postings(nodes), "postings")
+    sizes = materialise(index.groupBy("posting").agg(F.count("*").alias("n")).where("n > 1"), "posting-sizes")
+    hot = F.col("n") > max(1000, int(index.count() * HOT_SHARE))
+    crowded = F.broadcast(sizes.where(hot))
+    rest = index.join(crowded.select("posting"), "posting", "left_anti").join(sizes.where(~hot), "posting")
+    out = materialise(rest.unionByName(index.join(crowded, "posting")), "shared-postings")
+    discard(index, sizes)
+    return out
 
-    fa, fb = nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa")), nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
-    rows = pairs.join(fa, "a").join(fb, "b").select("a", "b", "fa", "fb")
-    return rows.mapInArrow(run, "a long, b long")
 
+def spanning_links(n: int, firsts: Iterable[int], alike: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Links among rows 0 to n - 1 that bring together what all pairs with one end in ``firsts`` would for which ``alike(i, rows)`` holds.
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float, key: str, text: str) -> DataFrame:
-    """The pairs whose sets of ``width``-word shingles have a Jaccard similarity of at least ``similarity``."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    places = nodes.join(wanted, "node").select("node", F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash"))
-    body = F.col(text).cast("string")
-    texts = docs.select(F.col(key).alias("doc"), F.xxhash64(body).alias("text_hash"), body.alias("body"))
-    texts = texts.join(places, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))).select("node", "body")
-    texts = materialise(texts.dropDuplicates(["node"]), "pair-texts")
+    A row is compared only with rows that haven't come together with it yet, so there are fewer than n links.
+    """
+    label, done, links = np.arange(n), np.zeros(n, bool), []
+    for i in firsts:
+        done[i] = True
+        rest = np.flatnonzero((label != label[i]) & ~done)
+        if not len(rest):
+            continue
+        for j in rest[alike(i, rest)]:
+            if label[j] != label[i]:
+                links.append((i, int(j)))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def _candidate_links(shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): links whose components are those of all pairs that meet in a posting and whose tallies of shared positional bytes reach their least.
+
+    A posting of over BLOCK_TEXTS texts is dealt in blocks, any two of which meet.
+    """
+    parts = F.ceil(F.col("n") / BLOCK_TEXTS)
+    own = F.pmod(F.xxhash64("node"), parts)
+    dealt = shared.select("posting", "node", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
+    dealt = dealt.select("posting", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
+    members = dealt.join(nodes.select("node", "fp", "sig"), "node").groupBy("posting", "i", "j").agg(F.collect_list(F.struct("node", "fp", "sig")).alias("m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = []
-            for a, b in zip(*[c.cast(pa.binary()).to_pylist() for c in batch.columns[2:]], strict=True):
-                one, two = (np.unique(shingle_hashes(t, width)) for t in (a, b))
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                kept.append(both >= similarity * (len(one) + len(two) - both) - 1e-9)
-            kept = pa.array(kept, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
-
-    ta, tb = (texts.select(F.col("node").alias(n), F.col("body").alias(f"t{n}")) for n in "ab")
-    out = materialise(pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "verified")
-    discard(texts)
-    return out
+            ends, m = batch.column(0).offsets.to_numpy(), batch.column(0).values
+            ids = m.field("node").to_numpy()
+            fps = np.frombuffer(b"".join(m.field("fp").to_pylist()), np.uint8).reshape(-1, WIDE_BYTES)
+            sigs = np.frombuffer(b"".join(m.field("sig").to_pylist()), np.uint8).reshape(-1, MIN_BYTES)
+            links: set[tuple[int, int]] = set()
+            for begin, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                fp, sig = fps[begin:end], sigs[begin:end]
 
+                def alike(i: int, rows: np.ndarray, fp=fp, sig=sig) -> np.ndarray:
+                    return ((sig[rows] == sig[i]).sum(1) >= LEAST_AGREED) & ((fp[rows] == fp[i]).sum(1) >= LEAST_SHARED)
 
-def _crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs between different components so far, with these as ca < cb."""
-    la, lb = (labels.select(F.col("node").alias(n), F.col("component").alias(f"l{n}")) for n in "ab")
-    both = pairs.join(la, "a", "left").join(lb, "b", "left").select(*pairs.columns, F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
-    return both.where("la <> lb").select(*pairs.columns, F.least("la", "lb").alias("ca"), F.greatest("la", "lb").alias("cb"))
+                for i, j in spanning_links(end - begin, range(end - begin), alike):
+                    a, b = int(ids[begin + i]), int(ids[begin + j])
+                    links.add((min(a, b), max(a, b)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
+    return members.select("m").mapInArrow(run, "a long, b long").distinct()
 
-def _joined(candidates: DataFrame, links: DataFrame, labels: DataFrame | None, verify) -> tuple[DataFrame, DataFrame | None]:
-    """(links, labels) with all candidates decided, verifying only pairs that can still join two components.
 
-    First every text is verified against its smallest candidate, then one pair of any two components, then
-    all pairs that still cross: within a group that has come together none is verified any more. What
-    crosses no longer is left out of the next step's table.
-    """
-    for picked in (lambda c: c.groupBy("b").agg(F.min("a").alias("a")), lambda c: c.groupBy("ca", "cb").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"), lambda c: c):
-        crossing = candidates
-        if labels is not None:
-            crossing = materialise(_crossing(candidates, labels), "crossing")
-            discard(candidates)
-        if not crossing.limit(1).count():
-            break
-        chosen = materialise(picked(crossing).select("a", "b"), "chosen")
-        found = verify(chosen)
-        more = materialise(links.unionByName(found), "links")
-        candidates = materialise(crossing.select("a", "b").join(chosen, ["a", "b"], "left_anti"), "candidates")
-        discard(links, found, chosen, crossing, *([labels] if labels is not None else []))
-        links, labels = more, connected_components(more)
-    return links, labels
-
-
-def _apart(index: DataFrame, nodes: DataFrame, labels: DataFrame | None, partners: int) -> DataFrame:
-    """(a, b, cut): pairs of different components in the postings ``index`` (posting, node), for each text its likeliest ``partners`` a block.
-
-    Of a posting only the texts outside its largest component need partners, so one come together costs nothing.
-    Both sides are dealt in blocks; a pair whose tally of shared bytes is under LEAST_SHARED is never a row.
-    ``cut`` says that a text had more partners than it was given.
+def _texts_of(members: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``members`` (with doc and text_hash) and the body of each."""
+    body = F.col(text).cast("string")
+    texts = docs.select(F.col(key).alias("d"), F.xxhash64(body).alias("h"), body.alias("body"))
+    both = members.join(texts, F.col("doc").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
+    return both.drop("d", "h", "doc", "text_hash").dropDuplicates(["node"])
+
+
+def _verified_links(blocks: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b): links whose components are those of all similar pairs of a row's ``m``, arrays of (node, first, body), with one end ``first``.
+
+    Pairs are compared by their whole sets of ``width``-word shingles.
     """
-    known = index.join(nodes.select("node", "fp"), "node")
-    if labels is not None:
-        known = known.join(labels, "node", "left")
-    else:
-        known = known.withColumn("component", F.lit(None).cast("long"))
-    known = materialise(known.select("posting", "node", "fp", F.coalesce("component", "node").alias("component")), "known")
-    parts = known.groupBy("posting", "component").agg(F.count("*").alias("n"))
-    main = parts.groupBy("posting").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most")).where("most.n < n")
-    main = main.select("posting", F.col("most.component").alias("main"), F.ceil(F.col("n") / WIDE_BLOCK).alias("wide"), F.ceil((F.col("n") - F.col("most.n")) / WIDE_BLOCK).alias("high"))
-    dealt = known.join(main, "posting")
-    member = F.struct("node", "component", "fp").alias("m")
-    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
-    whole = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = dealt.where("component <> main").select("posting", block("high").alias("i"), whole("wide").alias("j"), F.lit(True).alias("out"), member)
-    right = dealt.select("posting", whole("high").alias("i"), block("wide").alias("j"), F.lit(False).alias("out"), member)
-    pick = lambda out: F.collect_list(F.when(F.col("out") == out, F.col("m")))
-    blocks = left.unionByName(right).groupBy("posting", "i", "j").agg(pick(True).alias("one"), pick(False).alias("two"))
-    blocks = blocks.where("size(one) > 0 and size(two) > 0").select("one", "two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                sides = []
-                for column in batch.columns:
-                    m = column[row].values
-                    fp = np.frombuffer(b"".join(m.field("fp").to_pylist()), np.uint8).reshape(-1, WIDE_BYTES)
-                    sides.append((m.field("node").to_numpy(), m.field("component").to_numpy(), fp))
-                (na, ca, fa), (nb, cb, fb) = sides
-                pairs = []
-                for i in range(len(na)):
-                    tally = np.where(cb == ca[i], 0, (fb == fa[i]).sum(1))
-                    found = np.flatnonzero(tally >= LEAST_SHARED)
-                    cut = len(found) > partners
-                    if cut:
-                        found = found[np.argsort(-tally[found], kind="stable")[:partners]]
-                    pairs += [(min(na[i], n), max(na[i], n), cut) for n in nb[found]]
-                cols = list(zip(*pairs, strict=True)) or [[]] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["a", "b", "cut"])
-
-    bounded_batches(index.sparkSession, 50)
-    met = blocks.mapInArrow(run, "a long, b long, cut boolean").groupBy("a", "b").agg(F.bool_or("cut").alias("cut"))
-    out = materialise(met, "apart")
-    bounded_batches(index.sparkSession)
-    discard(known)
+                m = batch.column(0)[row].values
+                found: dict[int, tuple[bool, bytes]] = {}
+                for node, first, body in zip(m.field("node").to_pylist(), m.field("first").to_pylist(), m.field("body").cast(pa.binary()).to_pylist(), strict=True):
+                    found[node] = (first or node in found and found[node][0], body)
+                ids = sorted(found)
+                sets = [np.unique(shingle_hashes(found[node][1], width)) for node in ids]
+                sizes = np.array([len(s) for s in sets])
+                _, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+                own = np.repeat(np.arange(len(ids)), sizes)
+                met = often[at] > 1  # a shingle of one text alone is in no pair
+                own, at = own[met], at[met]
+                begin = np.searchsorted(own, np.arange(len(ids) + 1))
+                mark = np.zeros(len(often), bool)
+
+                def alike(i: int, rows: np.ndarray, sizes=sizes, own=own, at=at, begin=begin, mark=mark, n=len(ids)) -> np.ndarray:
+                    mark[at[begin[i] : begin[i + 1]]] = True
+                    if len(rows) < 8:
+                        both = np.array([mark[at[begin[r] : begin[r + 1]]].sum() for r in rows])
+                    else:
+                        both = np.bincount(own[mark[at]], minlength=n)[rows]
+                    mark[at[begin[i] : begin[i + 1]]] = False
+                    return both >= similarity * (sizes[i] + sizes[rows] - both) - 1e-9
+
+                links = [(ids[i], ids[j]) for i, j in spanning_links(len(ids), [i for i, node in enumerate(ids) if found[node][0]], alike)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    bounded_batches(blocks.sparkSession, 20)
+    out = materialise(blocks.mapInArrow(run, "a long, b long"), "verified")
+    bounded_batches(blocks.sparkSession)
     return out
 
 
+def _crowd_links(crowd: DataFrame, degrees: DataFrame, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(links, blocks) of the members (cluster, node, size, body, parts) of clusters that are no single block.
+
+    All are first compared with their cluster's hub, the text with most candidate links; ``links`` are those
+    found. The others must still meet all members, these too: ``blocks`` are dealt so that any such pair is in one.
+    """
+    hubs = crowd.select("cluster", "node", "body", "parts").join(degrees, "node").groupBy("cluster").agg(F.max_by(F.struct("node", "body", "parts"), F.struct("degree", "node")).alias("h"))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    hub = hubs.select("cluster", "h.*").select("cluster", numbers("parts").alias("i"), "node", F.lit(True).alias("first"), "body")
+    rays = crowd.select("cluster", block("parts").alias("i"), "node", F.lit(False).alias("first"), "body").unionByName(hub)
+    links = _verified_links(rays.groupBy("cluster", "i").agg(F.collect_list(F.struct("node", "first", "body")).alias("m")).select("m"), width, similarity)
+    joined = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    outside = crowd.join(joined, "node", "left_anti")
+    high = outside.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("size") / BLOCK_BYTES)).alias("high"))
+    left = outside.join(high, "cluster").select("cluster", block("high").alias("i"), numbers("parts").alias("j"), "node", F.lit(True).alias("first"), "body")
+    right = crowd.join(high, "cluster").select("cluster", numbers("high").alias("i"), block("parts").alias("j"), "node", F.lit(False).alias("first"), "body")
+    blocks = left.unionByName(right).groupBy("cluster", "i", "j").agg(F.collect_list(F.struct("node", "first", "body")).alias("m")).select("m")
+    return links, blocks
+
+
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, text_hash, node, component) for every row: groups of texts similar by their word shingles.
 
     Candidates are texts that agree in the signature bytes of one of TABLES keys of the positional index
-    and in at least LEAST_SHARED positions of their wide SimHash fingerprints. Both are of the sets that
-    decide, so a candidate's chance hangs on its similarity alone and not on the kind of edit. Links are
-    verified by the Jaccard similarity of the ``width``-word shingle sets, so no unlike texts are
-    linked; a pair at 0.8 is missed with a chance of a few in ten thousand, more in sets of five. Texts of equal words are one node. A posting of up
-    to WIDE_PAIRS nodes is paired up. In a longer one all nodes are compared with its smallest; then those
-    outside its largest component with all nodes of other components, those joined before too, the
-    likeliest partners first and in each round eight times as many, until none had more: no pair
-    of a posting stays undecided unless its texts have come together by other links.
+    and whose tallies of shared bytes reach LEAST_AGREED positions of the signature and LEAST_SHARED of the wide
+    SimHash fingerprint. Both are of the sets that decide, so a candidate's chance hangs on its
+    similarity alone and not on the kind of edit; a pair at 0.8 is missed with a chance of a few in ten thousand,
+    more in sets of five. Texts of equal words are one node.
+
+    A posting passes on a spanning forest of its candidate pairs, never the pairs themselves, and the
+    texts that such forests join are a cluster. Within a cluster any two texts are compared by the Jaccard
+    similarity of their ``width``-word shingle sets unless they have come together by other links, so no unlike texts are
+    linked and no candidate is left out; this too gives a forest. Clusters of more than a block are dealt
+    in blocks (``_crowd_links``). Rows grow with the texts and, in a cluster of several blocks, with the blocks that each meets.
     """
     base = materialise(_wide(docs, width, key, text), "wide")
-    nodes = base.groupBy("node").agg(F.min(F.struct("doc", "text_hash", "fp", "sig")).alias("r")).select("node", "r.*")
+    nodes = base.groupBy("node").agg(F.min(F.struct("doc", "text_hash", "size", "fp", "sig")).alias("r")).select("node", "r.*")
     nodes = materialise(nodes, "wide-nodes")
-    index = materialise(_postings(nodes), "postings")
-    sizes = index.groupBy("posting").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
-    left = materialise(index.join(sizes, "posting"), "shared-postings")
-    discard(index)
-    links = materialise(nodes.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b")), "links")
-    labels = None
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        return _verified(pairs, nodes, docs, width, similarity, key, text)
-
-    short = left.where(F.col("n") <= WIDE_PAIRS).select("posting", "node")
-    pairs = short.withColumnRenamed("node", "a").join(short.withColumnRenamed("node", "b"), "posting").where("a < b").select("a", "b")
-    long = left.where(F.col("n") > WIDE_PAIRS)
-    stars = long.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    candidates = materialise(_count_filter(pairs.unionByName(stars).distinct(), nodes), "candidates")
-    links, labels = _joined(candidates, links, labels, verify)
-    partners = PARTNERS
-    while long.limit(1).count():
-        apart = _apart(long.select("posting", "node"), nodes, labels, partners)
-        more = apart.where("cut").limit(1).count()
-        links, labels = _joined(materialise(apart.select("a", "b"), "candidates"), links, labels, verify)
-        discard(apart)
-        if not more:
-            break
-        partners *= 8  # what is still apart is few, or unlike
-    discard(left)
-    if labels is None:
-        return base.select("doc", "text_hash", "node", F.col("node").alias("component"))
+    shared = _shared_postings(nodes)
+    met = materialise(_candidate_links(shared, nodes), "candidate-links")
+    discard(shared)
+    clusters = connected_components(met).withColumnRenamed("component", "cluster")
+    members = nodes.select("node", "doc", "text_hash", "size").join(clusters, "node")
+    counts = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("size") / BLOCK_BYTES)).alias("parts"))
+    members = materialise(_texts_of(members.join(counts, "cluster"), docs, key, text), "cluster-texts")
+    single = members.where("parts <= 1").groupBy("cluster").agg(F.collect_list(F.struct("node", F.lit(True).alias("first"), "body")).alias("m")).select("m")
+    crowd = members.where("parts > 1")
+    links = [_verified_links(single, width, similarity)]
+    if crowd.limit(1).count():
+        degrees = met.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+        rays, blocks = _crowd_links(crowd, degrees, width, similarity)
+        links += [rays, _verified_links(blocks, width, similarity)]
+    labels = connected_components(reduce(DataFrame.unionByName, links))
     out = base.select("doc", "text_hash", "node").join(labels, "node", "left")
-    return out.select("doc", "text_hash", "node", F.coalesce("component", "node").alias("component"))
+    out = materialise(out.select("doc", "text_hash", "node", F.coalesce("component", "node").alias("component")), "groups")
+    discard(base, nodes, met, members, *links)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` of which one document a group stays, the one of the smallest key (nulls last).
 
     Null and wordless texts are one group. Rows that repeat both key and text are the same document and
-    stay or go together. An empty table stays empty; columns are as they were.
+    stay or go together. An empty table stays empty; columns are as they were, whatever their names.
     """
     groups = similar_groups(docs, width, similarity, key, text)
     first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "text_hash")).alias("r"))
-    kept = first.select(F.col("r.doc").alias("_kept"), F.col("r.text_hash").alias("_hash"))
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("_kept")) & (F.xxhash64(F.col(text).cast("string")) == F.col("_hash")), "left_semi")
+    kept, hashed = spare_names(docs, "kept", "hash")
+    chosen = first.select(F.col("r.doc").alias(kept), F.col("r.text_hash").alias(hashed))
+    return docs.join(chosen, F.col(key).eqNullSafe(F.col(kept)) & (F.xxhash64(F.col(text).cast("string")) == F.col(hashed)), "left_semi")

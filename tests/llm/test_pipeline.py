@@ -59,8 +59,33 @@ def test_near_duplicate_groups(docs):
     assert firsts <= kept and len(kept - firsts) <= 0.01 * len(pairs) + 1
 
 
+def test_recall_on_the_larger_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    first = {}  # one of each text is enough for brute force
+    for d in sorted(texts):
+        first.setdefault(" ".join(texts[d].lower().split()), d)
+    sets = {d: shingle_set(t) for t, d in first.items()}
+    index, shared = defaultdict(list), Counter()
+    for d, s in sets.items():
+        for h in s if len(s) < 60 else [h for h in s if h % 4 == 0]:
+            index[h].append(d)
+    for members in index.values():
+        if len(members) <= 50:  # a pair at 0.8 shares rarer shingles too: overlaps are counted anew below
+            shared.update((a, b) for i, a in enumerate(members) for b in members[i + 1 :])
+    pairs = [(a, b) for a, b in shared if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    found = {r["doc"]: r["component"] for r in simhash.similar_groups(docs).select("doc", "component").collect()}
+    assert len(pairs) >= 40
+    assert sum(found[a] == found[b] for a, b in pairs) >= 0.99 * len(pairs)
+    want = components(sets, pairs)
+    groups = defaultdict(set)
+    for d in sets:
+        groups[found[d]].add(want[d])
+    assert sum(len(g) - 1 for g in groups.values()) == 0  # nothing unlike has come together
+
+
 def test_large_group_of_near_copies(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "WIDE_PAIRS", 4)
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", 16)  # also in the workers: what is dealt in blocks is planned here
     rng = np.random.default_rng(2)
     words = [f"w{x}" for x in rng.integers(0, 3000, 200)]
     rows = []
@@ -74,7 +99,22 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert kept == [0, *range(1000, 1030)]
 
 
-def test_hub_of_copies_unlike_each_other(spark):
+def test_spanning_links():
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        n = int(rng.integers(1, 30))
+        alike = rng.random((n, n)) < 0.06
+        alike |= alike.T
+        firsts = list(range(n)) if rng.random() < 0.5 else sorted(rng.choice(n, int(rng.integers(1, n + 1)), replace=False).tolist())
+        links = simhash.spanning_links(n, firsts, lambda i, rows, alike=alike: alike[i][rows])
+        pairs = [(i, j) for i in firsts for j in range(n) if i != j and alike[i, j]]
+        assert len(links) < max(n, 1) and all(alike[i, j] for i, j in links)
+        assert components(range(n), links) == components(range(n), pairs)
+
+
+@pytest.mark.parametrize("block", [512, 24])
+def test_hub_of_copies_unlike_each_other(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", block)
     rng = np.random.default_rng(3)
     words = [f"w{x}" for x in rng.integers(0, 3000, 200)]
     rows = [(0, " ".join(words))]
@@ -87,8 +127,21 @@ def test_hub_of_copies_unlike_each_other(spark):
     alike = [len(sets[0] & s) / len(sets[0] | s) for s in sets[1:]]
     between = [len(sets[1] & s) / len(sets[1] | s) for s in sets[2:]]
     assert min(alike) >= 0.8 and np.mean(np.array(between) < 0.8) > 0.9
+    made = {}
+    was = simhash.materialise
+
+    def counted(df, name):
+        out = was(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialise", counted)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert [r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()] == [0]
+    n = len(rows)  # no table is as long as the pairs; in blocks each may bring as many links as it has texts
+    assert made["shared-postings"] <= n * simhash.TABLES and made["cluster-texts"] <= n
+    if block > n:
+        assert made["candidate-links"] <= 16 * n and made["verified"] < n
 
 
 @pytest.mark.parametrize("edit", ["appended", "replaced"])
