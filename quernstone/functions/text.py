@@ -111,33 +111,57 @@ def ngrams(words: Column, n: int) -> Column:
     return F.element_at(F.transform(F.array(words), runs), 1)
 
 
+def gram_hashes(words: Column, n: int, seeds: tuple[int, ...] = ()) -> Column:
+    """As ``ngrams``, but each gram is the 64-bit hash of its words' hashes; with ``seeds`` a struct of one hash a seed.
+
+    Words are hashed once, so a gram costs ``n`` longs and no string.
+    """
+    kind = f"array<struct<{', '.join(f'h{i}: bigint' for i in range(len(seeds)))}>>" if seeds else "array<bigint>"
+
+    def key(run: Column) -> Column:
+        return F.struct(*[F.xxhash64(F.lit(s), run).alias(f"h{i}") for i, s in enumerate(seeds)]) if seeds else F.xxhash64(run)
+
+    def runs(h: Column) -> Column:
+        hashes = F.transform(F.sequence(F.lit(1), F.size(h) - (n - 1)), lambda i: key(F.slice(h, i, n)))
+        return F.when(F.size(h) >= n, hashes).otherwise(F.array().cast(kind))
+
+    return F.element_at(F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), runs), 1)
+
+
 def chunk(text: Column, size: int, overlap: int = 0) -> Column:
     """Greedy word chunks of at most ``size`` characters, a blank counted after each word.
 
     A word that would overflow closes the chunk; the next one begins with the last words of that, as many
-    as it takes for their lengths to reach ``overlap``. A longer word is a chunk of its own.
+    as it takes for their lengths to reach ``overlap``. A longer word is a chunk of its own. The fold
+    carries word numbers and lengths; the text is cut once at the end.
     """
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("size is positive and overlap less than it")
-    kind = "struct<chunks: array<string>, cur: array<string>, len: int>"
-    start = F.struct(F.array().cast("array<string>").alias("chunks"), F.array().cast("array<string>").alias("cur"), F.lit(0).alias("len")).cast(kind)
-
-    def tail(cur: Column) -> Column:
-        back = F.aggregate(
-            F.reverse(cur), F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("len")),
-            lambda s, w: F.when(s["len"] < overlap, F.struct(F.concat(F.array(w), s["kept"]).alias("kept"), (s["len"] + F.length(w) + 1).alias("len"))).otherwise(s),
-        )
-        return back
-
-    def step(s: Column, w: Column) -> Column:
-        full = (s["len"] + F.length(w) + 1 > size) & (F.size(s["cur"]) > 0)
-        kept = tail(s["cur"]) if overlap else F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("len"))
-        chunks = F.when(full, F.concat(s["chunks"], F.array(F.array_join(s["cur"], " ")))).otherwise(s["chunks"])
-        cur = F.concat(F.when(full, kept["kept"]).otherwise(s["cur"]), F.array(w))
-        length = F.when(full, kept["len"]).otherwise(s["len"]) + F.length(w) + 1
-        return F.struct(chunks.alias("chunks"), cur.alias("cur"), length.alias("len")).cast(kind)
-
-    done = F.aggregate(F.split(text, " "), start, step, lambda s: F.when(F.size(s["cur"]) > 0, F.concat(s["chunks"], F.array(F.array_join(s["cur"], " ")))).otherwise(s["chunks"]))
+    state = "struct<cuts: array<struct<first: int, last: int>>, first: int, at: int, len: int>"
+    start = F.struct(F.array().cast("array<struct<first: int, last: int>>").alias("cuts"), F.lit(1).alias("first"), F.lit(1).alias("at"), F.lit(0).alias("len")).cast(state)
+
+    def kept(lengths: Column, s: Column) -> Column:
+        """How many of the closed chunk's last words the next one begins with, and their length."""
+        back = F.reverse(F.slice(lengths, s["first"], s["at"] - s["first"]))
+        none = F.struct(F.lit(0).alias("words"), F.lit(0).alias("len"))
+        return F.aggregate(back, none, lambda k, n: F.when(k["len"] < overlap, F.struct((k["words"] + 1).alias("words"), (k["len"] + n).alias("len"))).otherwise(k))
+
+    def cut(w: Column) -> Column:
+        lengths = F.transform(w, lambda x: F.length(x) + 1)
+
+        def fold(n: Column) -> Column:
+            def step(s: Column, more: Column) -> Column:
+                tail = kept(n, s) if overlap else F.struct(F.lit(0).alias("words"), F.lit(0).alias("len"))
+                closed = F.struct(F.concat(s["cuts"], F.array(F.struct(s["first"].alias("first"), (s["at"] - 1).alias("last")))).alias("cuts"), (s["at"] - tail["words"]).alias("first"), (s["at"] + 1).alias("at"), (tail["len"] + more).alias("len"))
+                open_ = F.struct(s["cuts"].alias("cuts"), s["first"].alias("first"), (s["at"] + 1).alias("at"), (s["len"] + more).alias("len"))
+                return F.when((s["len"] + more > size) & (s["at"] > s["first"]), closed.cast(state)).otherwise(open_.cast(state))
+
+            return F.aggregate(n, start, step, lambda s: F.concat(s["cuts"], F.array(F.struct(s["first"].alias("first"), (s["at"] - 1).alias("last")))))
+
+        cuts = F.element_at(F.transform(F.array(lengths), fold), 1)
+        return F.transform(cuts, lambda c: F.array_join(F.slice(w, c["first"], c["last"] - c["first"] + 1), " "))
+
+    done = F.element_at(F.transform(F.array(F.split(text, " ")), cut), 1)
     return F.when(F.length(text) > 0, done).otherwise(F.array().cast("array<string>"))
 
 

@@ -246,16 +246,17 @@ def x16(spark, sf):
     return turns.unionByName(table(spark, sf, "benchmark").select(F.lit("item").alias("kind"), F.col("item_id").alias("id"), F.length("text").cast("long").alias("size")))
 
 
-@query("d6_gram_places", "with w as (select doc_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '') as w from documents) select doc_id, greatest(len(w) - 12, 0)::bigint as grams from w")
+@query("d6_gram_places", """with w as (select doc_id, unnest(regexp_extract_all(text, '[\\s\\p{Z}]*[^\\s\\p{Z}]+')) as piece, generate_subscripts(regexp_extract_all(text, '[\\s\\p{Z}]*[^\\s\\p{Z}]+'), 1) as i from documents),
+    p as (select *, sum(length(piece)) over (partition by doc_id order by i) as stop from w),
+    g as (select doc_id, i, stop - length(regexp_replace(piece, '^[\\s\\p{Z}]+', '')) as start, lead(stop, 12) over (partition by doc_id order by i) as stop from p)
+    select doc_id, (i - 1)::bigint as place, start::bigint as start, stop::bigint as stop from g where stop is not null""")
 def d6(spark, sf):
-    words = F.array_remove(F.split(F.lower("text"), "[^a-z]+"), "")
-    return table(spark, sf, "documents").select("doc_id", F.size(T.ngrams(words, 13)).cast("long").alias("grams"))
+    return D.gram_places(table(spark, sf, "documents"), 13).select("doc_id", F.col("place").cast("long").alias("place"), "start", "stop")
 
 
-@query("d2_gram_runs", "with w as (select item_id, list_filter(string_split_regex(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[!-/:-@\\[-`{-~]', '', 'g'), '[\\s\\p{Z}]+'), lambda x: x <> '') as w from benchmark), g as (select item_id, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) as gram from w where len(w) >= 13) select gram, count(distinct item_id) as items from g group by gram")
+@query("d2_gram_runs", "with w as (select doc_id, list_filter(string_split_regex(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[!-/:-@\\[-`{-~]', '', 'g'), '[\\s\\p{Z}]+'), lambda x: x <> '') as w from documents), g as (select doc_id, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) as gram from w where len(w) >= 13) select gram, count(distinct doc_id) as docs from g group by gram having count(distinct doc_id) > 1")
 def d2(spark, sf):
-    grams = D.document_grams(table(spark, sf, "benchmark"), 13, "item_id")
-    return D.frequent_grams(grams, 0, "item_id").withColumnRenamed("docs", "items")
+    return D.frequent_grams(table(spark, sf, "documents"), 13, 1)
 
 
 @query("k12_result_summary", "select role, count(*) as n, round(avg(length(text)) + 1e-9, 4) as mean_chars from conversations group by role")

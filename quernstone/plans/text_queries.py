@@ -233,12 +233,12 @@ GRAMS = f"""dw as (select doc_id, list_filter(string_split_regex({JANITOR.format
 
 @query("d1_ngram_buckets", f"with {GRAMS} select count(*) as grams, count(distinct gram) as distinct_grams from dg")
 def d1(spark, sf):
-    return D.document_grams(_docs(spark, sf), 13).agg(F.count("*").alias("grams"), F.count_distinct("gram").alias("distinct_grams"))
+    return D.gram_counts(_docs(spark, sf), 13)
 
 
 @query("a42_ngram_df", f"with {GRAMS} select gram, count(distinct doc_id) as docs from dg group by gram having count(distinct doc_id) > 3")
 def a42(spark, sf):
-    return D.frequent_grams(D.document_grams(_docs(spark, sf), 13), 3)
+    return D.frequent_grams(_docs(spark, sf), 13, 3)
 
 
 @query("d4_contaminated_items", f"with {GRAMS} select distinct item_id from bg where gram in (select gram from dg)")
@@ -248,8 +248,7 @@ def d4(spark, sf):
 
 @query("j12_ngram_semi", f"with {GRAMS} select doc_id, count(*) as hits from dg where gram in (select gram from bg) group by doc_id")
 def j12(spark, sf):
-    wanted = D.document_grams(table(spark, sf, "benchmark"), 13, "item_id").select("gram").distinct()
-    return D.document_grams(_docs(spark, sf), 13).join(wanted, "gram", "left_semi").groupBy("doc_id").agg(F.count("*").alias("hits"))
+    return D.gram_hits(_docs(spark, sf), table(spark, sf, "benchmark"), 13).groupBy("doc_id").agg(F.count("*").alias("hits"))
 
 
 @query("d5_janitor_clean")

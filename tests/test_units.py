@@ -1,6 +1,8 @@
 """Golden cases and brute force for what SQL can't say."""
 
 import json
+import re
+import string
 import zipfile
 from datetime import datetime
 
@@ -116,24 +118,48 @@ def test_matched_scores_and_bleu(spark):
     assert E.bleu(same.withColumn("predicted", F.lit("dog")), "q").first()[0] == 0
 
 
-@pytest.mark.parametrize(("text", "filth", "n", "window", "cutoff", "least", "want"), [
-    ("aaa bbb ccc ddd eee fff", {"ccc ddd"}, 2, 0, 10, 2, ["aaa bbb ", "eee fff"]),
-    ("short", set(), 2, 0, 10, 200, []),
-    ("x" * 201, set(), 2, 0, 10, 200, ["x" * 201]),
-    ("a b a b a b", {"a b"}, 2, 0, 2, 1, []),
-    ("aaa , bbb", {"aaa bbb"}, 2, 0, 10, 2, ["aaa , bbb"]),
-])
-def test_janitor(text, filth, n, window, cutoff, least, want):
-    assert D.clean_one(text, filth, n, window, cutoff, least) == want
+def plain_slices(text, dirty, n, window, cutoff, least):
+    """The slices by their definition: intervals around hits, then what lies between them."""
+    words = [(m.start(), m.end(), m[0].lower().translate(str.maketrans("", "", string.punctuation))) for m in re.finditer(r"\S+", text)]
+    hits = [(words[i][0], words[i + n - 1][1]) for i in range(len(words) - n + 1) if tuple(w for _, _, w in words[i : i + n]) in dirty]
+    if len(hits) > cutoff or not hits:
+        return [text] if not hits and len(text) >= least else []
+    begins, ends = [max(0, b - window) for b, _ in hits], [min(len(text), e + window) for _, e in hits]
+    between = [text[e:b] for e, b in zip([0, *ends], begins, strict=False) if b - e > least]
+    return between + ([text[ends[-1] + 1 :]] if len(text) - ends[-1] > least else [])
+
+
+def dirty_runs(texts, n):
+    lists = [[w for w in t.lower().translate(str.maketrans("", "", string.punctuation)).split() if w] for t in texts]
+    return {tuple(w[i : i + n]) for w in lists for i in range(len(w) - n + 1)}
 
 
-def test_clean_joins_only_what_hits(spark):
-    docs = spark.createDataFrame([(1, "Alpha beta! gamma delta epsilon " * 3 + "tail words that are clean " * 20), (2, "nothing here " * 30), (3, "tiny")], "doc_id int, text string")
-    bad = spark.createDataFrame([("alpha BETA gamma delta",)], "text string")
-    grams = {r["gram"] for r in D.document_grams(bad, 4, "text").collect()}
-    got = {(r["doc_id"], r["slice_id"]): r["slice"] for r in D.clean(docs, bad, 4, 20, 10, 50).collect()}
-    want = {(d, i): s for d, t in docs.collect() for i, s in enumerate(D.clean_one(t, grams, 4, 20, 10, 50))}
-    assert got == {k: v for k, v in want.items() if k[0] != 2} | {(2, 0): "nothing here " * 30}
+LINE = "This is a @line #containing a certain number of characters, 76 to be exact. "
+
+
+@pytest.mark.parametrize(("text", "filth", "n", "window", "cutoff", "least", "want"), [
+    ("aaa bbb ccc ddd eee fff", "ccc ddd", 2, 0, 10, 2, ["aaa bbb ", "eee fff"]),
+    ("short", "nothing here", 2, 0, 10, 200, []),
+    ("x" * 201, "nothing here", 2, 0, 10, 200, ["x" * 201]),
+    ("a b a b a b", "a b", 2, 0, 2, 1, []),
+    ("aaa , bbb", "aaa bbb", 2, 0, 10, 2, ["aaa , bbb"]),
+    ("\U0001f600 é aaa bbb tail of it", "aaa bbb", 2, 1, 10, 1, ["\U0001f600 é", "ail of it"]),
+    (LINE * 6 + "FILTH. " + LINE * 5, "filth", 1, 200, 10, 200, [LINE * 3 + "This is a @line #containing "]),
+])
+def test_janitor(spark, text, filth, n, window, cutoff, least, want):
+    docs, bad = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id int, text string"), spark.createDataFrame([(filth,)], "text string")
+    got = [r["slice"] for r in D.clean(docs, bad, n, window, cutoff, least).where("doc_id = 1").orderBy("slice_id").collect()]
+    assert got == want == plain_slices(text, dirty_runs([filth], n), n, window, cutoff, least)
+
+
+def test_clean_whole_table(spark):
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    dirty = dirty_runs([r["text"] for r in items.collect()], 13)
+    got = {(r["doc_id"], r["slice_id"]): r["slice"] for r in D.clean(docs, items, 13).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    slices = {d: plain_slices(t, dirty, 13, 200, 10, 200) for d, t in texts.items()}
+    assert got == {(d, i): s for d, some in slices.items() for i, s in enumerate(some)}
+    assert sum(some != [texts[d]] for d, some in slices.items() if len(texts[d]) >= 200) > 5
 
 
 def plain_ppr(edges, p, alpha, rounds):
