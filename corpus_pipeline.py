@@ -13,12 +13,18 @@ LEAST_COSINE = 0.05
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, or like no language learned from ``docs``. An unlabelled table teaches nothing; all with letters then stay."""
-    prototypes = langid.train(docs)
+    """Drops documents without a letter, null texts among them, or like no language learned from ``docs``.
+
+    A table without ``lang``, or with nulls alone there, teaches nothing; all with letters then stay. Columns
+    are as they were, whatever their names.
+    """
+    prototypes = langid.train(docs) if "lang" in docs.columns else {}
     if not prototypes:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = langid.predict(docs, prototypes, keep=("text", *[c for c in docs.columns if c not in ("doc_id", "text")]))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_COSINE)).select(*docs.columns)
+    own = [f"own{i}" for i in range(len(docs.columns))]
+    key, text = (own[docs.columns.index(c)] for c in ("doc_id", "text"))
+    found = langid.predict(docs.toDF(*own), prototypes, key=key, text=text, keep=tuple(c for c in own if c != key))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_COSINE)).select(*own).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +43,7 @@ def remove_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the texts into sequences of 2048 tokens: a row a piece, with its ids."""
+    """Packs the texts into sequences of 2048 tokens: a row a piece, with its ids. A null text packs as an empty one, a null id stays null."""
     return packing.pack(docs)
 
 
@@ -48,7 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over ``documents``, each written as Parquet and read again."""
+    """All stages in turn over ``documents``, each written as Parquet and read again.
+
+    Null, empty and letterless texts go in the first stage; of rows that repeat id and text all stay or go
+    together, and a null id is an id like any other, last in order. An empty table gives no piece.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)

@@ -11,8 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Where it isn't set, a local session gets a temporary one; a cluster, whose executors couldn't see that, is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quernstone-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
