@@ -9,12 +9,12 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, connected_components, discard, materialise, spare_names
 
-#: Postings of up to this many distinct fingerprints are compared pair by pair; longer ones go the exact neighbour way.
+#: Postings of up to this many distinct fingerprints are tallied pair by pair; the fingerprints of longer ones meet in a finer index.
 POSTING_PAIRS = 32
 #: Shingles whose bits are tallied at once.
 BLOCK = 255 * 64
@@ -67,46 +67,55 @@ def fingerprints(docs: DataFrame, width: int = 3, key: str = "doc_id", text: str
     return rows.mapInArrow(run, f"key {kind}, fp long").withColumnRenamed("key", key)
 
 
-def positional_byte(fp: Column, at: int) -> Column:
-    return F.shiftrightunsigned(fp, 8 * at).bitwiseAND(F.lit(255))
+def positional_bytes(fps: DataFrame, bytes_: int) -> DataFrame:
+    """(posting, fp): the inverted index, a posting being ``bytes_`` of the eight byte positions and the bytes there."""
+    masks = [sum(0xFF << 8 * i for i in chosen) for chosen in combinations(range(8), bytes_)]
+    masked = [F.xxhash64(F.lit(n), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) * (m >> 63)).cast("long"))) for n, m in enumerate(masks)]
+    return fps.select(F.explode(F.array(*masked)).alias("posting"), "fp")
 
 
-def shared_bytes(a: Column, b: Column) -> Column:
-    """The tally of positions at which two fingerprints have the same byte."""
-    return sum((F.when(positional_byte(a, i) == positional_byte(b, i), 1).otherwise(0) for i in range(8)), F.lit(0))
+def tallied_pairs(fps: DataFrame, bytes_: int, least: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """(pairs, crowded): pairs (a, b), a < b, that share ``least`` postings of ``bytes_`` positional bytes, and the fingerprints in postings of over POSTING_PAIRS.
+
+    Such a long posting is not paired up, so two crowded fingerprints may be missing: they go another way.
+    """
+    index = positional_bytes(fps, bytes_)
+    sizes = materialise(index.groupBy("posting").agg(F.count("*").alias("n")).where("n > 1"), f"{name}-sizes")
+    shared = materialise(index.join(sizes, "posting"), f"{name}-shared")
+    discard(sizes)
+    met = shared.where(F.col("n") <= POSTING_PAIRS).groupBy("posting").agg(F.sort_array(F.collect_list("fp")).alias("m"))
+    later = F.transform("m", lambda a, i: F.struct(a.alias("a"), F.slice("m", i + 2, POSTING_PAIRS).alias("bs")))
+    pairs = met.select(F.explode(later).alias("p")).select("p.a", F.explode("p.bs").alias("b"))
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("tally")).where(F.col("tally") >= least).select("a", "b")
+    return pairs, shared.where(F.col("n") > POSTING_PAIRS).select("fp").distinct()
 
 
 def near_fingerprints(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of distinct ``fp`` within ``max_bits`` (at most 2).
 
-    Two differing bits spoil at most 2 of the 8 positional bytes, so a pair has at least 6 in
-    common. A posting of the inverted index holds the fingerprints with the same bytes in two of the
-    four aligned byte pairs; any linked pair meets in at least one of the six postings it has, and
-    is kept if its tally of shared bytes reaches 8 - max_bits and the bits then agree. Postings of
-    over ``POSTING_PAIRS`` fingerprints are never paired up: their fingerprints meet in the values one
-    bit away from them (any two within 2 bits have one in common, and a value has at most 65
+    Differing bits spoil at most ``max_bits`` of the 8 positional bytes, so a pair has at least 6 in common and with
+    them C(6, 5) = 6 postings of five bytes each: the tally that a candidate must reach before its bits are compared.
+    Fingerprints in postings of over POSTING_PAIRS meet again in the finer index of as many bytes as any
+    pair has in common, where one posting is enough. In postings that are too long even there they meet in the values
+    one bit away from them (any two within 2 bits have one in common, and a value has at most 65
     fingerprints at that distance), each linked to the smallest there and nothing lost.
     """
     if not 0 <= max_bits <= 2:
         raise ValueError("max_bits is 0, 1 or 2")
-    groups = list(combinations(range(4), 2))
-    part = lambda g: F.shiftrightunsigned("fp", 16 * g).bitwiseAND(F.lit(0xFFFF))
-    keys = [F.lit(n).cast("long") * (1 << 32) + part(g) * 65536 + part(h) for n, (g, h) in enumerate(groups)]
-    index = fps.select("fp", F.explode(F.array(*keys)).alias("posting"))
-    long = index.groupBy("posting").count().where(F.col("count") > POSTING_PAIRS).select("posting")
-    long = materialise(long, "long-postings")
-    short = index.join(long, "posting", "left_anti")
-    a, b = short.withColumnRenamed("fp", "a"), short.withColumnRenamed("fp", "b")
-    pairs = a.join(b, "posting").where("a < b").where(shared_bytes(F.col("a"), F.col("b")) >= 8 - max_bits)
-    pairs = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).select("a", "b")
-    crowded = index.join(long, "posting", "left_semi").select("fp").distinct()
+    common = 8 - max_bits
+    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
+    pairs, crowded = tallied_pairs(fps, common - 1, common, "postings")
+    crowded = materialise(crowded, "crowded")
+    finer, dense = tallied_pairs(crowded, common, 1, "finer-postings")
+    pairs = pairs.unionByName(finer).where(close)
+    dense = materialise(dense, "dense")
     flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << 64) * (i == 63)).cast("long")) for i in range(64)])
-    around = crowded.select("fp", F.explode(flips).alias("value"))
+    around = dense.select("fp", F.explode(flips).alias("value"))
     if max_bits == 2:
         met = around.groupBy("value").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
         met = met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
     else:
-        met = around.join(crowded.withColumnRenamed("fp", "value"), "value", "left_semi").where("fp < value" if max_bits else "false").select(F.col("fp").alias("a"), F.col("value").alias("b"))
+        met = around.join(dense.withColumnRenamed("fp", "value"), "value", "left_semi").where("fp < value" if max_bits else "false").select(F.col("fp").alias("a"), F.col("value").alias("b"))
     return pairs.unionByName(met).distinct()
 
 
