@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,12 +12,12 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialise
 
-#: A sentence ends after its closing marks and the white space behind them, or with its line.
-_END = re.compile(r"[.!?。！？]+\s+|\n+")
-_WORD = re.compile(r"\S+\s*")
+#: A sentence ends after its closing marks and the white space behind them, full-width marks need none, or with its line.
+_END = re.compile(r"[.!?]+\s+|[。！？]+\s*|\n+")
+#: Scripts written without blanks: each of their characters counts as a word.
+_SIGN = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
+_WORD = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]|[^\s\u3040-\u30ff\u3400-\u9fff]+")
 
-#: Sentences of more words than this are cut behind words picked by their own hash, so a passage is cut alike wherever it stands.
-LONG_SENTENCE = 12
 #: Distinct spans that a task remembers; a full memory is emptied, which only costs shuffled rows.
 MEMORY = 1_000_000
 
@@ -27,30 +26,18 @@ def sentences(text: str) -> list[str]:
     """The text's sentences in order, white space kept: joined they are the text."""
     out, at = [], 0
     for end in [*[m.end() for m in _END.finditer(text)], len(text)]:
-        if end == at:
-            continue
-        piece, at = text[at:end], end
-        if piece.count(" ") < LONG_SENTENCE:
-            out.append(piece)
-            continue
-        run: list[str] = []
-        found = _WORD.findall(piece)
-        if len(found) <= LONG_SENTENCE:
-            out.append(piece)
-            continue
-        lead = len(piece) - sum(map(len, found))
-        if lead:
-            found[0] = piece[:lead] + found[0]
-        for word in found:
-            run.append(word)
-            if not zlib.crc32(word.strip().lower().encode()) & 7:
-                out.append("".join(run))
-                run = []
-        if run:
-            out.append("".join(run))
+        if end > at:
+            out.append(text[at:end])
+            at = end
     return out
 
 
+def words(sentence: str) -> list[str]:
+    """The sentence's lower-case words."""
+    low = sentence.lower()
+    return _WORD.findall(low) if _SIGN.search(low) else low.split()
+
+
 def spans(text: str, least_sentences: int, least_words: int) -> Iterator[tuple[int, int, int]]:
     """(hash, first sentence, sentences) of the shortest runs that have at least so many sentences and words, by their first sentence.
 
@@ -58,7 +45,7 @@ def spans(text: str, least_sentences: int, least_words: int) -> Iterator[tuple[i
     any longer run cover all of it. Runs start with a word, and those up to a sentence also end with one, so no two are the
     same words in the same place. The hash is of the words, case and white space aside.
     """
-    units = [" ".join(s.lower().split()) for s in sentences(text)]
+    units = [" ".join(words(s)) for s in sentences(text)]
     sizes = [u.count(" ") + 1 if u else 0 for u in units]
     ends: list[list[int]] = [[] for _ in units]
     end = total = 0
@@ -105,11 +92,11 @@ def repeated_spans(docs: DataFrame, least_sentences: int = 2, least_words: int =
             rows = []
             for doc, text_hash, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 for h, first, count in spans(body or "", least_sentences, least_words):
-                    place = (doc is None, doc, text_hash, first)
+                    place = (doc is None, () if doc is None else (doc,), text_hash, first)
                     was = seen.get(h)
                     if was == place:
                         continue
-                    later = was is not None and (was[0], was[1] or 0, was[2], was[3]) < (place[0], place[1] or 0, text_hash, first)
+                    later = was is not None and was < place
                     if not later:
                         if len(seen) >= MEMORY:
                             seen.clear()
@@ -132,7 +119,8 @@ def remove_repeats(docs: DataFrame, least_sentences: int = 2, least_words: int =
     """(key, text, n_sentences, n_removed, removed_chars) for every row, repeated sentences taken out.
 
     A span is a run of at least ``least_sentences`` consecutive sentences and ``least_words`` words. Every
-    sentence that any non-first repeated span covers is removed, the rest of the text stays as it was.
+    sentence that any non-first repeated span covers is removed, the rest of the text stays as it was. A passage that
+    begins or ends within a sentence keeps that sentence, which is as a whole no repeat.
     Null text stays null with counts 0, empty text has no sentences; rows that repeat key and
     text are the same document and are cleaned alike; an empty table gives an empty result; other
     columns are ignored.
