@@ -25,6 +25,9 @@ REVISIT_BYTES = 1000
 BLOCK_LINES = 512
 #: Gaps between wanted records up to which one range read takes both, and the most that it takes.
 GAP, READ = 1 << 16, 1 << 23
+#: Keys that a task looks up, and stored bytes that it reads.
+LOOKUPS = 20_000
+PART = 4 << 20
 
 
 class ArchiveError(ValueError):
@@ -257,7 +260,8 @@ def lookup(wanted: DataFrame, files: DataFrame, folder: str) -> DataFrame:
 
     kind = wanted.schema["page_id"].dataType.simpleString()
     keys = wanted.select("url", "page_id").distinct().mapInArrow(place, f"page_id {kind}, key string, at array<int>").select("page_id", "key", F.explode("at").alias("at"))
-    ranged = keys.repartitionByRange("key").sortWithinPartitions("at", "key")
+    parts = max(1, -(-wanted.count() // LOOKUPS))  # by the work: adaptive execution would see a few bytes a key
+    ranged = keys.repartitionByRange(parts, "key").sortWithinPartitions("at", "key")
     return ranged.mapInArrow(search, f"page_id {kind}, file string, offset long, size long")
 
 
@@ -300,7 +304,9 @@ def read_captures(captures: DataFrame, folder: str, with_payload: bool = False)
             yield pa.RecordBatch.from_arrays(arrays, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
     kind = captures.schema["page_id"].dataType.simpleString()
-    ranged = captures.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    captures = materialise(captures, "captures")
+    stored = captures.agg(F.sum("size")).first()[0] or 0
+    ranged = captures.repartitionByRange(max(1, -(-stored // PART)), "file", "offset").sortWithinPartitions("file", "offset")
     out = ranged.mapInArrow(run, f"page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}, payload binary")
     return out if with_payload else out.drop("payload")
 
