@@ -24,9 +24,9 @@ SHARED_CLASSES = 1024
 CLASSES = OWN_CLASSES + SHARED_CLASSES
 #: Words whose counts go to every worker at most; all rarer ones are joined.
 LEXICON = 200_000
-#: Training runs over stretches of so many tokens, and over so many stretches at once.
-STRETCH = 256
-STRETCHES = 1024
+#: Training takes texts of up to so many tokens together and longer ones together, so many tokens at once.
+LONG = 1024
+TOKENS = 1_000_000
 #: Distinct words that a task counts before it passes them on.
 MEMORY = 300_000
 #: Expected counts are summed as multiples of 1/QUANTUM, so that sums don't depend on their order.
@@ -142,62 +142,75 @@ class Model:
 
 
 def expected_counts(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch: expected starts, moves and emissions over the texts' stretches."""
+    """Baum-Welch: expected starts, moves and emissions over whole texts, all texts a step at a time.
+
+    Texts lie longest first, so step t's rows are those of the texts of more than t tokens, and rows of all
+    steps follow each other without a gap.
+    """
     states = len(model.start)
-    starts, moves, emits = np.zeros(states), np.zeros((states, states)), np.zeros((CLASSES, states))
-    pieces = sorted(((t[i : i + STRETCH], i == 0) for t in texts for i in range(0, len(t), STRETCH)), key=lambda p: -len(p[0]))
-    for at in range(0, len(pieces), STRETCHES):
-        some = pieces[at : at + STRETCHES]
-        lengths = np.array([len(p) for p, _ in some])
-        is_first = np.array([f for _, f in some])
-        seen = np.zeros((lengths[0], len(some)), np.int64)
-        for i, (p, _) in enumerate(some):
-            seen[: len(p), i] = p
-        live = [int(np.searchsorted(-lengths, -t, "left")) for t in range(lengths[0])]  # stretches longer than t
-        forward = np.empty((lengths[0], len(some), states))
-        scale = np.empty((lengths[0], len(some)))
-        now = np.where(is_first[:, None], model.start, model.occupied) * model.emit[seen[0]]
-        for t in range(lengths[0]):
-            m = live[t]
-            if t:
-                now = (now[:m] @ model.move) * model.emit[seen[t, :m]]
-            scale[t, :m] = total = now.sum(1)
-            now = now / total[:, None]
-            forward[t, :m] = now
-        back = np.ones((len(some), states))
-        for t in range(lengths[0] - 1, -1, -1):
-            m = live[t]
-            after = live[t + 1] if t + 1 < lengths[0] else 0
-            if after:
-                later = model.emit[seen[t + 1, :after]] * back[:after] / scale[t + 1, :after, None]
-                moves += forward[t, :after].T @ later * model.move
-                back[:after] = later @ model.move.T
-            both = forward[t, :m] * back[:m]
-            both /= both.sum(1)[:, None]
-            forward[t, :m] = both
-        starts += forward[0][is_first].sum(0)
-        valid = np.arange(lengths[0])[:, None] < lengths
-        flat, weights = seen[valid], forward[valid]
-        for k in range(states):
-            emits[:, k] += np.bincount(flat, weights[:, k], CLASSES)
-    return starts, moves, emits
+    texts = sorted((t for t in texts if len(t)), key=lambda t: -len(t))
+    starts, emits = np.zeros(states), np.zeros((CLASSES, states))
+    if not texts:
+        return starts, np.zeros((states, states)), emits
+    lengths = np.array([len(t) for t in texts])
+    live = len(texts) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), "right")
+    begin = np.concatenate([[0], np.cumsum(live)])
+    seen = np.empty(begin[-1], np.int64)
+    for i, t in enumerate(texts):
+        seen[begin[: len(t)] + i] = t
+    emit = model.emit[seen]
+    forward, scale, back = np.empty_like(emit), np.empty(len(emit)), np.ones_like(emit)
+    now = model.start * emit[: live[0]]
+    for t in range(lengths[0]):
+        here = slice(begin[t], begin[t + 1])
+        if t:
+            now = (now[: live[t]] @ model.move) * emit[here]
+        scale[here] = total = now.sum(1)
+        now = now / total[:, None]
+        forward[here] = now
+    later = emit / scale[:, None]
+    onward = np.ascontiguousarray(model.move.T)
+    for t in range(lengths[0] - 2, -1, -1):
+        after = slice(begin[t + 1], begin[t + 2])
+        later[after] *= back[after]
+        back[begin[t] : begin[t] + live[t + 1]] = later[after] @ onward
+    before = np.arange(begin[1], begin[-1]) - np.repeat(live[:-1], live[1:])  # the row of the same text a step earlier
+    moves = forward[before].T @ later[begin[1] :] * model.move
+    both = forward * back
+    both /= both.sum(1)[:, None]
+    for k in range(states):
+        emits[:, k] = np.bincount(seen, both[:, k], CLASSES)
+    return both[: live[0]].sum(0), moves, emits
 
 
 def baum_welch(coded: DataFrame, marginal: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Model:
-    """Trains on every row's classes. Each task sends its sums of expected counts; their number depends on the model alone."""
+    """Trains on every row's classes, whole texts. Each task sends its sums of expected counts; their number depends on the model alone."""
     spark, model = coded.sparkSession, Model.first(marginal, states)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            total = None
+            total = np.zeros(states + states * states + CLASSES * states)
+            waiting: tuple[list[np.ndarray], ...] = ([], [])
+            tokens = [0, 0]
+
+            def flush(kind: int) -> None:
+                total[:] += np.concatenate([p.ravel() for p in expected_counts(shared.value, waiting[kind])])
+                waiting[kind].clear()
+                tokens[kind] = 0
+
             for batch in batches:
-                texts = [np.frombuffer(c, "<u2") for c in batch.column(0).to_pylist()]
-                part = np.concatenate([p.ravel() for p in expected_counts(shared.value, texts)]) if texts else None
-                total = part if total is None else total + part if part is not None else total
-            if total is not None:
-                at = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.rint(total[at] * QUANTUM).astype(np.int64))], ["at", "n"])
+                for classes in batch.column(0).to_pylist():
+                    text = np.frombuffer(classes, "<u2")
+                    kind = int(len(text) > LONG)
+                    waiting[kind].append(text)
+                    tokens[kind] += len(text)
+                    if tokens[kind] >= TOKENS:
+                        flush(kind)
+            flush(0)
+            flush(1)
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.rint(total[at] * QUANTUM).astype(np.int64))], ["at", "n"])
 
         sums = np.zeros(states + states * states + CLASSES * states)
         for at, n in coded.select("classes").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n")).collect():
