@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, spare_names
 
 #: Sketch rows up to which the sketch is broadcast (16 bytes each); above, the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -81,6 +81,7 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, similarit
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that contain no item, with their columns as they were."""
-    bad = contained_items(docs, items, width, similarity, key, text=text).select(F.col(key).alias("_bad"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("_bad")) & (F.xxhash64(F.col(text).cast("string")) == F.col("_hash")), "left_anti")
+    """The rows of ``docs`` that contain no item, with their columns as they were, whatever their names."""
+    bad, hashed = spare_names(docs, "bad", "hash")
+    found = contained_items(docs, items, width, similarity, key, text=text).select(F.col(key).alias(bad), F.col("text_hash").alias(hashed)).distinct()
+    return docs.join(found, F.col(key).eqNullSafe(F.col(bad)) & (F.xxhash64(F.col(text).cast("string")) == F.col(hashed)), "left_anti")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -14,21 +15,29 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise
+from .common import bounded_batches, materialise, spare_names
 
-KINDS = ("email", "ip", "card", "phone", "term")
+KINDS = ("email", "ip", "card", "phone", "secret", "term")
+#: The kinds whose patterns are given; secrets and terms are the method's own.
+BASE_KINDS = 4
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TERM = re.compile(r"[^\W\d_]{4,}")
+_SECRET = re.compile(r"[A-Za-z0-9_+=-]{24,}")
+_TERM = re.compile(r"[^\W\d_]{2,}")
 
 #: Characters on either side of an entity in which a term counts as co-occurring with it.
 WINDOW = 80
 #: Different surroundings in which an entity and a term must meet, and the share of a term's occurrences.
 SUPPORT = 3
 SHARE = 0.5
+#: Bits that all surroundings together must tell of a group of entities: chance gives a term so many once in 2 to that power.
+EVIDENCE = 30
+#: Bits a character and least letters and digits of a secret: random hexadecimal digits have close to 4, words hardly a digit.
+SECRET_BITS = 3.0
+SECRET_SIGNS = 4
 #: Size of the bit map that screens terms before the exact join: its size is fixed, its precision isn't needed.
 SCREEN = 1 << 22
 
@@ -63,23 +72,54 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def secret_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Keys and tokens: long runs of letters and digits too random to be words, outside the spans ``taken``."""
+    out = []
+    for m in _SECRET.finditer(text):
+        digits, letters = sum(c.isdigit() for c in m[0]), sum(c.isalpha() for c in m[0])
+        if min(digits, letters) < SECRET_SIGNS or any(s < m.end() and m.start() < e for _, s, e in taken):
+            continue
+        n = len(m[0])
+        if -sum(k / n * math.log2(k / n) for k in Counter(m[0]).values()) >= SECRET_BITS:
+            out.append((KINDS.index("secret"), *m.span()))
+    return out
+
+
+def groups_of(kind: int, value: str) -> list[str]:
+    """What an entity belongs to: its kind, and an address's host, network or prefix."""
+    digits = "".join(c for c in value if c.isdigit())
+    part = {0: value.rsplit("@", 1)[-1], 1: ".".join(value.split(".")[:2]), 2: digits[:6], 3: digits[:6]}.get(kind)
+    return [f"{KINDS[kind]}", *([f"{KINDS[kind]} {part}"] if part else [])]
+
+
 def render(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
+def _digest(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
 def surroundings(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """For each span: the entity's hash, the terms near it (itself and other spans left out), and a hash of these."""
+    """For each span: the hashes of the entity and of its groups, the terms near it (itself and other spans left out), and a hash of these.
+
+    A window that ends within a word goes on to the word's end.
+    """
     out, taken = [], sorted((s, e) for _, s, e in spans)
     for kind, start, end in spans:
         low, high = max(0, start - WINDOW), min(len(text), end + WINDOW)
+        while low and text[low - 1].isalpha() and text[low].isalpha():
+            low -= 1
+        while high < len(text) and text[high].isalpha() and text[high - 1].isalpha():
+            high += 1
         chars, base = list(text[low:high]), low
         for s, e in taken:
             for i in range(max(s, low), min(e, high)):
                 chars[i - base] = " "
         terms = sorted({t.lower() for t in _TERM.findall("".join(chars))})
         if terms:
-            entity = xxhash.xxh3_64_intdigest(f"{KINDS[kind]}:{text[start:end].lower()}") - (1 << 63)
-            out.append({"entity": entity, "context": xxhash.xxh3_64_intdigest(" ".join(terms)) - (1 << 63), "terms": terms})
+            value = text[start:end].lower()
+            out.append({"entity": _digest(f"{KINDS[kind]}:{value}"), "groups": [_digest(g) for g in groups_of(kind, value)], "context": _digest(" ".join(terms)), "terms": terms})
     return out
 
 
@@ -88,11 +128,13 @@ def screen_bit(term: str) -> int:
 
 
 def _screen(terms: DataFrame) -> np.ndarray:
-    """A bit map of the terms' checksums. Reaches the driver: at most SCREEN numbers."""
-    bits = np.zeros(SCREEN, bool)
-    for (bit,) in terms.select((F.crc32(F.col("term").cast("binary")) % SCREEN).alias("bit")).distinct().toLocalIterator():
-        bits[bit] = True
-    return np.packbits(bits)
+    """A bit map of the terms' checksums. Reaches the driver as words of 64 bits: at most SCREEN / 64 rows."""
+    bit = (F.crc32(F.col("term").cast("binary")) % SCREEN).alias("bit")
+    words = terms.select(bit).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("word"))
+    out = np.zeros(SCREEN // 64, np.int64)
+    for at, word in words.collect():
+        out[at] = word
+    return np.packbits(np.unpackbits(out.view(np.uint8), bitorder="little"))
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -108,50 +150,60 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         for batch in batches:
             bodies = [b or "" for b in batch.column(2).to_pylist()]
             spans = [base_spans(b) for b in bodies]
+            spans = [found + secret_spans(b, found) for b, found in zip(bodies, spans, strict=True)]
             near = [surroundings(b, s) if s else [] for b, s in zip(bodies, spans, strict=True)]
             rows = [[{"kind": k, "start": s, "end": e} for k, s, e in found] for found in spans]
             span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-            around = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("terms", pa.list_(pa.string()))]))
+            around = pa.list_(pa.struct([("entity", pa.int64()), ("groups", pa.list_(pa.int64())), ("context", pa.int64()), ("terms", pa.list_(pa.string()))]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, span), pa.array(near, around)], ["doc", "text_hash", "spans", "near"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return _rows(docs, key, text).mapInArrow(run, f"doc {kind}, text_hash long, spans array<struct<kind: int, start: int, end: int>>, near array<struct<entity: long, context: long, terms: array<string>>>")
+    return _rows(docs, key, text).mapInArrow(run, f"doc {kind}, text_hash long, spans array<struct<kind: int, start: int, end: int>>, near array<struct<entity: long, groups: array<long>, context: long, terms: array<string>>>")
 
 
-def revealing_terms(docs: DataFrame, found: DataFrame, text: str = "text", support: int = SUPPORT, share: float = SHARE) -> DataFrame:
-    """(term) whose occurrences disclose an entity.
+def revealing_terms(docs: DataFrame, found: DataFrame, text: str = "text", support: int = SUPPORT, share: float = SHARE, evidence: float = EVIDENCE) -> DataFrame:
+    """(term) whose occurrences disclose an entity or a group of entities.
 
-    For a term t and an entity e: P(e|t) is the share of t's occurrences in the whole corpus that stand
-    near e; t reveals e if they meet in at least ``support`` different surroundings and P(e|t) >=
-    ``share``. How frequent e is doesn't matter: log2(P(e|t) / P(e)) is at most -log2 P(e), so a least gain would
-    hide every term of a frequent entity. Copies of one passage are one surrounding. Counts cover all documents; a bit map of fixed size only screens which words are
-    counted.
+    Protected are single entities and groups of them: all of a kind, those of one mail host, network, card
+    issuer or area code. For a term t and an entity or group e, P(e|t) is the share of t's occurrences in the
+    whole corpus that stand near e, P(e) that of all words. t reveals e if they meet in at least ``support``
+    different surroundings and P(e|t) >= ``share``; for a group, which is large, the surroundings must also tell
+    ``evidence`` bits of it in all, each log2(P(e|t) / P(e)). How frequent a single entity is doesn't matter: its
+    gain is at most -log2 P(e), so a least gain would hide every term of a frequent one. Copies of one
+    passage are one surrounding. Counts cover all documents; a bit map of fixed size only screens which words are counted.
     """
     windows = found.select(F.explode("near").alias("w")).select("w.*")
-    met = windows.select("entity", "context", F.explode("terms").alias("term")).groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
-    met = materialise(met.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("joint")).where(F.col("contexts") >= support), "met")
+    whole = F.transform("groups", lambda g: F.struct(g.alias("entity"), F.lit(True).alias("group")))
+    windows = windows.select(F.explode(F.concat(F.array(F.struct("entity", F.lit(False).alias("group"))), whole)).alias("e"), "context", "terms").select("e.*", "context", "terms")
+    near = windows.groupBy("entity").agg(F.sum(F.size("terms")).alias("near"))
+    met = windows.select("entity", "group", "context", F.explode("terms").alias("term")).groupBy("entity", "group", "term", "context").agg(F.count("*").alias("n"))
+    met = materialise(met.groupBy("entity", "group", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("joint")).where(F.col("contexts") >= support), "met")
     screen = docs.sparkSession.sparkContext.broadcast(_screen(met))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bit_map, counts = np.unpackbits(screen.value).astype(bool), Counter()
+        bit_map, counts, total = np.unpackbits(screen.value).astype(bool), Counter(), 0
 
-        def flush() -> pa.RecordBatch:
-            kept = [(t, n) for t, n in counts.items() if bit_map[screen_bit(t)]]
+        def flush(last: bool) -> pa.RecordBatch:
+            kept = [(t, n) for t, n in counts.items() if bit_map[screen_bit(t)]] + [(None, total)] * last
             counts.clear()
             return pa.RecordBatch.from_arrays([pa.array([t for t, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["term", "n"])
 
         for batch in batches:
             for body in batch.column(0).to_pylist():
-                counts.update(_TERM.findall((body or "").lower()))
+                words = _TERM.findall((body or "").lower())
+                counts.update(words)
+                total += len(words)
             if len(counts) > 300_000:
-                yield flush()
-        yield flush()
+                yield flush(False)
+        yield flush(True)
 
     counted = docs.select(F.col(text).cast("string")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("times"))
-    tied = met.join(counted, "term")
+    counted = materialise(counted, "term-counts")  # the row of no term is the number of all words
+    words = counted.where("term is null").select(F.col("times").alias("words"))
+    tied = met.join(counted, "term").join(near, "entity").crossJoin(words)  # one row
     given = F.least(F.col("joint") / F.col("times"), F.lit(1.0))
-    tied = tied.where(given >= share)
-    return tied.select("term").distinct()
+    told = F.col("contexts") * F.log2(given / F.least(F.col("near") / F.col("words"), F.lit(1.0)))
+    return tied.where(given >= share).where(~F.col("group") | (told >= evidence)).select("term").distinct()
 
 
 def term_spans(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -186,21 +238,22 @@ def term_spans(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str
 def find_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", support: int = SUPPORT, share: float = SHARE) -> DataFrame:
     """(key, text_hash, base, spans) for every row, both arrays of (kind, start, end) in code points.
 
-    ``base`` has the pattern spans, ``spans`` these and the revealing terms'. Null texts count as empty;
+    ``base`` has the given patterns' spans, ``spans`` these, secrets' and the revealing terms'. Null texts count as empty;
     rows that repeat key and text get the same spans; an empty table gives an empty result; other
     columns are ignored.
     """
     bounded_batches(docs.sparkSession)
     found = materialise(detect(docs, key, text), "pattern-spans")
     terms = materialise(revealing_terms(docs, found, text, support, share), "revealing-terms")
-    base = found.select("doc", "text_hash", F.col("spans").alias("base"))
+    base = found.select("doc", "text_hash", "spans")
     if terms.limit(1).count():
         more = term_spans(docs, terms, key, text).withColumnsRenamed({"doc": "_doc", "text_hash": "_hash"})
         base = base.join(more, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left")
-        both = F.when(F.col("term_spans").isNull(), F.col("base")).otherwise(F.concat("base", "term_spans"))
+        both = F.when(F.col("term_spans").isNull(), F.col("spans")).otherwise(F.concat("spans", "term_spans"))
     else:
-        both = F.col("base")
-    return base.select(F.col("doc").alias(key), "text_hash", "base", both.alias("spans"))
+        both = F.col("spans")
+    given = F.filter("spans", lambda s: s["kind"] < BASE_KINDS)
+    return base.select(F.col("doc").alias(key), "text_hash", given.alias("base"), both.alias("spans"))
 
 
 def _joined(spans: str):
@@ -212,7 +265,7 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     """(key, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row."""
     spans = find_spans(docs, key, text)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    return spans.select(key, *[count(k) for k in range(4)], F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+    return spans.select(key, *[count(k) for k in range(BASE_KINDS)], F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
 
 
 def generalise(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -231,11 +284,12 @@ def generalise(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the text of every row generalised, columns as they were. Null texts stay null."""
+    """``docs`` with the text of every row generalised, columns as they were, whatever their names. Null texts stay null."""
     spans = find_spans(docs, key, text).where(F.size("spans") > 0).dropDuplicates([key, "text_hash"])
-    spans = spans.select(F.col(key).alias("_doc"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"))
+    doc, hashed, found = spare_names(docs, "doc", "hash", "spans")
+    spans = spans.select(F.col(key).alias(doc), F.col("text_hash").alias(hashed), F.col("spans").alias(found))
     body = F.col(text).cast("string")
-    both = docs.join(spans, F.col(key).eqNullSafe(F.col("_doc")) & (F.xxhash64(body) == F.col("_hash")), "left").drop("_doc", "_hash")
+    both = docs.join(spans, F.col(key).eqNullSafe(F.col(doc)) & (F.xxhash64(body) == F.col(hashed)), "left").drop(doc, hashed)
     at = both.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
