@@ -22,6 +22,7 @@ PROGRAM = 1
 STREAM_TYPE_PRIVATE_PES = 0x06
 STREAM_ID_PRIVATE_1 = 0xBD
 CLOCK = 90_000
+MASK = (1 << 33) - 1
 
 #: Payload bytes of an access unit, ticks between units, and units between random-access points.
 UNIT = 16_384
@@ -59,41 +60,49 @@ def _section(table_id: int, number: int, body: bytes) -> bytes:
     return head + body + section_crc(head + body).to_bytes(4, "big")
 
 
-def _table_packet(pid: int, section: bytes) -> bytes:
+def _table_packet(pid: int, section: bytes, count: int) -> bytes:
     body = b"\x00" + section
-    return bytes([SYNC, 0x40 | pid >> 8, pid & 255, 0x10]) + body + b"\xff" * (PACKET - 4 - len(body))
+    return bytes([SYNC, 0x40 | pid >> 8, pid & 255, 0x10 | count & 15]) + body + b"\xff" * (PACKET - 4 - len(body))
 
 
-_TABLES = _table_packet(PAT_PID, _section(0x00, 1, PROGRAM.to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big"))) + _table_packet(
-    PMT_PID, _section(0x02, PROGRAM, (0xE000 | DATA_PID).to_bytes(2, "big") + b"\xf0\x00" + bytes([STREAM_TYPE_PRIVATE_PES]) + (0xE000 | DATA_PID).to_bytes(2, "big") + b"\xf0\x00")
-)
+_ASSOCIATION = _section(0x00, 1, PROGRAM.to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big"))
+_MAP = _section(0x02, PROGRAM, (0xE000 | DATA_PID).to_bytes(2, "big") + b"\xf0\x00" + bytes([STREAM_TYPE_PRIVATE_PES]) + (0xE000 | DATA_PID).to_bytes(2, "big") + b"\xf0\x00")
 
 
 def _stamp(pts: int) -> bytes:
     return bytes([0x21 | (pts >> 29) & 0x0E, (pts >> 22) & 0xFF, (pts >> 14) & 0xFE | 1, (pts >> 7) & 0xFF, (pts << 1) & 0xFE | 1])
 
 
+def _clock(base: int) -> bytes:
+    """A program clock reference of a 33-bit base, extension 0."""
+    return (base << 15 | 0x7E00).to_bytes(6, "big")
+
+
 def mux(payload: bytes) -> bytes:
-    """A single-program stream: program tables, then one elementary packet an access unit."""
-    out, count = [_TABLES], 0
+    """A single-program stream: one elementary packet an access unit, its first packet with the program clock.
+
+    A unit is presented a tick after the clock at which it comes. Program tables stand before each random-access point, so
+    that a reader can begin there.
+    """
+    out, count, tables = [], 0, 0
     for unit, at in enumerate(range(0, len(payload), UNIT)):
-        data = payload[at : at + UNIT]
-        pes = b"\x00\x00\x01" + bytes([STREAM_ID_PRIVATE_1]) + (len(data) + 8).to_bytes(2, "big") + b"\x80\x80\x05" + _stamp(unit * TICKS & 0x1FFFFFFFF) + data
-        place, access = 0, unit % ACCESS == 0
+        access = unit % ACCESS == 0
+        if access:
+            out += [_table_packet(PAT_PID, _ASSOCIATION, tables), _table_packet(PMT_PID, _MAP, tables)]
+            tables += 1
+        data, clock = payload[at : at + UNIT], unit * TICKS & MASK
+        pes = b"\x00\x00\x01" + bytes([STREAM_ID_PRIVATE_1]) + (len(data) + 8).to_bytes(2, "big") + b"\x80\x80\x05" + _stamp(clock + TICKS & MASK) + data
+        place = 0
         while place < len(pes):
             start = place == 0
-            left = len(pes) - place
-            field = b""
-            if start and access:
-                field = b"\x01\x40"
+            field = b"\x07" + bytes([0x10 | access << 6]) + _clock(clock) if start else b""
             room = PACKET - 4 - len(field)
-            if left < room:
-                pad = room - left
+            if (pad := room - (len(pes) - place)) > 0:  # the last packet is filled up by its adaptation field
                 if field:
-                    field = bytes([1 + pad]) + b"\x40" + b"\xff" * pad
+                    field = bytes([field[0] + pad]) + field[1:] + b"\xff" * pad
                 else:
                     field = b"\x00" if pad == 1 else bytes([pad - 1]) + b"\x00" + b"\xff" * (pad - 2)
-                room = left
+                room -= pad
             out.append(bytes([SYNC, start << 6 | DATA_PID >> 8, DATA_PID & 255, (0x30 if field else 0x10) | count]))
             out.append(field)
             out.append(pes[place : place + room])
@@ -114,14 +123,15 @@ def _read_section(payload: bytes, table_id: int) -> bytes:
 def demux(stream: bytes) -> tuple[bytes, dict]:
     """The payload of the first program's first stream, and what the stream's structure says.
 
-    Follows the program association and map tables, checks sync bytes, section checksums and the
-    continuity counter of every packet, reassembles elementary packets by their lengths, and reads each
-    one's timestamp and whether it is a random-access point.
+    Follows the program association and map tables, checks sync bytes, section checksums and, for each PID,
+    the continuity counter of every packet with payload, reassembles elementary packets by their lengths, and reads each
+    one's timestamp, the clock it came at and whether it is a random-access point. No unit may be due before its clock.
     """
     if len(stream) % PACKET:
         raise StreamError("not a whole number of packets")
     map_pid = data_pid = None
-    last, parts, units, stamps, access = None, [], [], [], []
+    last: dict[int, int] = {}
+    parts, units, stamps, clocks, access = [], [], [], [], []
 
     def close() -> None:
         pes = b"".join(parts)
@@ -136,20 +146,24 @@ def demux(stream: bytes) -> tuple[bytes, dict]:
             raise StreamError(f"no sync byte at {at}")
         pid = (stream[at + 1] & 0x1F) << 8 | stream[at + 2]
         control = stream[at + 3]
-        begin, random_access = at + 4, False
+        begin, random_access, clock = at + 4, False, None
         if control & 0x20:
             size = stream[begin]
             random_access = size > 0 and bool(stream[begin + 1] & 0x40)
+            if size > 6 and stream[begin + 1] & 0x10:
+                clock = int.from_bytes(stream[begin + 2 : begin + 8], "big") >> 15
             begin += 1 + size
         start = bool(stream[at + 1] & 0x40)
-        if pid == data_pid:
-            if last is not None and control & 15 != (last + 1) & 15:
+        if control & 0x10:
+            if pid in last and control & 15 != (last[pid] + 1) & 15:
                 raise StreamError(f"continuity breaks at packet {at // PACKET}")
-            last = control & 15
+            last[pid] = control & 15
+        if pid == data_pid:
             if start:
                 if parts:
                     close()
                 access.append(random_access)
+                clocks.append(clock)
             parts.append(stream[begin : at + PACKET])
         elif pid == PAT_PID:
             map_pid = int.from_bytes(_read_section(stream[begin : at + PACKET], 0x00)[2:4], "big") & 0x1FFF
@@ -161,6 +175,8 @@ def demux(stream: bytes) -> tuple[bytes, dict]:
         close()
     if data_pid is None or any((b - a) % (1 << 33) > 1 << 32 for a, b in zip(stamps, stamps[1:], strict=False)):
         raise StreamError("no program, or timestamps that run back")
+    if any(c is not None and (s - c) % (1 << 33) > 1 << 32 for s, c in zip(stamps, clocks, strict=True)):
+        raise StreamError("a unit is due before its clock")
     points = [s for s, a in zip(stamps, access, strict=True) if a]
     return b"".join(units), {"pid": data_pid, "packets": len(stream) // PACKET, "units": len(units), "timestamps": stamps, "random_access": points}
 
