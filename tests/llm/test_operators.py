@@ -233,21 +233,67 @@ def test_word_ids_are_the_tokenizers(text):
         assert [np.frombuffer(i, "<u4").tolist() for i in memo.texts([text.encode(), None])] == [want, []]
 
 
+def plain_sentences(text):
+    """Sentences by walking over the characters: marks and the white space behind them, or line ends, close one."""
+    out, begin, i = [], 0, 0
+    while i < len(text):
+        j = i
+        if text[i] in ".!?":
+            while j < len(text) and text[j] in ".!?":
+                j += 1
+            k = j
+            while k < len(text) and text[k].isspace():
+                k += 1
+            if k == j:
+                i = j
+                continue
+            j = k
+        elif text[i] == "\n":
+            while j < len(text) and text[j] == "\n":
+                j += 1
+        else:
+            i += 1
+            continue
+        out.append(text[begin:j])
+        begin = i = j
+    return out + [text[begin:]] * (begin < len(text))
+
+
 def test_repeated_spans(docs, rows):
+    """All runs of 2 to 24 sentences and 20 words or more: longer ones hold a shorter one wherever sentences have a word."""
     got = {r["doc_id"]: r for r in span_dedup.remove_repeats(docs).collect()}
-    first, covered = {}, defaultdict(set)
-    for d, t, _ in rows:
-        for h, i, n in span_dedup.spans(t, 2, 20):
-            if h in first:
-                covered[d] |= set(range(i, i + n))
-            else:
-                first[h] = (d, i)
+    seen, removed = set(), 0
     for d, t, _ in rows:
-        units = span_dedup.sentences(t)
-        assert "".join(units) == t
-        assert got[d]["text"] == "".join(u for i, u in enumerate(units) if i not in covered[d])
-        assert (got[d]["n_sentences"], got[d]["n_removed"]) == (len(units), len(covered[d]))
-    assert sum(map(len, covered.values())) > 100
+        units = plain_sentences(t)
+        words = [u.lower().split() for u in units]
+        gone = set()
+        for i in range(len(units)):
+            run, size = list(words[i]), 1
+            while size < 24 and i + size < len(units) and words[i]:
+                run += words[i + size]
+                size += 1
+                if len(run) >= 20 and words[i + size - 1]:
+                    key = tuple(run)
+                    if key in seen:
+                        gone |= set(range(i, i + size))
+                    seen.add(key)
+        assert "".join(units) == t and got[d]["text"] == "".join(u for i, u in enumerate(units) if i not in gone)
+        assert (got[d]["n_sentences"], got[d]["n_removed"]) == (len(units), len(gone))
+        removed += len(gone)
+    assert removed > 100
+
+
+def test_signs_are_words(spark):
+    body = "我们今天去公园散步。天气很好，大家都很开心！晚上一起吃饭。"
+    rows = [(1, "第一篇。" + body), (2, "另外一篇文章！" + body), (3, "没有重复。")]
+    got = {r[0]: r for r in span_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2]["text"] == "另外一篇文章！" and got[1]["n_removed"] == got[3]["n_removed"] == 0
+
+
+def test_empty_string_keys(spark):
+    body = sentence(np.random.default_rng(1), 12, "p") + sentence(np.random.default_rng(2), 12, "q")
+    df = spark.createDataFrame([("", body), ("a", body), (None, body)], "doc_id string, text string").coalesce(1)
+    assert {r["doc_id"]: r["n_removed"] for r in span_dedup.remove_repeats(df).collect()} == {"": 0, "a": 2, None: 2}
 
 
 def all_runs_covered(texts, least_sentences=2, least_words=20):
@@ -302,8 +348,8 @@ def test_runs_cover_any_longer_run():
 
 
 def test_planted_passage_is_cut(spark):
-    passage = "Alpha beta gamma delta epsilon zeta. Eta theta iota kappa lambda mu nu. " * 2 + " ".join(f"unit{i}" for i in range(60))
-    rows = [(i, f"start{i} of text {i} " + passage + f" ending number {i} here.") for i in range(5)] + [(9, "A clean text. It stays as it is. Nothing repeats here at all.")]
+    passage = "Alpha beta gamma delta epsilon zeta. Eta theta iota kappa lambda mu nu. " * 2 + "".join(f"unit{i}" + (". " if i % 10 == 9 else " ") for i in range(60))
+    rows = [(i, f"start{i} of text {i} " + passage + f"ending number {i} here.") for i in range(5)] + [(9, "A clean text. It stays as it is. Nothing repeats here at all.")]
     got = {r[0]: r for r in span_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert "unit30" in got[0]["text"] and got[9]["text"] == rows[5][1] and got[9]["n_removed"] == 0
     assert all("unit30 unit31" not in got[i]["text"] and len(got[i]["text"]) < len(rows[i][1]) / 3 for i in range(1, 5))
@@ -427,6 +473,70 @@ def test_forward_and_baum_welch(monkeypatch):
     assert np.isclose(model.emit.sum(0), 1).all()
 
 
+def plain_hmm(texts, trained, own, shared, states, rounds, first):
+    """Scores by the definitions, text by text: unscaled sums would underflow, so texts are short."""
+    tokens = [[*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), "\n"] for t in texts]
+    counts = Counter(w for i in trained for w in tokens[i])
+    ranked = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0].encode()))]
+    mine = {w: i for i, w in enumerate(ranked[:own])}
+    group = lambda w: zlib.crc32(w.encode()) % shared
+    klass = lambda w: mine.get(w, own + group(w))
+    of = defaultdict(list)
+    for w in counts:
+        if w not in mine:
+            of[group(w)].append(counts[w])
+    share = lambda w: 0.0 if w in mine else math.log10((counts[w] + 0.1) / (sum(of[group(w)]) + 0.1 * (len(of[group(w)]) + 1)))
+    weight = np.full(own + shared, 0.1)
+    for w, n in counts.items():
+        weight[klass(w)] += n
+    marginal = weight / weight.sum()
+    model = first(marginal)
+    start, move, emit = model.start, model.move, model.emit
+    for _ in range(rounds):
+        starts, moves, emits = np.ones(states), np.ones((states, states)), 100 * np.repeat(marginal[:, None], states, 1)
+        for i in trained:
+            seen = [klass(w) for w in tokens[i]]
+            alpha, beta = [start * emit[seen[0]]], [np.ones(states)]
+            for c in seen[1:]:
+                alpha.append(alpha[-1] @ move * emit[c])
+            for c in seen[:0:-1]:
+                beta.insert(0, move @ (emit[c] * beta[0]))
+            p = alpha[-1].sum()
+            starts += alpha[0] * beta[0] / p
+            for t, c in enumerate(seen):
+                emits[c] += alpha[t] * beta[t] / p
+                if t:
+                    moves += np.outer(alpha[t - 1], emit[c] * beta[t]) * move / p
+        start, move, emit = starts / starts.sum(), moves / moves.sum(1)[:, None], emits / emits.sum(0)
+    out = []
+    for i, words in enumerate(tokens):
+        alpha = start * emit[klass(words[0])]
+        for w in words[1:]:
+            alpha = alpha @ move * emit[klass(w)]
+        out.append(math.log10(alpha.sum()) + sum(map(share, words)))
+    return out
+
+
+def test_scores_by_brute_force(spark, rows):
+    """Enough words that some share classes; workers have the module's own constants, so these aren't patched."""
+    texts = [" ".join(t.split()[:70]) for _, t, _ in rows[:350]] + ["", None, "Zq"]
+    trained = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 10]
+    assert len({w for i in trained for w in (texts[i] or "").lower().split()}) > hmm.OWN_CLASSES + 500
+    got = {r["doc_id"]: r for r in hmm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), states=3, rounds=2).collect()}
+    want = plain_hmm(texts, trained, hmm.OWN_CLASSES, hmm.SHARED_CLASSES, 3, 2, lambda m: hmm.Model.first(m, 3))
+    assert [got[i]["score"] for i in range(len(texts))] == pytest.approx(want, rel=1e-4)
+
+
+def test_counts_do_not_depend_on_blocks():
+    rng = np.random.default_rng(2)
+    model = hmm.Model.first(np.full(hmm.CLASSES, 1 / hmm.CLASSES), 4)
+    texts = [rng.integers(0, hmm.CLASSES, n) for n in (1, 2, 700, 3000, 3000, 40)]
+    whole = hmm.expected_counts(model, texts)
+    alone = [hmm.expected_counts(model, [t]) for t in texts]
+    assert all(np.allclose(whole[i], sum(a[i] for a in alone)) for i in range(3))
+    assert np.isclose(whole[1].sum(), sum(len(t) - 1 for t in texts))  # every move is counted, none is cut off
+
+
 def test_language_accuracy(docs, rows):
     got = langid.identify(docs).collect()
     lang = {d: (x, t) for d, t, x in rows}
@@ -479,7 +589,7 @@ def check_pii(got, texts):
     assert Counter(r["doc_id"] for r in got) == Counter(d for d, _ in texts)
     for r in got:
         base = [w for w in want[r["doc_id"]] if w[:5] == (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"])]
-        assert base and any(r["spans"] == w[5] or r["spans"].startswith(w[5] + "," if w[5] else "term:") for w in base)
+        assert base and any(r["spans"] == w[5] or r["spans"].startswith(tuple(w[5] + "," * bool(w[5]) + k for k in ("secret:", "term:"))) for w in base)
 
 
 def test_pii_base_spans(docs, rows, odd, none):
@@ -502,6 +612,52 @@ def test_revealing_terms(spark):
     assert clean[50] == "Here [TERM] alone." and clean[51] is None and "[PHONE]" in clean[0] and clean[10] == rows[5][1]
 
 
+def test_terms_by_brute_force(docs, rows):
+    """Co-occurrence counted over the whole table by its definition; terms with their places in every text."""
+    word = re.compile(r"[^\W\d_]{2,}")
+    times, near, joint, contexts, places = Counter(), Counter(), Counter(), defaultdict(set), {}
+    for d, t, _ in rows:
+        times.update(m[0].lower() for m in word.finditer(t))
+        found = [(k, a, b) for k, a, b in brute_spans(t)]
+        for m in re.finditer(r"[A-Za-z0-9_+=-]{24,}", t):
+            shares = [n / len(m[0]) for n in Counter(m[0]).values()]
+            mixed = min(len(re.findall("[0-9]", m[0])), len(re.findall("[A-Za-z]", m[0]))) >= 4
+            if mixed and -sum(p * math.log2(p) for p in shares) >= 3 and not any(a < m.end() and m.start() < b for _, a, b in found):
+                found.append(("secret", *m.span()))
+        places[d] = found
+        inside = {i for _, a, b in found for i in range(a, b)}
+        masked = "".join(" " if i in inside else c for i, c in enumerate(t))
+        for k, a, b in found:
+            low, high = max(0, a - 80), min(len(t), b + 80)
+            while low and t[low - 1].isalpha() and t[low].isalpha():
+                low -= 1
+            while high < len(t) and t[high].isalpha() and t[high - 1].isalpha():
+                high += 1
+            terms = {x.lower() for x in word.findall(masked[low:high])}
+            value, digits = t[a:b].lower(), re.sub("[^0-9]", "", t[a:b])
+            part = {"email": value.split("@")[-1], "ip": ".".join(value.split(".")[:2]), "secret": None}.get(k, digits[:6])
+            for e in {(k, "value", value), (k,), *([(k, "part", part)] if part else [])}:
+                if terms:
+                    near[e] += len(terms)
+                    joint.update((e, x) for x in terms)
+                    for x in terms:
+                        contexts[e, x].add(" ".join(sorted(terms)))
+    total, revealing = sum(times.values()), set()
+    for (e, x), n in joint.items():
+        given = min(1.0, n / times[x])
+        if len(contexts[e, x]) >= 3 and given >= 0.5 and ("value" in e or len(contexts[e, x]) * math.log2(given / min(1.0, near[e] / total)) >= 30):
+            revealing.add(x)
+    assert "token" in revealing
+    got, terms = {r["doc_id"]: r["spans"] for r in pii.report(docs).collect()}, 0
+    for d, t, _ in rows:
+        own = [("term", *m.span()) for m in word.finditer(t) if m[0].lower() in revealing]
+        order = ("email", "ip", "card", "phone", "secret", "term")
+        want = sorted(places[d] + own, key=lambda s: (order.index(s[0]), s[1]))
+        assert got[d] == ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        terms += len(own)
+    assert terms >= 10
+
+
 @pytest.mark.parametrize("others", [40, 0])
 def test_terms_of_a_frequent_entity(spark, others):
     names = [f"{a}{b}" for a in ("harb", "mead", "lant", "juni") for b in ("our", "ow", "ern", "per", "alt")]
@@ -568,12 +724,88 @@ def test_transport_stream(size):
     stream = mpegts.mux(payload)
     back, seen = mpegts.demux(stream)
     assert back == payload and seen["units"] == -(-size // mpegts.UNIT) and len(seen["random_access"]) == -(-seen["units"] // mpegts.ACCESS)
-    assert seen["timestamps"] == [i * mpegts.TICKS for i in range(seen["units"])]
+    assert seen["timestamps"] == [(i + 1) * mpegts.TICKS for i in range(seen["units"])]
+    assert plain_reader(stream) == (payload, seen["timestamps"], seen["random_access"])
+
+
+def plain_reader(stream):
+    """A second reader by the standard's bit layout, for fixed PIDs: payload, presentation times, random-access times."""
+    bits = lambda data, at, n: int.from_bytes(data, "big") >> 8 * len(data) - at - n & (1 << n) - 1
+    counters, tables, units, clocks = defaultdict(list), Counter(), [], []
+    for at in range(0, len(stream), 188):
+        p = stream[at : at + 188]
+        assert bits(p, 0, 8) == 0x47 and len(p) == 188 and bits(p, 24, 2) == 0  # sync, not scrambled
+        pid, start, control = bits(p, 11, 13), bits(p, 9, 1), bits(p, 26, 2)
+        body, flags, clock = 4, 0, None
+        if control & 2:
+            body = 5 + p[4]
+            flags = p[5] if p[4] else 0
+            if flags & 0x10:
+                clock = bits(p, 48, 33) + bits(p, 87, 9) / 300
+                assert bits(p, 81, 6) == 0x3F
+        if control & 1:
+            counters[pid].append(bits(p, 28, 4))
+        if pid in (0, 0x100):
+            size = bits(p, (body + 1) * 8 + 12, 12)
+            section, crc = p[body + 1 : body + 4 + size], 0xFFFFFFFF
+            for b in section:
+                for i in range(7, -1, -1):
+                    top = crc >> 31 ^ b >> i & 1
+                    crc = crc << 1 & 0xFFFFFFFF ^ 0x04C11DB7 * top
+            assert crc == 0 and section[0] == (0 if pid == 0 else 2)
+            assert bits(section, (10 if pid == 0 else 13) * 8 + 3, 13) == (0x100 if pid == 0 else 0x101)
+            tables[pid] += 1
+        else:
+            assert pid == 0x101 and tables[0] and tables[0x100]
+            if start:
+                units.append([flags & 0x40, b""])
+                clocks.append(clock)
+            units[-1][1] += p[body:]
+    assert all(c == [i % 16 for i in range(len(c))] for c in counters.values())
+    data, stamps, points = b"", [], []
+    for (access, pes), clock in zip(units, clocks, strict=True):
+        assert pes[:3] == b"\0\0\1" and len(pes) == 6 + int.from_bytes(pes[4:6], "big") and pes[8] == 5 and pes[7] >> 6 == 2
+        stamps.append(bits(pes, 76, 3) << 30 | bits(pes, 80, 15) << 15 | bits(pes, 96, 15))
+        assert clock is not None and clock <= stamps[-1]
+        data += pes[14:]
+        if access:
+            points.append(stamps[-1])
+    assert tables[0] == tables[0x100] == len(points)
+    return data, stamps, points
 
 
 def test_broken_streams():
     stream = mpegts.mux(bytes(2000))
     lost = stream[: 188 * 4] + stream[188 * 5 :]
+    tables = mpegts.mux(bytes(9 * mpegts.UNIT))
+    again = tables.rindex(b"\x47\x40\x00")
+    with pytest.raises(mpegts.StreamError):  # a table's counter breaks
+        mpegts.demux(tables[: again + 3] + b"\x17" + tables[again + 4 :])
     for bad in (lost, stream[:-1], b"\0" + stream[1:], stream[:20] + b"\1" + stream[21:]):
         with pytest.raises(mpegts.StreamError):
             mpegts.demux(bad)
+
+
+def test_clashing_names(spark):
+    body = "one two three four five six seven eight nine ten"
+    rows = [(1, body, "en", "a@b.org", 1, 2, 3, 4, 5), (2, body, "en", "x", 1, 2, 3, 4, 5), (3, "mail bob@site.org and stay in touch with all of them", "en", "y", 1, 2, 3, 4, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept string, hash string, _kept long, _hash long, doc long, spans long, bad long")
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()) == [1, 3]
+    assert simhash.drop_near_duplicates(df).columns == df.columns
+    items = spark.createDataFrame([(1, body)], "item_id long, text string")
+    assert [r["doc_id"] for r in decontam.drop_contaminated(df, items).collect()] == [3]
+    clean = {r["doc_id"]: r for r in pii.sanitise(df).collect()}
+    assert clean[3]["text"].startswith("mail [EMAIL]") and clean[1]["kept"] == "en" and pii.sanitise(df).columns == df.columns
+    assert common.spare_names(df, "KEPT", "free") == ["__KEPT", "free"]
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    common.bounded_batches(spark)
+    text = "x" * (common.BATCH_BYTES // 4)
+    df = spark.range(12).selectExpr("id", f"concat(id, '{text}') as t").coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield type(b).from_pydict({"n": [b.num_rows]})
+
+    assert max(r["n"] for r in df.mapInArrow(sizes, "n long").collect()) < 12

@@ -198,3 +198,12 @@ def test_run_and_odd_tables(spark, tmp_path):
     spark.createDataFrame([], columns).write.parquet(f"{tmp_path}/b/documents.parquet")
     duckdb.sql(f"copy (select 1 as item_id, 'x' as text) to '{tmp_path}/b/benchmark.parquet'")
     assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_language_stage_on_odd_columns(spark):
+    rows = [(1, "the quick brown fox jumps over the lazy dog", "en", "x", 1.0, "a"), (2, None, "en", "y", 2.0, "b"), (3, "123 456", "en", "z", 3.0, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double, c1 string")
+    got = corpus_pipeline.language_id(spark, df, SF)
+    assert got.columns == df.columns and [tuple(r) for r in got.collect()] == rows[:1]
+    bare = df.drop("lang")
+    assert [tuple(r) for r in corpus_pipeline.language_id(spark, bare, SF).collect()] == [(1, rows[0][1], "x", 1.0, "a")]
