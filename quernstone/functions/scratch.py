@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +29,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``df``, marked for broadcast if it is counted to have at most ``most`` rows; larger, the join shuffles."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 _shipped: set[str] = set()
 
 

@@ -190,3 +190,8 @@ def xml_safe(text: Column) -> Column:
 def question_of(prompt: Column) -> Column:
     """What follows the last ``Question:``."""
     return F.trim(F.substring_index(prompt, "Question:", -1))
+
+
+def attribute_text(values: Column) -> Column:
+    """A list as one text, items by comma and blank, nulls left out."""
+    return F.array_join(F.transform(values, lambda x: x.cast("string")), ", ")

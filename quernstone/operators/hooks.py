@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,18 @@ def stub_model(prompt: str) -> str:
     return prompt.rstrip().rpartition("\n")[2]
 
 
+def failing_model(prompt: str) -> str:
+    """A stand-in that fails where the prompt's last line is FAIL."""
+    if stub_model(prompt) == "FAIL":
+        raise RuntimeError("no reply")
+    return stub_model(prompt)
+
+
+def parity_judge(prompt: str) -> str:
+    """A stand-in for a judge: no where the prompt's first number is divisible by four, else yes."""
+    return "no" if int(re.search(r"\d+", prompt)[0]) % 4 == 0 else "yes"
+
+
 def generate(rows: DataFrame, prompt: str, model: Callable[[], Model], tries: int = 5) -> DataFrame:
     """``rows`` with ``reply`` and ``error``: a client a partition, each call tried up to ``tries`` times.
 
@@ -143,6 +156,59 @@ def flat_keywords(value, longest: int = 200) -> list[str]:
     return [k for x in value for k in flat_keywords(x, longest)] if isinstance(value, list) else []
 
 
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def triplets_of(replies: pd.Series) -> pd.Series:
+    """``flat_triplets`` of each repaired reply."""
+    return replies.map(lambda t: flat_triplets(repair_json(t)))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def keywords_of(replies: pd.Series) -> pd.Series:
+    """``flat_keywords`` of each repaired reply."""
+    return replies.map(lambda t: flat_keywords(repair_json(t)))
+
+
+def key_name(key: Column) -> Column:
+    """A reply's key as it is looked up: trimmed, lower-case."""
+    return F.lower(F.trim(key))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def entities_of(replies: pd.Series) -> pd.Series:
+    """Entities of a reply that is a comma list, or JSON with ``entities``, or a JSON list."""
+
+    def parse(text: str | None) -> list[str]:
+        value = repair_json(text)
+        value = value.get("entities", []) if isinstance(value, dict) else value
+        parts = (text or "").split(",") if value is None else value if isinstance(value, list) else []
+        return [p.strip() for p in map(str, parts) if p.strip()]
+
+    return replies.map(parse)
+
+
+def penalties(repetition: Column) -> dict[str, Column]:
+    """The frequency and presence penalties that stand for a repetition penalty where a service has none: of twice what it is over one, from 0 to 2, seven and three tenths."""
+    value = F.least(F.greatest((repetition - 1) * 2, F.lit(0.0)), F.lit(2.0))
+    return {"frequency": F.round(value * 0.7, 6), "presence": F.round(value * 0.3, 6)}
+
+
+def choice_question(answer: Column, others: Column, place: Column) -> Column:
+    """(prompt, choices, key): a question of four choices with the answer at ``place`` (0 to 3) among the others."""
+    choices = F.concat(F.slice(others, F.lit(1), place), F.array(answer), F.slice(others, place + 1, F.size(others)))
+    lines = F.array_join(F.transform(choices, lambda c, i: F.concat(F.chr(i.cast("int") + 65), F.lit(". "), c)), "\n")
+    return F.struct(F.concat(F.lit("Which is it?\n"), lines).alias("prompt"), choices.alias("choices"), F.chr(place + 65).alias("key"))
+
+
+def canonical_json(reply: Column, schema: str) -> Column:
+    """A reply checked against a DDL schema, as JSON with the schema's fields in order; ``invalid`` if a field is missing or of another type, ``empty`` if a list of it is."""
+    fields = T.StructType.fromDDL(schema)
+    value = F.from_json(reply, fields)
+    bad = reduce(lambda a, b: a | b, [value[f.name].isNull() for f in fields])
+    lists = [F.size(value[f.name]) == 0 for f in fields if isinstance(f.dataType, T.ArrayType)]
+    empty = reduce(lambda a, b: a | b, lists) if lists else F.lit(False)
+    return F.when(value.isNull() | bad, "invalid").when(empty, "empty").otherwise(F.to_json(value))
+
+
 def parse_triples(replies: DataFrame, reply: str, required: tuple[str, ...] = ("Head", "Relation", "Tail")) -> DataFrame:
     """``replies`` with ``rows``: the repaired reply as an array of structs of text; an unusable reply gives none."""
     kind = "array<struct<" + ", ".join(f"{k}: string" for k in required) + ">>"

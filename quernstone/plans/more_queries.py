@@ -229,11 +229,6 @@ def x12(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", prompt.alias("prompt"), F.substring_index("text", " ", 1).alias("target"))
 
 
-@query("x13_stub_loglikelihood", "select item_id, round(-length(text) * 0.25, 4)::double as loglik from benchmark")
-def x13(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", F.round(-F.length("text") * F.lit(0.25), 4).alias("loglik"))
-
-
 @query("x14_restore_order", "select conv_id, turn, row_number() over (order by conv_id, turn) - 1 as place from conversations")
 def x14(spark, sf):
     rows = table(spark, sf, "conversations").select("conv_id", "turn").repartition(5, "turn")

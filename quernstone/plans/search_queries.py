@@ -40,16 +40,12 @@ def f23(spark, sf):
 
 @query("w2_minmax", "select event_id, round(case when max(value) over w = min(value) over w then 1 else (value - min(value) over w) / (max(value) over w - min(value) over w) end, 6) as scaled from events window w as (partition by event_type)")
 def w2(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.round(N.min_max(F.col("value"), "event_type"), 6).alias("scaled"))
+    return N.min_max(table(spark, sf, "events"), "value", "event_type").select("event_id", F.round("scaled", 6).alias("scaled"))
 
 
 @query("v6_label_scores", f"with {V.VECTORS}, {SCORED} select qid, label, round(max(score), 6) as best from scored group by 1, 2")
 def v6(spark, sf):
-    best = None
-    for label in [r[0] for r in V.vectors(spark, sf).select("label").distinct().orderBy("label").collect()]:
-        part = S.top_k(V.vectors(spark, sf).where(F.col("label") == label), V.vector_questions(spark, sf), 1).select("qid", F.lit(label).cast("int").alias("label"), F.round("score", 6).alias("best"))
-        best = part if best is None else best.unionByName(part)
-    return best
+    return S.best_by_label(V.vectors(spark, sf), V.vector_questions(spark, sf)).select("qid", "label", F.round("best", 6).alias("best"))
 
 
 @query("v7_label_similarity", """with m as (select label, i, avg(x) as x from (select label, unnest(range(len(embedding))) as i, unnest(embedding)::double as x from embeddings) group by 1, 2)
@@ -121,14 +117,6 @@ def j11(spark, sf):
     return t.select("name", F.explode(F.split("file_id", ",")).alias("file")).groupBy("file").agg(F.count("*").alias("nodes"))
 
 
-@query("j13_exact_or_nearest", "select count(*) filter (d.lang is not null) as exact, count(*) filter (d.lang is null) as fallback from (select distinct source as s from documents union select 'nowhere') n left join (select distinct source as lang from documents) d on d.lang = n.s")
-def j13(spark, sf):
-    sources = table(spark, sf, "documents").select(F.col("source").alias("name")).distinct()
-    wanted = sources.select(F.col("name").alias("term")).unionByName(spark.createDataFrame([("nowhere",)], "term string"))
-    hit = wanted.join(sources, F.col("term") == F.col("name"), "left")
-    return hit.agg(F.count_if(F.col("name").isNotNull()).alias("exact"), F.count_if(F.col("name").isNull()).alias("fallback"))
-
-
 @query("j14_fuzzy_names", """with terms as (select n_nationkey as k, n_name as term from nation union all select n_nationkey + 100, n_name || 'X' from nation), names as (select n_name as name from nation),
     m as (select term, name, case when term = name then 1.0 else 1 - levenshtein(term, name)::double / greatest(length(term), length(name)) end as ratio from terms, names)
     select term, name, round(ratio, 6) as ratio from (select *, row_number() over (partition by term order by ratio desc, name) as r from m where ratio >= 0.8) where r = 1""")

@@ -9,11 +9,13 @@ from collections.abc import Callable, Iterator
 from pathlib import Path, PurePosixPath
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.relational import number_rows
+
 CORPUS = "id string, text string, metadata map<string, string>"
 TRIPLE = "array<struct<Head: string, Relation: string, Tail: string>>"
 RECORD = f"id string, original_text string, metadata map<string, string>, entity_relation_dict {TRIPLE}, event_entity_dict array<struct<Event: string, Entity: array<string>>>, event_entity_relation_dict array<struct<Event: string, Entity: array<string>>>, event_relation_dict {TRIPLE}"
@@ -146,31 +148,66 @@ def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 MEMBER_BYTES = 1 << 30
 
 
+def _files_below(spark: SparkSession, source: str) -> list[str]:
+    """Every file of a folder and of those in it, or the file itself; only the paths are read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source).select("path")
+    return sorted(r[0] for r in found.collect())
+
+
+def _bytes_of(spark: SparkSession, path: str) -> bytes:
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+
+
 def bundle(spark: SparkSession, source: str, members: dict[str, str]) -> dict[str, DataFrame]:
     """Tables of a ZIP or folder: ``members`` maps a table's name to the end of its file's name, of which there must be just one.
 
-    JSON arrays, JSON lines and single objects all do; a ZIP's member over 1 GiB is refused, and nothing is
-    unpacked to disk.
+    JSON arrays, JSON lines and single objects all do; a member over 1 GiB is refused, and nothing is
+    unpacked to disk. A bundle is one archive that the driver opens, on whatever file system it is.
     """
+    files = _files_below(spark, source)
+    if source.endswith(".zip"):
+        archive = zipfile.ZipFile(io.BytesIO(_bytes_of(spark, files[0])))
+        sizes = {i.filename: i.file_size for i in archive.infolist()}
+        read = lambda name: archive.read(name)
+    else:
+        sizes = dict.fromkeys(files, 0)
+        read = lambda name: _bytes_of(spark, name)
     out = {}
-    if zipfile.is_zipfile(source):
-        with zipfile.ZipFile(source) as archive:
-            for name, ending in members.items():
-                found = [i for i in archive.infolist() if i.filename.endswith(ending)]
-                if len(found) != 1:
-                    raise ValueError(f"{len(found)} files end in {ending}")
-                if found[0].file_size > MEMBER_BYTES:
-                    raise ValueError(f"{found[0].filename} is too large")
-                out[name] = spark.createDataFrame([(json.dumps(r, ensure_ascii=False),) for r in json_rows(archive.read(found[0]).decode())], "value string")
-        return out
     for name, ending in members.items():
-        found = [f for f in Path(source).rglob("*") if f.name.endswith(ending)]
+        found = [f for f in sizes if f.endswith(ending)]
         if len(found) != 1:
             raise ValueError(f"{len(found)} files end in {ending}")
-        out[name] = spark.createDataFrame([(json.dumps(r, ensure_ascii=False),) for r in json_rows(found[0].read_text())], "value string")
+        if sizes[found[0]] > MEMBER_BYTES:
+            raise ValueError(f"{found[0]} is too large")
+        out[name] = spark.createDataFrame([(json.dumps(r, ensure_ascii=False),) for r in json_rows(read(found[0]).decode())], "value string")
     return out
 
 
+def questions(spark: SparkSession, path: str, schema: str, head: int | None = None) -> DataFrame:
+    """(place, q): the objects of a JSON array file in their order, the first ``head`` if given."""
+    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", T.ArrayType(T.StructType.fromDDL(schema))).alias("q"))
+    kept = F.slice("q", 1, head) if head is not None else F.col("q")
+    return rows.select(F.posexplode(kept).alias("place", "q"))
+
+
+def text_lines(spark: SparkSession, path: str, offset: int = 0, limit: int | None = None) -> DataFrame:
+    """(line, value): the lines of a text file from number ``offset`` on, at most ``limit`` of them, by their place in the file."""
+    at = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    place = number_rows(at, ["block", "id"], "line")
+    return place.where((F.col("line") >= offset) & (F.lit(True) if limit is None else F.col("line") < offset + limit)).select("line", "value")
+
+
+def stays_inside(name: Column) -> Column:
+    """Whether a member's name leads nowhere out of the folder that it is unpacked to."""
+    state = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("least"))
+
+    def step(s: Column, part: Column) -> Column:
+        depth = s["depth"] + F.when(part == "..", -1).when(part.isin("", "."), 0).otherwise(1)
+        return F.struct(depth.alias("depth"), F.least(s["least"], depth).alias("least"))
+
+    return ~F.startswith(name, F.lit("/")) & (F.aggregate(F.split(name, "/"), state, step)["least"] >= 0)
+
+
 def json_rows(text: str) -> list:
     """The objects of a JSON array, of JSON lines, or of a single object."""
     try:
@@ -191,6 +228,11 @@ def safe_extract(archive: str, folder: str) -> list[str]:
         return z.namelist()
 
 
+def numbered_page(offset: int, size: int, rows: int = 230) -> list[dict]:
+    """A stand-in for a paged service: numbered rows, the last page short."""
+    return [{"n": n} for n in range(offset, min(offset + size, rows))]
+
+
 class PagedSource(DataSource):
     """A service that gives rows by page: one partition a page, read until a short page.
 
