@@ -131,7 +131,8 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float, iter
     give theirs to the seeds. The walk is linear, so the even start is walked once for all questions, and a
     question's own state holds only nodes that its seeds have reached; no question is ever joined with all nodes.
     The result has the nodes reached; any other has what is left of the even start there, the same for every
-    question. What a round loses in dead ends is its sum before less its sum after, so no join finds them.
+    question. A round is one written table: ranks are sums, so parts of a node's rank need not come together before
+    they move on, and what goes nowhere is added up in the same aggregate.
     Stops after ``iterations`` rounds, or when the change is below ``tolerance`` times the number of nodes.
     """
     links = edges.select("src", "dst").distinct()
@@ -141,31 +142,28 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float, iter
     known = seeds.join(nodes, "name", "left_semi")
     mass = known.groupBy("qid").agg(F.sum("weight").alias("all"))
     restart = cut(known.join(mass, "qid").groupBy("qid", "name").agg((F.sum("weight") / F.first("all")).alias("p")), "ppr-restart")
-    even, even_sum = nodes.withColumn("rank", F.lit(1.0 / total)), 1.0
-    own = restart.select("qid", "name", F.lit(0.0).alias("rank")).limit(0)
-
-    def step(state: DataFrame, by: list[str]) -> DataFrame:
-        return state.withColumnRenamed("name", "src").join(links, "src").groupBy(*by, F.col("dst").alias("name")).agg((alpha * F.sum(F.col("rank") / F.col("out"))).alias("rank"))
+    #: the even start's rows have no question
+    state = nodes.select(F.lit(None).cast(restart.schema["qid"].dataType).alias("qid"), "name", F.lit(1.0 / total).alias("rank"))
+    summed = lambda df: df.groupBy("qid", "name").agg(F.sum("rank").alias("rank"))
 
     for _ in range(iterations):
-        next_even = cut(step(even, []), "ppr-even")
-        kept = next_even.agg(F.sum("rank")).first()[0] or 0.0
-        lost_even, even_sum = alpha * even_sum - kept, kept
-        moved = cut(step(own, ["qid"]), "ppr-moved")
-        before = own.groupBy("qid").agg(F.sum("rank").alias("was")).join(moved.groupBy("qid").agg(F.sum("rank").alias("now")), "qid", "left")
-        lost = before.select("qid", (alpha * F.col("was") - F.coalesce("now", F.lit(0.0))).alias("lost"))
-        back = restart.join(lost, "qid", "left").select("qid", "name", ((F.coalesce("lost", F.lit(0.0)) + lost_even + 1 - alpha) * F.col("p")).alias("rank"))
-        now = cut(moved.unionByName(back).groupBy("qid", "name").agg(F.sum("rank").alias("rank")), "ppr-rank")
-        settled = False
+        went = state.withColumnRenamed("name", "src").join(links, "src", "left")
+        flow = cut(went.groupBy("qid", F.col("dst").alias("name")).agg((alpha * F.sum(F.col("rank") / F.coalesce("out", F.lit(1)))).alias("rank")), "ppr-flow")
+        lost = flow.where("name is null")  # what went nowhere
+        own_lost = lost.where("qid is not null").select("qid", F.col("rank").alias("lost"))
+        even_lost = lost.where("qid is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("even"))  # one row
+        share = (F.coalesce("lost", F.lit(0.0)) + F.col("even") + 1 - alpha) * F.col("p")
+        back = restart.join(own_lost, "qid", "left").crossJoin(even_lost).select("qid", "name", share.alias("rank"))
+        was, state = state, flow.where("name is not null").unionByName(back)
         if tolerance is not None:
-            gap = lambda a, b, by: a.join(b.withColumnRenamed("rank", "was"), by, "full").select(*by, F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))).alias("d"))
-            change = gap(now, own, ["qid", "name"]).groupBy("qid").agg(F.sum("d").alias("d")).agg(F.max("d")).first()[0] or 0.0
-            change += gap(next_even, even, ["name"]).agg(F.sum("d")).first()[0] or 0.0
-            settled = change < total * tolerance
-        own, even = now, next_even
-        if settled:
-            break
-    return own.join(even.withColumnRenamed("rank", "even"), "name", "left").select("qid", "name", (F.col("rank") + F.coalesce("even", F.lit(0.0))).alias("rank"))
+            both = summed(was).withColumnRenamed("rank", "was").join(summed(state).withColumnsRenamed({"qid": "q", "name": "n"}), F.col("qid").eqNullSafe(F.col("q")) & (F.col("name") == F.col("n")), "full")
+            moved = both.groupBy(F.coalesce("qid", "q").alias("qid")).agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("was", F.lit(0.0)))).alias("d"))
+            change = moved.agg(F.coalesce(F.max(F.when(F.col("qid").isNotNull(), F.col("d"))), F.lit(0.0)) + F.coalesce(F.max(F.when(F.col("qid").isNull(), F.col("d"))), F.lit(0.0))).first()[0]
+            if change < total * tolerance:
+                break
+    even = state.where("qid is null").select("name", F.col("rank").alias("even"))
+    own = summed(state.where("qid is not null"))
+    return own.join(even, "name", "left").select("qid", "name", (F.col("rank") + F.coalesce("even", F.lit(0.0))).alias("rank"))
 
 
 def paths(edges: DataFrame, starts: DataFrame, depth: int, width: int | None = None, score: Column | None = None, both_ways: bool = False) -> DataFrame:
