@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.scratch import cut
+from .relational import number_rows
 
 
 def valid_triples(triples: DataFrame, head: str = "head", relation: str = "relation", tail: str = "tail") -> DataFrame:
@@ -114,6 +117,27 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, hops: int, leaf: Column |
     return seen
 
 
+def walk_sample(edges: DataFrame, starts: DataFrame, walkers: int, steps: int, restart: float, seed: int) -> DataFrame:
+    """(qid, name): the nodes that random walks with restart meet, starts included.
+
+    ``starts`` (qid, name, number): ``walkers`` walks from each. A walk's choices are digests of seed, question, walk and
+    step, so the sample is the same wherever it is drawn. All walks of all questions take a step together. Neighbours
+    are numbered once over all nodes in parts, so a hub's need no task of their own.
+    """
+    numbered = cut(number_rows(undirected(edges), ["u", "v"], "place"), "walk-neighbours")
+    first = cut(numbered.groupBy("u").agg(F.min("place").alias("first"), F.count("*").alias("k")), "walk-degrees")
+    walks = starts.select("qid", F.col("name").alias("start"), "name", F.explode(F.transform(F.sequence(F.lit(0), F.lit(walkers - 1)), lambda w: F.col("number") * walkers + w)).alias("walker"))
+    met = [walks.select("qid", "name")]
+    for t in range(1, steps + 1):
+        digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("qid").cast("string"), F.col("walker").cast("string"), F.lit(str(t))).cast("binary"))
+        drawn = walks.withColumn("h", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")).withColumnRenamed("name", "u")
+        chosen = drawn.join(first, "u").withColumn("place", F.col("first") + F.expr("h div 1000") % F.col("k"))
+        moved = chosen.join(numbered.select("place", "v"), "place")
+        walks = cut(moved.select("qid", "start", F.when(F.col("h") % 1000 < int(restart * 1000), F.col("start")).otherwise(F.col("v")).alias("name"), "walker"), "walks")
+        met.append(walks.select("qid", "name"))
+    return reduce(DataFrame.unionByName, met).distinct()
+
+
 def neighbourhood_edges(edges: DataFrame, reached: DataFrame, hops: int, leaf: Column | None = None) -> DataFrame:
     """(qid, src, dst, relation): every edge at a node that the walk expanded."""
     expanded = reached.where(F.col("hop") < hops)

@@ -176,9 +176,9 @@ def p13(spark, sf):
     return G.induced(V.graph_edges(spark, sf), _nodes(spark, sf).where("type = 'entity'")).groupBy("src", "relation", "dst").agg(F.count("*").alias("n"))
 
 
-@query("p14_edge_text", f"with {V.GEOGRAPHY} select src || ' ' || relation || ' ' || dst as edge from edges")
+@query("p14_edge_text", f"with {V.GRAPH} select src || ' ' || relation || ' ' || dst as edge from edges")
 def p14(spark, sf):
-    return V.geography(spark, sf).select(F.concat_ws(" ", "src", "relation", "dst").alias("edge"))
+    return V.graph_edges(spark, sf).select(F.concat_ws(" ", "src", "relation", "dst").alias("edge"))
 
 
 @query("p15_digit_names", f"with {V.TRIPLES}, {SEEN} select count(*) as n from nodes where not regexp_full_match(split_part(name, ' ', 2), '[0-9]+')")
@@ -228,9 +228,9 @@ def o9(spark, sf):
     return G.degrees(V.graph_edges(spark, sf)).select("name", (F.col("out_degree") + F.col("in_degree")).alias("degree")).orderBy(F.desc("degree"), "name").limit(80)
 
 
-@query("g5_ppr_10iter", f"""with recursive {V.GEOGRAPHY}, links as (select distinct src, dst from edges), outs as (select src, count(*) as k from links group by src),
+@query("g5_ppr_10iter", f"""with recursive {V.GRAPH}, links as (select distinct src, dst from edges), outs as (select src, count(*) as k from links group by src),
     nodes as (select src as name from links union select dst from links), n as (select count(*)::double as n from nodes),
-    seeds as (select src as name, split_part(dst, ' ', 2)::bigint as qid from edges where relation = 'part of'),
+    seeds as (select src as name, split_part(src, ' ', 2)::bigint // 100 % 5 as qid from edges where relation = 'placed by' and src like '%00'),
     mass as (select qid, count(*)::double as m from seeds group by qid),
     base as (select mass.qid, nodes.name, coalesce(1.0 / m * (select count(*) from seeds s where s.qid = mass.qid and s.name = nodes.name), 0)::double as p, outs.k is null as sink from mass cross join nodes left join outs on outs.src = nodes.name),
     r0 as (select qid, name, p, sink, 1.0 / (select n from n) as x from base),
@@ -241,56 +241,57 @@ def o9(spark, sf):
     """ + ",\n".join(f"e{i} as (select l.dst as name, 0.9 * sum(e.x / o.k) as x from e{i - 1} e join links l on l.src = e.name join outs o on o.src = e.name group by 1)" for i in range(1, 11)) + """
     select qid, r10.name, round(r10.x, 9) as rank from r10 left join e10 on e10.name = r10.name where r10.x - coalesce(e10.x, 0) > 1e-12""")
 def g5(spark, sf):
-    edges = V.geography(spark, sf)
-    seeds = edges.where("relation = 'part of'").select(F.substring_index("dst", " ", -1).cast("long").alias("qid"), F.col("src").alias("name"), F.lit(1.0).alias("weight"))
+    edges = V.graph_edges(spark, sf)
+    number = F.substring_index("src", " ", -1).cast("long")
+    seeds = edges.where("relation = 'placed by' and src like '%00'").select((F.floor(number / 100) % 5).alias("qid"), F.col("src").alias("name"), F.lit(1.0).alias("weight"))
     return G.personalised_pagerank(edges, seeds, 0.9, 10).select("qid", "name", F.round("rank", 9).alias("rank"))
 
 
-@query("g7_bfs_2hop", f"""with {V.GEOGRAPHY}, pairs as (select src as u, dst as v from edges union select dst, src from edges),
+@query("g7_bfs_2hop", f"""with {V.GRAPH}, pairs as (select src as u, dst as v from edges union select dst, src from edges),
     h0 as (select distinct split_part(dst, ' ', 2)::bigint as qid, dst as name, 0 as hop from edges where relation = 'part of'),
     h1 as (select distinct qid, v as name, 1 as hop from h0 join pairs on u = name where (qid, v) not in (select qid, name from h0)),
     h2 as (select distinct qid, v as name, 2 as hop from h1 join pairs on u = name where (qid, v) not in (select qid, name from h0 union all select qid, name from h1))
     select * from h0 union all select * from h1 union all select * from h2""")
 def g7(spark, sf):
-    edges = V.geography(spark, sf)
+    edges = V.graph_edges(spark, sf)
     seeds = edges.where("relation = 'part of'").select(F.substring_index("dst", " ", -1).cast("long").alias("qid"), F.col("dst").alias("name"))
     return G.breadth_first(edges, seeds, 2)
 
 
-@query("r3_subgraph_triples", f"""with {V.GEOGRAPHY}, seeds as (select distinct src as name, split_part(src, ' ', 2)::bigint as qid from edges where relation = 'part of')
+@query("r3_subgraph_triples", f"""with {V.GRAPH}, seeds as (select distinct src as name, split_part(src, ' ', 2)::bigint as qid from edges where relation = 'part of')
     select qid, src, relation, dst from edges join seeds on src = name union select qid, src, relation, dst from edges join seeds on dst = name""")
 def r3(spark, sf):
-    edges = V.geography(spark, sf)
+    edges = V.graph_edges(spark, sf)
     seeds = edges.where("relation = 'part of'").select(F.substring_index("src", " ", -1).cast("long").alias("qid"), F.col("src").alias("name"))
     return G.neighbourhood_edges(edges, G.breadth_first(edges, seeds, 1), 1).select("qid", "src", "relation", "dst")
 
 
-@query("g10_paths_depth2", f"""with {V.GEOGRAPHY}, e as (select distinct src, dst, relation from edges), p1 as (select c.src as qid, c.src as a, c.relation as r, c.dst as b from e c where c.relation = 'located in')
+@query("g10_paths_depth2", f"""with {V.GRAPH}, e as (select distinct src, dst, relation from edges), p1 as (select c.src as qid, c.src as a, c.relation as r, c.dst as b from e c where c.relation = 'located in')
     select qid, a || ' -> ' || b || ' -> ' || e.dst as nodes, r || ' -> ' || e.relation as relations from p1 join e on e.src = b where e.dst <> a and e.dst <> b""")
 def g10(spark, sf):
-    edges = V.geography(spark, sf)
+    edges = V.graph_edges(spark, sf)
     starts = edges.where("relation = 'located in'").select(F.col("src").alias("qid"), F.col("src").alias("name"))
     return G.paths(edges, starts, 2).select("qid", F.array_join("nodes", " -> ").alias("nodes"), F.array_join("relations", " -> ").alias("relations"))
 
 
-@query("g8_paths_both_ways", f"""with {V.GEOGRAPHY}, e as (select src as u, dst as v, relation from edges union select dst, src, relation from edges),
+@query("g8_paths_both_ways", f"""with {V.GRAPH}, e as (select src as u, dst as v, relation from edges union select dst, src, relation from edges),
     p1 as (select r.dst as qid, r.dst as a, e.v as b, e.relation as r1 from (select distinct dst from edges where relation = 'part of') r join e on e.u = r.dst)
     select qid, count(*) as paths, min(a || '>' || b || '>' || e.v) as least from p1 join e on e.u = b where e.v <> a and e.v <> b group by qid""")
 def g8(spark, sf):
-    edges = V.geography(spark, sf)
+    edges = V.graph_edges(spark, sf)
     starts = edges.where("relation = 'part of'").select(F.col("dst").alias("qid"), F.col("dst").alias("name"))
     found = G.paths(edges, starts, 2, both_ways=True).where(F.size("nodes") == 3)
     return found.groupBy("qid").agg(F.count("*").alias("paths"), F.min(F.array_join("nodes", ">")).alias("least"))
 
 
-@query("g11_beam_width", f"""with {V.GEOGRAPHY}, e as (select src as u, dst as v, relation from edges union select dst, src, relation from edges),
+@query("g11_beam_width", f"""with {V.GRAPH}, e as (select src as u, dst as v, relation from edges union select dst, src, relation from edges),
     p1 as (select r.dst as qid, r.dst || '>' || e.v as path, e.v as last, e.relation as rel, row_number() over (partition by r.dst order by length(e.v) desc, r.dst || chr(31) || e.v, e.relation) as n from (select distinct dst from edges where relation = 'part of') r join e on e.u = r.dst),
     k1 as (select * from p1 where n <= 5),
     p2 as (select k.qid, k.path || '>' || e.v as path, k.last, e.v as tip, k.rel || chr(31) || e.relation as rel from k1 k join e on e.u = k.last where not list_contains(string_split(k.path, '>'), e.v)),
     k2 as (select *, row_number() over (partition by qid order by length(tip) desc, replace(path, '>', chr(31)), rel) as n from p2)
     select qid, path from k2 where n <= 5""")
 def g11(spark, sf):
-    edges = V.geography(spark, sf)
+    edges = V.graph_edges(spark, sf)
     starts = edges.where("relation = 'part of'").select(F.col("dst").alias("qid"), F.col("dst").alias("name"))
     found = G.paths(edges, starts, 2, width=5, score=F.length(F.element_at("nodes", -1)), both_ways=True)
     return found.select("qid", F.array_join("nodes", ">").alias("path"))
@@ -304,14 +305,14 @@ def j10(spark, sf):
     return found.agg(F.count("*").alias("paths"))
 
 
-@query("j9_adjacency_union", f"with {V.GEOGRAPHY} select n, count(distinct o) as neighbours from (select src as n, dst as o from edges union all select dst, src from edges) group by n")
+@query("j9_adjacency_union", f"with {V.GRAPH} select n, count(distinct o) as neighbours from (select src as n, dst as o from edges union all select dst, src from edges) group by n")
 def j9(spark, sf):
-    return G.undirected(V.geography(spark, sf)).groupBy(F.col("u").alias("n")).agg(F.count("*").alias("neighbours"))
+    return G.undirected(V.graph_edges(spark, sf)).groupBy(F.col("u").alias("n")).agg(F.count("*").alias("neighbours"))
 
 
-@query("u2_neighbours_union", f"with {V.GEOGRAPHY} select src as n, dst as o, relation from edges union all select dst, src, relation from edges")
+@query("u2_neighbours_union", f"with {V.GRAPH} select src as n, dst as o, relation from edges union all select dst, src, relation from edges")
 def u2(spark, sf):
-    e = V.geography(spark, sf)
+    e = V.graph_edges(spark, sf)
     return e.select(F.col("src").alias("n"), F.col("dst").alias("o"), "relation").unionAll(e.select("dst", "src", "relation"))
 
 

@@ -46,10 +46,10 @@ def s5(spark, sf):
     return v.agg(F.count("*").alias("n"), F.round(F.sum(F.col("embedding")[0].cast("double")), 4).alias("first"))
 
 
-@query("s16_tsv_triples", f"with {V.GEOGRAPHY} select src as h, relation as r, dst as t from edges")
+@query("s16_tsv_triples", f"with {V.GRAPH} select src as h, relation as r, dst as t from edges")
 def s16(spark, sf):
     at = _folder(spark, "tsv")
-    V.geography(spark, sf).select("src", "relation", "dst").write.option("sep", "\t").csv(at)
+    V.graph_edges(spark, sf).select("src", "relation", "dst").write.option("sep", "\t").csv(at)
     return readers.tsv_triples(spark, at)
 
 

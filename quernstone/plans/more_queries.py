@@ -69,9 +69,9 @@ def j8(spark, sf):
     return R.top_per_group(step, ["u"], [F.md5(F.concat(F.lit("1:"), "v").cast("binary")), F.col("v")], 3).select("u", "v")
 
 
-@query("o2_fact_top", f"with {V.GEOGRAPHY}, e as (select distinct src, relation, dst from edges), s as (select r_regionkey::bigint as qid, src || ' ' || relation || ' ' || dst as fact, ('0x' || md5(r_regionkey || ':' || src || dst)[1:6])::bigint as score from region, e) select qid, r::int as rank, fact from (select *, row_number() over (partition by qid order by score desc, fact) as r from s) where r <= 50")
+@query("o2_fact_top", f"with {V.GRAPH}, e as (select distinct src, relation, dst from edges), s as (select r_regionkey::bigint as qid, src || ' ' || relation || ' ' || dst as fact, ('0x' || md5(r_regionkey || ':' || src || dst)[1:6])::bigint as score from region, e) select qid, r::int as rank, fact from (select *, row_number() over (partition by qid order by score desc, fact) as r from s) where r <= 50")
 def o2(spark, sf):
-    facts = V.geography(spark, sf).distinct()
+    facts = V.graph_edges(spark, sf).distinct()
     regions = table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("qid"))
     both = facts.crossJoin(F.broadcast(regions))  # five stated questions
     score = F.conv(F.substring(F.md5(F.concat(F.col("qid").cast("string"), F.lit(":"), "src", "dst").cast("binary")), 1, 6), 16, 10).cast("long")
@@ -149,13 +149,28 @@ def f33(spark, sf):
     return table(spark, sf, "part").select(F.explode(F.array_remove(F.split(F.replace("p_type", F.lit(" "), F.lit(";")), r"[;\s]+"), "")).alias("token")).distinct()
 
 
+WALK = "('0x' || md5('7:' || qid || ':' || walker || ':' || {step})[1:8])::bigint"
+
+
+@query("g6_walk_sample", f"""with {V.GRAPH}, p as (select src as u, dst as v from edges union select dst, src from edges), n as (select u, v, row_number() over (partition by u order by v) - 1 as i, count(*) over (partition by u) as k from p),
+    w0 as (select (n_nationkey % 5)::bigint as qid, 'nation ' || n_nationkey as start, (n_nationkey * 20 + w)::bigint as walker, 'nation ' || n_nationkey as name from nation, unnest(range(20)) t(w)),
+    """ + ",\n".join(f"""w{t} as (select qid, start, walker, case when h % 1000 < 400 then start else v end as name from (select *, {WALK.format(step=t)} as h from w{t - 1}) w join n on n.u = w.name and n.i = (h // 1000) % n.k)""" for t in range(1, 5)) + """
+    select distinct qid, name from (""" + " union all ".join(f"select qid, name from w{t}" for t in range(5)) + ")")
+def g6_sample(spark, sf):
+    return G.walk_sample(V.graph_edges(spark, sf), _walk_starts(spark, sf), 20, 4, 0.4, 7)
+
+
+def _walk_starts(spark, sf):
+    n = table(spark, sf, "nation")
+    return n.select((F.col("n_nationkey") % 5).cast("long").alias("qid"), F.concat(F.lit("nation "), F.col("n_nationkey").cast("string")).alias("name"), F.col("n_nationkey").cast("long").alias("number"))
+
+
 @query("g6_sampled_pagerank")
 def g6(spark, sf):
-    """PageRank over a bounded neighbourhood of the seeds, in place of a random walk's sample."""
-    edges = V.geography(spark, sf)
-    seeds = edges.where("relation = 'part of'").select(F.substring_index("dst", " ", -1).cast("long").alias("qid"), F.col("src").alias("name"), F.lit(1.0).alias("weight"))
-    near = G.breadth_first(edges, seeds.select("qid", "name"), 1).select("name").distinct()
-    ranks = G.personalised_pagerank(G.induced(edges, near), seeds, 0.85, 5)
+    """PageRank over the edges among the nodes that random walks from the seeds have met."""
+    edges, starts = V.graph_edges(spark, sf), _walk_starts(spark, sf)
+    near = G.walk_sample(edges, starts, 20, 4, 0.4, 7).select("name").distinct()
+    ranks = G.personalised_pagerank(G.induced(edges, near), starts.select("qid", "name", F.lit(1.0).alias("weight")), 0.85, 5)
     return R.top_per_group(ranks, ["qid"], [F.desc("rank"), F.col("name")], 25, "place").select("qid", "place", "name", F.round("rank", 9).alias("rank"))
 
 
@@ -197,10 +212,15 @@ def v12(spark, sf):
     return nodes.crossJoin(V.graph_edges(spark, sf).distinct().agg(F.count("*").alias("edges")))  # one row each
 
 
-@query("r1_dense_edges")
+@query("r1_dense_edges", f"""with {V.GRAPH}, e as (select distinct src || ' ' || relation || ' ' || dst as x from edges),
+    b as (select true as is_edge, x, row_number() over (order by x) - 1 as id from e union all select false, text, item_id from benchmark),
+    v as (select *, list_transform(range(8), lambda i: (('0x' || sha256(x)[(2 * i + 1)::int:(2 * i + 2)::int])::int + 1)::double) as w from b),
+    u as (select is_edge, id, x, list_transform(w, lambda y: y / sqrt(list_inner_product(w, w))) as w from v),
+    s as (select q.id as qid, a.id, a.x as edge, list_inner_product(a.w, q.w) as score from u q join u a on a.is_edge and not q.is_edge)
+    select qid, r::int as rank, edge, round(score, 6) as score from (select *, row_number() over (partition by qid order by round(score, 9) desc, id desc) as r from s) where r <= 3""")
 def r1(spark, sf):
     """Edges by the inner product of their encoded text with each question's."""
-    edges = V.geography(spark, sf).where("relation = 'part of'").select(F.concat_ws(" ", "src", "relation", "dst").alias("edge")).distinct()
+    edges = V.graph_edges(spark, sf).select(F.concat_ws(" ", "src", "relation", "dst").alias("edge")).distinct()
     coded = R.number_rows(edges, ["edge"], "edge_id").withColumn("v", S.encode("edge"))
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), S.encode("text").alias("query"))
     found = S.top_k(coded, asked, 3, "edge_id", "v")

@@ -92,9 +92,9 @@ def a12(spark, sf):
     return both.groupBy("name").agg((1.0 / F.count_distinct("doc")).alias("weight"))
 
 
-@query("a9_node_score_mean", f"with {V.GEOGRAPHY}, s as (select src, dst, length(src || relation || dst)::double as score from edges) select name, round(avg(score), 6) as score from (select src as name, score from s union all select dst, score from s) group by name")
+@query("a9_node_score_mean", f"with {V.GRAPH}, s as (select src, dst, length(src || relation || dst)::double as score from edges) select name, round(avg(score), 6) as score from (select src as name, score from s union all select dst, score from s) group by name")
 def a9(spark, sf):
-    scored = V.geography(spark, sf).select("src", "dst", F.length(F.concat("src", "relation", "dst")).cast("double").alias("score"))
+    scored = V.graph_edges(spark, sf).select("src", "dst", F.length(F.concat("src", "relation", "dst")).cast("double").alias("score"))
     return scored.select(F.explode(F.array("src", "dst")).alias("name"), "score").groupBy("name").agg(F.round(F.avg("score"), 6).alias("score"))
 
 
@@ -165,12 +165,12 @@ def r2(spark, sf):
 QUESTION_WORDS = "q as (select item_id as qid, list_distinct(regexp_extract_all(lower('order placed by customer ' || (item_id * 7 % 50) || ' located in nation ' || (item_id % 25)), '[a-z0-9]+')) as words from benchmark)"
 
 
-@query("r10_lexical_triples", f"""with {V.GEOGRAPHY}, {DEGREE}, {QUESTION_WORDS}, e as (select distinct src, relation, dst from edges where relation <> 'placed by'),
+@query("r10_lexical_triples", f"""with {V.GRAPH}, {DEGREE}, {QUESTION_WORDS}, e as (select distinct src, relation, dst from edges where relation <> 'placed by'),
     t as (select src, relation, dst, a.out_degree + a.in_degree + b.out_degree + b.in_degree as degree, list_distinct(regexp_extract_all(lower(src || ' ' || relation || ' ' || dst), '[a-z0-9]+')) as words from e join degree a on a.name = src join degree b on b.name = dst),
     h as (select qid, src || ' ' || relation || ' ' || dst as triple, degree, len(list_intersect(q.words, t.words)) as overlap from q, t where list_has_any(q.words, t.words))
     select qid, r::int as rank, triple, overlap::bigint as overlap from (select *, row_number() over (partition by qid order by overlap desc, degree desc, triple desc) as r from h) where r <= 10""")
 def r10(spark, sf):
-    edges = V.geography(spark, sf)
+    edges = V.graph_edges(spark, sf)
     degree = G.degrees(edges).select("name", (F.col("out_degree") + F.col("in_degree")).alias("d"))
     e = edges.where("relation <> 'placed by'").distinct().join(degree.toDF("src", "a"), "src").join(degree.toDF("dst", "b"), "dst")
     t = e.select("src", "relation", "dst", (F.col("a") + F.col("b")).alias("degree"), T.word_set(F.concat_ws(" ", "src", "relation", "dst")).alias("words"))
@@ -187,8 +187,8 @@ def r5(spark, sf):
 
 def _retrieval_tables(spark, sf):
     """Edges with passages attached, each region's scores of all facts, and of all passages."""
-    geo = V.geography(spark, sf).select("src", "dst")
-    mentions = V.triples(spark, sf).where("stage <= 3").select(F.col("head").alias("src"), F.concat(F.lit("passage "), F.col("doc").cast("string")).alias("dst"))
+    geo = V.graph_edges(spark, sf).select("src", "dst")
+    mentions = V.triples(spark, sf).select(F.col("head").alias("src"), F.concat(F.lit("passage "), F.col("doc").cast("string")).alias("dst"))
     edges = geo.unionByName(mentions).distinct()
     regions = table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("qid"))
 
@@ -200,7 +200,7 @@ def _retrieval_tables(spark, sf):
     return edges, facts, passages
 
 
-@query("a9_edge_seeds", f"""with {V.GEOGRAPHY}, e as (select distinct src, dst from edges), s as (select r_regionkey::bigint as qid, src, dst, ('0x' || md5(r_regionkey || ':' || src || ':' || dst)[1:6])::bigint::double as score from region, e),
+@query("a9_edge_seeds", f"""with {V.GRAPH}, e as (select distinct src, dst from edges), s as (select r_regionkey::bigint as qid, src, dst, ('0x' || md5(r_regionkey || ':' || src || ':' || dst)[1:6])::bigint::double as score from region, e),
     m as (select *, (score - min(score) over w) / (max(score) over w - min(score) over w) as x from s window w as (partition by qid)), k as (select *, row_number() over (partition by qid order by x desc, src, dst) as r from m),
     n as (select qid, name, avg(x) as weight from (select qid, src as name, x from k where r <= 50 union all select qid, dst, x from k where r <= 50) group by 1, 2)
     select qid, name, round(weight, 9) as weight from (select *, row_number() over (partition by qid order by weight desc, name) as r from n) where r <= 10""")
@@ -210,8 +210,8 @@ def a9_seeds(spark, sf):
 
 @query("r4_entity_passages")
 def r4(spark, sf):
-    edges = V.geography(spark, sf).select("src", "dst")
-    files = V.triples(spark, sf).where("stage <= 3").select(F.col("head").alias("name"), F.col("doc").cast("string").alias("file"))
+    edges = V.graph_edges(spark, sf).select("src", "dst")
+    files = V.triples(spark, sf).select(F.col("head").alias("name"), F.col("doc").cast("string").alias("file"))
     seeds = V.geography(spark, sf).where("relation = 'part of'").select(F.substring_index("dst", " ", -1).cast("long").alias("qid"), F.col("src").alias("name"))
     return Q.entity_passages(edges, seeds, files, top=5, iterations=10)
 
