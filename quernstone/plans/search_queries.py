@@ -25,7 +25,7 @@ def o1(spark, sf):
 
 @query("v3_cell_probe_topk")
 def v3(spark, sf):
-    return S.probe_top_k(V.vectors(spark, sf), V.vector_questions(spark, sf), 5, 16, 12).select("qid", "rank", "vec_id", F.round("score", 6).alias("score"))
+    return S.probe_top_k(V.vectors(spark, sf), V.vector_questions(spark, sf), 5, None, 0.6).select("qid", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
 @query("f21_l2_norm", "select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 5) as norm from embeddings")
