@@ -175,7 +175,7 @@ def test_pipeline_stages(spark, docs):
         after = {r["doc_id"]: r["text"] for r in at.collect()}
         assert at.columns == docs.columns and set(after) <= set(before)
         if name == "language_id":
-            assert all(not any(c.isalpha() for c in before[d]) or len(before[d]) < 60 for d in set(before) - set(after))
+            assert all(not any(c.isalpha() for c in before[d]) for d in set(before) - set(after))
         if name != "pii":
             assert all(after[d] == before[d] for d in after)
         if name == "benchmark_decontamination":
@@ -207,3 +207,12 @@ def test_language_stage_on_odd_columns(spark):
     assert got.columns == df.columns and [tuple(r) for r in got.collect()] == rows[:1]
     bare = df.drop("lang")
     assert [tuple(r) for r in corpus_pipeline.language_id(spark, bare, SF).collect()] == [(1, rows[0][1], "x", 1.0, "a")]
+
+
+def test_letter_junk_is_rejected(spark, docs):
+    rng = np.random.default_rng(9)
+    junk = [(10**9 + i, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz     "), int(rng.integers(300, 3000)))), None, "junk", 1) for i in range(60)]
+    more = docs.unionByName(spark.createDataFrame(junk, docs.schema))
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, more, SF).select("doc_id").collect()}
+    assert sum(d >= 10**9 for d in kept) <= 9
+    assert {r["doc_id"] for r in docs.select("doc_id", "text").collect() if any(c.isalpha() for c in r["text"] or "")} <= kept
