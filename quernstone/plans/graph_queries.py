@@ -18,7 +18,7 @@ def _order():
 SEEN = """seen as (
     select head as name, head_type as type, doc, stage, pos, 0 as side from triples union all
     select tail, tail_type, doc, stage, pos, 1 from triples),
-nodes as (select name, type, doc from (select *, row_number() over (partition by name order by stage, pos, side) as n from seen) where n = 1)"""
+nodes as materialized (select name, type, doc from (select *, row_number() over (partition by name order by stage, pos, side) as n from seen) where n = 1)"""
 
 
 def _nodes(spark, sf):
@@ -113,7 +113,7 @@ def j3(spark, sf):
     return V.geography(spark, sf).select(T.hash_id(F.col("src"), "_entity").alias("src"), T.hash_id(F.col("dst"), "_entity").alias("dst"), "relation")
 
 
-MENTIONS = "mentions as (select n.name, sha256(d.text || '_text') as text_id from nodes n join documents d on n.doc = d.doc_id)"
+MENTIONS = "mentions as materialized (select n.name, sha256(d.text || '_text') as text_id from nodes n join documents d on n.doc = d.doc_id)"
 
 
 def _mentions(spark, sf):

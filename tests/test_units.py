@@ -134,7 +134,7 @@ def dirty_runs(texts, n):
     return {tuple(w[i : i + n]) for w in lists for i in range(len(w) - n + 1)}
 
 
-LINE = "This is a @line #containing a certain number of characters, 76 to be exact. "
+LINE = "Here stands a +row+ whose #length# in signs is known, seventy-eight it has. "
 
 
 @pytest.mark.parametrize(("text", "filth", "n", "window", "cutoff", "least", "want"), [
@@ -144,7 +144,7 @@ LINE = "This is a @line #containing a certain number of characters, 76 to be exa
     ("a b a b a b", "a b", 2, 0, 2, 1, []),
     ("aaa , bbb", "aaa bbb", 2, 0, 10, 2, ["aaa , bbb"]),
     ("\U0001f600 é aaa bbb tail of it", "aaa bbb", 2, 1, 10, 1, ["\U0001f600 é", "ail of it"]),
-    (LINE * 6 + "FILTH. " + LINE * 5, "filth", 1, 200, 10, 200, [LINE * 3 + "This is a @line #containing "]),
+    (LINE * 6 + "MUD. " + LINE * 5, "mud", 1, 200, 10, 200, [(LINE * 6)[:-200]]),
 ])
 def test_janitor(spark, text, filth, n, window, cutoff, least, want):
     docs, bad = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id int, text string"), spark.createDataFrame([(filth,)], "text string")
