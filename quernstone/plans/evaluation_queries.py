@@ -335,11 +335,11 @@ def j21(spark, sf):
     return both.groupBy(F.col("r_name").alias("category")).agg(F.round(F.avg("s_acctbal") + 1e-9, 4).alias("mean"))
 
 
-@query("j16_containment", "select distinct conv_id, turn from (select c.conv_id, c.turn, c.text from conversations c) c where exists (select 1 from conversations r where r.conv_id = c.conv_id and r.turn <> c.turn and contains(lower(r.text), lower(c.text)))")
+@query("j16_containment", "select distinct conv_id, turn from conversations c where exists (select 1 from conversations r where r.conv_id = c.conv_id and r.turn <> c.turn and contains(lower(r.text), lower(split_part(c.text, ' ', 2))))")
 def j16(spark, sf):
-    turns = table(spark, sf, "conversations")
+    turns = table(spark, sf, "conversations").withColumn("found", F.lower(F.split_part("text", F.lit(" "), F.lit(2))))
     other = turns.select(F.col("conv_id").alias("k"), F.col("turn").alias("t"), F.col("text").alias("reference"))
-    inside = (F.col("conv_id") == F.col("k")) & (F.col("turn") != F.col("t")) & F.contains(F.lower("reference"), F.lower("text"))
+    inside = (F.col("conv_id") == F.col("k")) & (F.col("turn") != F.col("t")) & F.contains(F.lower("reference"), F.col("found"))
     return turns.join(other, inside, "left_semi").select("conv_id", "turn").distinct()
 
 

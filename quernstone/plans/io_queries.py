@@ -110,12 +110,14 @@ def k3(spark, sf):
     return spark.read.parquet(at).groupBy("shard").agg(F.count("*").alias("n"))
 
 
-@query("k14_hash_buckets", "select count(*) as n, count(distinct source) as sources from documents")
+@query("k14_hash_buckets", "select ('0x' || md5(text)[1:4])::int % 16 as bucket, count(*) as n, count(distinct text) as texts from benchmark group by 1")
 def k14(spark, sf):
     at = _folder(spark, "buckets")
-    docs = table(spark, sf, "documents").select("doc_id", "source", F.pmod(F.xxhash64("doc_id"), F.lit(16)).alias("bucket"))
-    docs.write.partitionBy("bucket").parquet(at)
-    return spark.read.parquet(at).agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"))
+    number = F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 4), 16, 10).cast("int")
+    rows = table(spark, sf, "benchmark").select(F.to_json(F.struct("text")).alias("value"), (number % 16).alias("bucket"))
+    rows.repartition("bucket").write.partitionBy("bucket").text(at)
+    back = spark.read.schema("value string, bucket int").text(at)
+    return back.groupBy("bucket").agg(F.count("*").alias("n"), F.count_distinct("value").alias("texts"))
 
 
 @query("f13_fix_replies", "select item_id, 'item ' || item_id as head, 'has' as relation, length(text)::varchar as tail from benchmark")
@@ -133,10 +135,9 @@ def m1(spark, sf):
     return H.generate(items, "prompt", lambda: H.stub_model).select("item_id", "reply")
 
 
-@query("m3_named_entities", "select item_id, len(list_distinct(regexp_extract_all(text, '\\b[A-Z][a-z]+\\b')))::bigint as entities from benchmark where regexp_full_match(text, '[\\x00-\\x7F]*')")
+@query("m3_named_entities", "select item_id, len(list_distinct(list_filter(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}_]+'), lambda w: regexp_full_match(w, '\\p{Lu}\\p{Ll}+'))))::bigint as entities from benchmark")
 def m3(spark, sf):
-    items = table(spark, sf, "benchmark").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return items.select("item_id", F.size(H.named_entities(F.col("text"))).cast("long").alias("entities"))
+    return table(spark, sf, "benchmark").select("item_id", F.size(H.named_entities(F.col("text"))).cast("long").alias("entities"))
 
 
 @query("m13_prompts", "select conv_id, turn, 'Answer in ' || role || ': ' || text as prompt from conversations")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as N
+from ..functions.scratch import shared_dir
 from ..operators import decontamination as D
 from ..operators import evaluation as E
 from ..operators import graph as G
@@ -192,10 +195,11 @@ def g13(spark, sf):
     return edges.join(a, "src").join(b, "dst").groupBy(F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.count("*").alias("n"))
 
 
-@query("v1_encode_batches", "select count(*) as n, count(distinct text) as texts from documents")
+@query("v1_encode_batches", """with b as (select doc_id, list_transform(range(8), lambda i: (('0x' || sha256(text)[(2 * i + 1)::int:(2 * i + 2)::int])::int + 1)::double) as w from documents)
+    select doc_id, round(w[1] / sqrt(list_inner_product(w, w)), 6) as first, round(w[8] / sqrt(list_inner_product(w, w)), 6) as last from b""")
 def v1(spark, sf):
-    coded = table(spark, sf, "documents").select("text", S.encode("text").alias("v")).where(F.size("v") == 8)
-    return coded.agg(F.count("*").alias("n"), F.count_distinct("text").alias("texts"))
+    coded = table(spark, sf, "documents").select("doc_id", S.encode("text").alias("v"))
+    return coded.select("doc_id", F.round(F.col("v")[0], 6).alias("first"), F.round(F.col("v")[7], 6).alias("last"))
 
 
 @query("v8_cosine_rerank", f"with {V.VECTORS} select qid, r::int as rank, vec_id from (select q.qid, e.vec_id, row_number() over (partition by q.qid order by round({V.DOT} / (sqrt(list_sum(list_transform(e.embedding, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform(q.query, lambda x: x::double * x::double)))), 9) desc, e.vec_id desc) as r from questions q join embeddings e on e.label = (select label from embeddings f where f.vec_id = q.qid)) where r <= 5")
@@ -206,10 +210,14 @@ def v8(spark, sf):
     return R.top_per_group(both, ["qid"], [F.round("score", 9).desc(), F.desc("vec_id")], 5).select("qid", "rank", "vec_id")
 
 
-@query("v12_index_rows", f"with {V.TRIPLES}, {SEEN} select count(*) as nodes, (select count(distinct (head, relation, tail)) from triples) as edges from nodes")
+@query("v12_bundle_index", f"with {V.TRIPLES}, n as (select distinct head as name from triples where stage in (2, 3)) select name as qid, name, 1.0::double as score from n where name like 'nation %'")
 def v12(spark, sf):
-    nodes = G.first_seen_nodes(V.triples(spark, sf), F.struct("stage", "pos")).agg(F.count("*").alias("nodes"))
-    return nodes.crossJoin(V.graph_edges(spark, sf).distinct().agg(F.count("*").alias("edges")))  # one row each
+    """An index over a bundle's nodes without passages, saved, opened and asked for names that are in it."""
+    names = V.triples(spark, sf).where("stage in (2, 3)").select(F.col("head").alias("name")).distinct().withColumn("embedding", S.encode("name"))
+    at = f"{shared_dir(spark)}/quernstone/index-{uuid.uuid4().hex}"
+    S.save_index(names, at)
+    asked = names.where("name like 'nation %'").select(F.col("name").alias("qid"), F.col("embedding").alias("query"))
+    return S.search_index(spark, at, asked, 1, probes=1, key="name").select("qid", "name", F.round("score", 9).alias("score"))
 
 
 @query("r1_dense_edges", f"""with {V.GRAPH}, e as (select distinct src || ' ' || relation || ' ' || dst as x from edges),

@@ -157,10 +157,12 @@ def f17_split(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", T.split_answer(said).alias("answer"))
 
 
-@query("f18_no_articles", "select conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[!-/:-@\\[-`{-~]', '', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g')) as answer from conversations where regexp_full_match(text, '[\\x00-\\x7F]*')")
+@query("f18_no_articles", """with b as (select conv_id, turn, regexp_replace(lower(text), '[!-/:-@\\[-`{-~]', '', 'g') as t from conversations),
+    c as (select conv_id, turn, regexp_replace(t, '(^|[^\\p{L}\\p{M}\\p{N}_])(a|an|the)($|[^\\p{L}\\p{M}\\p{N}_])', '\\1 \\3', 'g') as t from b),
+    d as (select conv_id, turn, regexp_replace(t, '(^|[^\\p{L}\\p{M}\\p{N}_])(a|an|the)($|[^\\p{L}\\p{M}\\p{N}_])', '\\1 \\3', 'g') as t from c)
+    select conv_id, turn, trim(regexp_replace(t, '[\\s\\p{Z}]+', ' ', 'g')) as answer from d""")
 def f18(spark, sf):
-    turns = table(spark, sf, "conversations").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return turns.select("conv_id", "turn", T.normalise_answer_no_articles(F.col("text")).alias("answer"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.normalise_answer_no_articles(F.col("text")).alias("answer"))
 
 
 @query("f19_word_sets", "select doc_id, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')))::bigint as words from documents")
