@@ -22,9 +22,20 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, in this application's part of it."""
+    return f"{shared_dir(spark)}/quernstone/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application has written to the shared folder. Results are lazy and read it, so this comes after their last use."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quernstone/{spark.sparkContext.applicationId}")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` and read it back, so that a loop's plan stays short and a lost executor costs no recomputation of earlier rounds."""
-    path = f"{shared_dir(df.sparkSession)}/quernstone/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

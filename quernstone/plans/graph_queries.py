@@ -40,11 +40,11 @@ def a3(spark, sf):
     return G.worklist(_nodes(spark, sf), V.triples(spark, sf))
 
 
-@query("p6_valid_triples", f"""with {V.TRIPLES}, dirty as (select case when pos % 7 = 0 then '  ' || chr(10) else head || ';' end as head, case when pos % 11 = 0 then '' else relation end as relation, '  ' || tail as tail from triples where stage <= 3),
+@query("p6_valid_triples", f"""with {V.TRIPLES}, dirty as (select case when pos % 7 = 0 then '  ' || chr(10) else head || ';' end as head, case when pos % 11 = 0 then '' else relation end as relation, '  ' || tail as tail from triples),
     clean as (select trim(regexp_replace(replace(head, ';', ','), '\\s+', ' ', 'g')) as head, trim(relation) as relation, trim(tail) as tail from dirty)
     select * from clean where head <> '' and relation <> '' and tail <> ''""")
 def p6(spark, sf):
-    rows = V.triples(spark, sf).where("stage <= 3")
+    rows = V.triples(spark, sf)
     dirty = rows.select(F.when(F.col("pos") % 7 == 0, F.lit("  \n")).otherwise(F.concat("head", F.lit(";"))).alias("head"), F.when(F.col("pos") % 11 == 0, F.lit("")).otherwise(F.col("relation")).alias("relation"), F.concat(F.lit("  "), "tail").alias("tail"))
     return G.valid_triples(dirty)
 

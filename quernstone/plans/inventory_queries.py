@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.scratch import scratch_path as _folder
 from ..operators import catalogue as C
 from ..operators import composed as P
 from ..operators import hooks as H
@@ -12,7 +13,6 @@ from ..operators import relational as R
 from ..operators import search as S
 from ..sources import archives, readers, writers
 from . import views as V
-from .io_queries import _folder
 from .registry import query, table
 
 
@@ -190,11 +190,11 @@ def k9(spark, sf):
     return back.crossJoin(sizes)  # one row each
 
 
-@query("k11_bulk_import", f"with {V.TRIPLES}, n as (select distinct head as name from triples where stage in (2, 3)) select ':START_ID' as first_column, count(*) as relations from triples where head in (from n) and tail in (from n)")
+@query("k11_bulk_import", f"with {V.TRIPLES}, n as (select distinct head as name from triples) select ':START_ID' as first_column, count(*) as relations from triples where head in (from n) and tail in (from n)")
 def k11(spark, sf):
     at = _folder(spark, "bulk")
     t = V.triples(spark, sf)
-    nodes = t.where("stage in (2, 3)").select(F.col("head").alias("name"), F.col("head_type").alias("type")).distinct()
+    nodes = t.select(F.col("head").alias("name"), F.col("head_type").alias("type")).distinct()
     archives.bulk_import(nodes, t.select(F.col("head").alias("src"), F.col("tail").alias("dst"), "relation"), at)
     back = readers.csv_table(spark, f"{at}/relations")
     return back.agg(F.lit(back.columns[0]).alias("first_column"), F.count("*").alias("relations"))
@@ -350,9 +350,9 @@ def m18(spark, sf):
     return found.select("item_id", F.get("choices", place).alias("answer"), place.alias("place"))
 
 
-@query("m19_typed_concepts", f"with {V.TRIPLES}, e as (select distinct head as src, tail as dst from triples where stage in (2, 3)), s as (select src, dst, row_number() over (partition by src order by dst) as r from e), p as (select dst, src, row_number() over (partition by dst order by src) as r from e), n as (select src as name from e union select dst from e) select name, split_part(name, ' ', 1) || ' with ' || ((select count(*) from s where s.src = name and r <= 3) + (select count(*) from p where p.dst = name and r <= 3)) as concept from n")
+@query("m19_typed_concepts", f"with {V.TRIPLES}, e as (select distinct head as src, tail as dst from triples), n as (select name, sum(o) as o, sum(i) as i from (select src as name, 1 as o, 0 as i from e union all select dst, 0, 1 from e) group by name) select name, split_part(name, ' ', 1) || ' with ' || (least(o, 3) + least(i, 3))::bigint as concept from n")
 def m19(spark, sf):
-    e = V.triples(spark, sf).where("stage in (2, 3)").select(F.col("head").alias("src"), F.col("tail").alias("dst")).distinct()
+    e = V.triples(spark, sf).select(F.col("head").alias("src"), F.col("tail").alias("dst")).distinct()
     after = R.top_per_group(e, ["src"], [F.col("dst")], 3).select(F.col("src").alias("name"), F.col("dst").alias("near"))
     before = R.top_per_group(e, ["dst"], [F.col("src")], 3).select(F.col("dst").alias("name"), F.col("src").alias("near"))
     context = after.unionByName(before).groupBy("name").agg(F.array_join(F.array_sort(F.collect_list("near")), ", ").alias("context"), F.count("*").alias("n"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.scratch import shared_dir
+from ..functions.scratch import scratch_path
 from ..operators import build as B
 from ..operators import hooks as H
 from ..operators import relational as R
@@ -17,8 +17,7 @@ from . import views as V
 from .registry import query, table
 
 
-def _folder(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/quernstone/{name}-{uuid.uuid4().hex}"
+_folder = scratch_path
 
 
 @query("s1_corpus_scan", "select doc_id::varchar as id, coalesce(lang, 'en') as lang, length(text)::bigint as chars from documents")

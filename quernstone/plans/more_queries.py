@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as N
-from ..functions.scratch import shared_dir
+from ..functions.scratch import scratch_path
 from ..operators import decontamination as D
 from ..operators import evaluation as E
 from ..operators import graph as G
@@ -210,11 +208,11 @@ def v8(spark, sf):
     return R.top_per_group(both, ["qid"], [F.round("score", 9).desc(), F.desc("vec_id")], 5).select("qid", "rank", "vec_id")
 
 
-@query("v12_bundle_index", f"with {V.TRIPLES}, n as (select distinct head as name from triples where stage in (2, 3)) select name as qid, name, 1.0::double as score from n where name like 'nation %'")
+@query("v12_bundle_index", f"with {V.TRIPLES}, n as (select distinct head as name from triples) select name as qid, name, 1.0::double as score from n where name like 'nation %'")
 def v12(spark, sf):
     """An index over a bundle's nodes without passages, saved, opened and asked for names that are in it."""
-    names = V.triples(spark, sf).where("stage in (2, 3)").select(F.col("head").alias("name")).distinct().withColumn("embedding", S.encode("name"))
-    at = f"{shared_dir(spark)}/quernstone/index-{uuid.uuid4().hex}"
+    names = V.triples(spark, sf).select(F.col("head").alias("name")).distinct().withColumn("embedding", S.encode("name"))
+    at = scratch_path(spark, "index")
     S.save_index(names, at)
     asked = names.where("name like 'nation %'").select(F.col("name").alias("qid"), F.col("embedding").alias("query"))
     return S.search_index(spark, at, asked, 1, probes=1, key="name").select("qid", "name", F.round("score", 9).alias("score"))

@@ -111,9 +111,9 @@ def j6(spark, sf):
     return scores.orderBy(F.desc("score"), "text_id").limit(25)
 
 
-@query("j11_file_fanout", f"with {V.TRIPLES}, f as (select name, string_agg(distinct doc::varchar, ',') as file_id from (select head as name, doc from triples where stage <= 2) group by name) select file, count(*) as nodes from (select name, unnest(string_split(file_id, ',')) as file from f) group by file")
+@query("j11_file_fanout", f"with {V.TRIPLES}, f as (select name, string_agg(distinct doc::varchar, ',') as file_id from (select head as name, doc from triples) group by name) select file, count(*) as nodes from (select name, unnest(string_split(file_id, ',')) as file from f) group by file")
 def j11(spark, sf):
-    t = V.triples(spark, sf).where("stage <= 2").groupBy(F.col("head").alias("name")).agg(F.array_join(F.collect_set(F.col("doc").cast("string")), ",").alias("file_id"))
+    t = V.triples(spark, sf).groupBy(F.col("head").alias("name")).agg(F.array_join(F.collect_set(F.col("doc").cast("string")), ",").alias("file_id"))
     return t.select("name", F.explode(F.split("file_id", ",")).alias("file")).groupBy("file").agg(F.count("*").alias("nodes"))
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quernstone.functions import scratch
 from quernstone.functions import vector as N
 from quernstone.operators import catalogue as C
 from quernstone.operators import composed as P
@@ -139,3 +140,10 @@ def test_recall_of_probed_cells(spark, sf):
     exact = {(r["qid"], r["vec_id"]) for r in S.top_k(rows, asked, 5).collect()}
     found = {(r["qid"], r["vec_id"]) for r in S.probe_top_k(rows, asked, 5, None, 0.6).collect()}
     assert len(exact & found) >= 0.9 * len(exact)
+
+
+def test_scratch_is_cleared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "shared_dir", lambda spark: f"file://{tmp_path}")
+    assert scratch.cut(spark.range(3), "x").count() == 3 and list(tmp_path.rglob("*.parquet"))
+    scratch.clear(spark)
+    assert not list(tmp_path.rglob("*.parquet"))
