@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scratch import shared_dir, ship_package
+from ..functions.scratch import scratch_path, ship_package
 
 #: Rows and bytes of an Arrow batch sent to Python: they bound a worker's memory when texts are long.
 BATCH_ROWS = 500
 BATCH_BYTES = 16 << 20
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/quernstone/{name}-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
