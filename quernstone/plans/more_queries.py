@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions import vector as N
 from ..functions.scratch import scratch_path
 from ..operators import decontamination as D
 from ..operators import evaluation as E
@@ -204,8 +203,7 @@ def v1(spark, sf):
 def v8(spark, sf):
     vectors = V.vectors(spark, sf)
     asked = V.vector_questions(spark, sf).join(vectors.select(F.col("vec_id").alias("qid"), "label"), "qid")
-    both = asked.join(vectors, "label").select("qid", "vec_id", N.cosine(F.col("embedding"), F.col("query")).alias("score"))
-    return R.top_per_group(both, ["qid"], [F.round("score", 9).desc(), F.desc("vec_id")], 5).select("qid", "rank", "vec_id")
+    return S.top_k_within(vectors, asked, 5, "label").select("qid", "rank", "vec_id")
 
 
 @query("v12_bundle_index", f"with {V.TRIPLES}, n as (select distinct head as name from triples) select name as qid, name, 1.0::double as score from n where name like 'nation %'")
