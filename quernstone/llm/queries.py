@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hmm, langid, mpegts, packing, pii, sharding, simhash, span_dedup, warc
+from . import alignment, decontam, hmm, langid, mpegts, packing, pii, sharding, simhash, span_dedup, toxicity, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,8 +57,20 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "timestamps", "random_access")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_sharding, op3_packing, op4_substring_dedup, op5_warc, op6_lm_scoring, op7_language_id, op8_pii, op9_decontamination, op10_media)
+    f.__name__: f for f in (op1_simhash, op2_sharding, op3_packing, op4_substring_dedup, op5_warc, op6_lm_scoring, op7_language_id, op8_pii, op9_decontamination, op10_media, op11_alignment, op12_toxicity, op13_whitening)
 }
 
 #: What DuckDB can say about them; the others are held against brute force in the tests.
