@@ -27,8 +27,9 @@ BLOCK_POSTINGS = 2_000_000
 BLOCK_DOCS = 65_536
 #: Postings of one side id that one piece of it takes; a busier id is dealt over several.
 PIECE_POSTINGS = 4_000_000
-#: Contributions that a task gathers before it sums them by document and passes them on.
+#: Contributions that a task gathers before it sums them by document and passes them on, a row per 2 ** RANGE neighbouring documents.
 GATHERED = 2_000_000
+RANGE = 12
 
 #: A blank between two signs that aren't white space: neither tokenizer joins across it, and both put it before what follows.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -252,7 +253,7 @@ def postings(docs: DataFrame, a_path: str, b_path: str, key: str, text: str) ->
 
 
 def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, best, total) of each document that a side id's postings name.
+    """(range, docs, best, total): sums of the documents that side ids' postings name, packed by ranges of documents.
 
     A partition comes sorted: of each id first its pairs' counts, then its blocks of postings. Counts of one id, at most
     a vocabulary, are held; postings stream by, whatever their number.
@@ -267,7 +268,10 @@ def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         sums = [np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)]
         for out, values in zip(sums, (best, total), strict=True):
             np.add.at(out, of, values)
-        return pa.RecordBatch.from_arrays([pa.array(distinct), *map(pa.array, sums)], ["row", "best", "total"])
+        ranges = distinct >> RANGE
+        ends = np.append(np.flatnonzero(np.diff(ranges)) + 1, len(ranges))
+        packed = [(distinct & (1 << RANGE) - 1).astype("<u2"), *(x.astype("<i8") for x in sums)]
+        return pa.RecordBatch.from_arrays([pa.array(ranges[ends - 1]), *(_binary(x, ends) for x in packed)], ["range", "docs", "best", "total"])
 
     for batch in batches:
         a, kind, b, n, row = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
@@ -296,12 +300,36 @@ def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield summed()
 
 
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, n_best, count_sum): packed contributions, sorted by range, added up. One range's sums are held."""
+    at, sums, seen = None, np.zeros((2, 1 << RANGE), np.int64), np.zeros(1 << RANGE, bool)
+
+    def done() -> pa.RecordBatch:
+        docs = np.flatnonzero(seen)
+        return pa.RecordBatch.from_arrays([pa.array((at << RANGE) + docs), pa.array(sums[0, docs]), pa.array(sums[1, docs])], ["row", "n_best", "count_sum"])
+
+    for batch in batches:
+        for place, docs, best, total in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if place != at:
+                if at is not None:
+                    yield done()
+                at = place
+                sums[:] = 0
+                seen[:] = False
+            docs = np.frombuffer(docs, "<u2")
+            seen[docs] = True
+            sums[0, docs] += np.frombuffer(best, "<i8")  # a row names a document once
+            sums[1, docs] += np.frombuffer(total, "<i8")
+    if at is not None:
+        yield done()
+
+
 def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256), a row per row of ``docs``.
 
     A is a byte-level vocabulary's file, B a piece model's. Postings of linked pairs are written once, then shuffled by
     their A id, whose pairs' counts come before them in the sort order; each task has an id's counts and their
-    maximum when its postings stream by, and passes on sums by document, which one more shuffle adds up. An id of over
+    maximum when its postings stream by, and passes on sums by document, packed, which one more shuffle adds up. An id of over
     PIECE_POSTINGS postings is dealt over several pieces, each with all its counts; which ids those are is broadcast, a row an
     id of the vocabulary at most.
 
@@ -318,7 +346,7 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
     heads = counts.join(busy, "a", "left").select("a", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"), F.lit(0).alias("kind"), "b", "n", F.lit(0).cast("long").alias("row"), F.lit(None).cast("binary").alias("docs"), F.lit(None).cast("binary").alias("times"))
     dealt = blocks.join(busy, "a", "left").select("a", F.pmod(F.xxhash64("b", "row"), pieces).cast("int").alias("piece"), "kind", "b", "n", "row", "docs", "times")
     streams = heads.unionByName(dealt).repartition("a", "piece").sortWithinPartitions("a", "piece", "kind", "b")
-    sums = streams.select("a", "kind", "b", "n", "row", "docs", "times").mapInArrow(_contributions, "row long, best long, total long")
-    sums = sums.groupBy("row").agg(F.sum("best").alias("n_best"), F.sum("total").alias("count_sum"))
+    sums = streams.select("a", "kind", "b", "n", "row", "docs", "times").mapInArrow(_contributions, "range long, docs binary, best binary, total binary")
+    sums = sums.repartition("range").sortWithinPartitions("range").mapInArrow(_by_document, "row long, n_best long, count_sum long")
     out = made.where("kind = 0").select("key", "row", *_DOC, "digest").join(sums, "row", "left")
     return out.select(F.col("key").alias(key), *_DOC, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_best", "count_sum")], F.col("digest").alias("groups_sha256"))
