@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.scratch import scratch_path
 from ..operators import build as B
+from ..operators import decontamination as D
 from ..operators import hooks as H
 from ..operators import relational as R
-from ..sources import readers, writers
+from ..sources import buckets, readers, writers
 from ..streaming import ingest
 from . import views as V
 from .registry import query, table
+from .text_queries import GRAMS
 
 
 _folder = scratch_path
@@ -109,14 +111,39 @@ def k3(spark, sf):
     return spark.read.parquet(at).groupBy("shard").agg(F.count("*").alias("n"))
 
 
-@query("k14_hash_buckets", "select ('0x' || md5(text)[1:4])::int % 16 as bucket, count(*) as n, count(distinct text) as texts from benchmark group by 1")
+BUCKETS = 500
+BUCKETED = f"""with {GRAMS}, b as (select ('0x' || md5(gram)[1:4])::int % 500 as bucket, gram, doc_id from dg) select bucket, count(*) as n, count(distinct gram) as grams, count(distinct doc_id) as docs from b group by bucket"""
+
+
+def _grams_by_bucket(docs):
+    """(bucket, gram, doc_id): every 13-gram, in the bucket of its hash."""
+    number = F.conv(F.substring(F.md5(F.col("gram").cast("binary")), 1, 4), 16, 10).cast("int") % BUCKETS
+    return D.document_grams(docs, 13).select(number.alias("bucket"), "gram", "doc_id")
+
+
+def _bucket_totals(rows):
+    return rows.groupBy("bucket").agg(F.count("*").alias("n"), F.count_distinct("gram").alias("grams"), F.count_distinct("doc_id").alias("docs"))
+
+
+@query("k14_hash_buckets", BUCKETED)
 def k14(spark, sf):
     at = _folder(spark, "buckets")
-    number = F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 4), 16, 10).cast("int")
-    rows = table(spark, sf, "benchmark").select(F.to_json(F.struct("text")).alias("value"), (number % 16).alias("bucket"))
-    rows.repartition("bucket").write.partitionBy("bucket").text(at)
-    back = spark.read.schema("value string, bucket int").text(at)
-    return back.groupBy("bucket").agg(F.count("*").alias("n"), F.count_distinct("value").alias("texts"))
+    grams = _grams_by_bucket(table(spark, sf, "documents"))
+    buckets.write_buckets(grams, at)
+    return _bucket_totals(buckets.read_buckets(spark, at, grams.schema))
+
+
+@query("z4_restarted_buckets", BUCKETED)
+def z4(spark, sf):
+    """The same buckets from a stream of document files that is stopped half way and started again on its checkpoint."""
+    at = _folder(spark, "bucket-stream")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    halves = docs.withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
+    for half in (0, 1):
+        halves.where(F.col("half") == half).drop("half").write.mode("append").parquet(f"{at}/in")
+        grams = _grams_by_bucket(ingest.read_folder(spark, f"{at}/in", docs.schema, 1))
+        buckets.stream_buckets(grams, f"{at}/out", f"{at}/checkpoint")
+    return _bucket_totals(buckets.read_buckets(spark, f"{at}/out", grams.schema))
 
 
 @query("f13_fix_replies", "select item_id, 'item ' || item_id as head, 'has' as relation, length(text)::varchar as tail from benchmark")

@@ -9,6 +9,8 @@ from ..functions import vector as N
 from ..operators import graph as G
 from ..operators import relational as R
 from ..operators import retrieval as Q
+from ..functions.scratch import scratch_path
+from ..operators import neighbour_graph as NG
 from ..operators import search as S
 from . import views as V
 from .graph_queries import DEGREE, MENTIONS, SEEN, _mentions
@@ -28,6 +30,14 @@ def v3(spark, sf):
     return S.probe_top_k(V.vectors(spark, sf), V.vector_questions(spark, sf), 5, None, 0.6).select("qid", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
+@query("v2_neighbour_graph_topk")
+def v2(spark, sf):
+    """An index of all vectors written and opened again, and all questions' walks in it."""
+    at = scratch_path(spark, "neighbour-graph")
+    NG.save_graph(V.vectors(spark, sf), at)
+    return NG.search_graph(spark, at, V.vector_questions(spark, sf), 5).select("qid", "rank", "vec_id", F.round("score", 6).alias("score"), "scored")
+
+
 @query("f21_l2_norm", "select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 5) as norm from embeddings")
 def f21(spark, sf):
     return V.vectors(spark, sf).select("vec_id", F.round(N.norm(N.l2_normalise(F.col("embedding"))), 5).alias("norm"))
