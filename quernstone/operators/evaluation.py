@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,27 +94,29 @@ def weighted_mean(rows: DataFrame, group: str, size: str, value: str, by_size: b
     return rows.groupBy(group).agg((F.sum(F.col(value) * w) / F.sum(w)).alias(value))
 
 
-def bootstrap_stderr(rows: DataFrame, value: str, resamples: int, seed: int = 1234, block: int = 100) -> DataFrame:
-    """(stderr): spread of the means of ``resamples`` resamples with replacement.
+def bootstrap_stderr(rows: DataFrame, value: str, resamples: int, seed: int = 1234) -> DataFrame:
+    """(stderr): spread of the means of ``resamples`` resamples with replacement, in one pass.
 
-    The mean of a resample needs only counts, so values travel as a histogram of distinct values and counts to
-    blocks of resamples, seeded by block; a histogram of metric items is small, its size is checked.
+    A row is in a resample a Poisson(1) number of times, drawn where the row lies; values that a batch repeats draw together, as sums of
+    such numbers are Poisson too. A task passes on one array of weights and one of weighted sums, whatever its rows, seeded by its
+    partition. The spread of so many resamples is itself off by one part in sqrt(2 x resamples), and the drawn size of a resample adds
+    nothing in first order, as each mean is over the size drawn. Nulls and NaN aren't items; without an item the result is null.
     """
-    histogram = rows.groupBy(value).count().orderBy(value).limit(1_000_001).toPandas()
-    if len(histogram) > 1_000_000:
-        raise ValueError("over a million distinct values: use the closed form")
-    values, counts = histogram[value].to_numpy(float), histogram["count"].to_numpy()
 
-    def run(batches):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rng, weights, sums = np.random.default_rng([seed, TaskContext.get().partitionId()]), np.zeros(resamples), np.zeros(resamples)
         for pdf in batches:
-            out = []
-            for b in pdf["id"]:
-                draws = np.random.default_rng(seed + int(b)).multinomial(counts.sum(), counts / counts.sum(), min(block, resamples - int(b) * block))
-                out += list(draws @ values / counts.sum())
-            yield pd.DataFrame({"mean": out})
-
-    blocks = rows.sparkSession.range(math.ceil(resamples / block)).repartition(8)
-    return blocks.mapInPandas(run, "mean double").agg(F.stddev_samp("mean").alias("stderr"))
+            values, counts = np.unique(pdf["v"].dropna().to_numpy(float), return_counts=True)
+            for at in range(0, len(values), 1024):
+                drawn = rng.poisson(counts[at : at + 1024, None], (len(values[at : at + 1024]), resamples))
+                weights += drawn.sum(axis=0)
+                sums += values[at : at + 1024] @ drawn
+        if weights.any():
+            yield pd.DataFrame({"resample": np.arange(resamples), "weight": weights, "total": sums})
+
+    parts = rows.select(F.col(value).cast("double").alias("v")).mapInPandas(run, "resample int, weight double, total double")
+    means = parts.groupBy("resample").agg((F.sum("total") / F.sum("weight")).alias("mean"))
+    return means.agg(F.stddev_samp("mean").alias("stderr"))
 
 
 def assignment(matrix: np.ndarray) -> list[tuple[int, int]]:

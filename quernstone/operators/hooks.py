@@ -70,39 +70,129 @@ def render(template: Column, **values: Column) -> Column:
     return template
 
 
+_WORDS = {"true": True, "false": False, "null": None, "none": None, "nan": None}
+_BARE = re.compile(r"[^\s,:\[\]{}\"']+(?:[ \t]+[^\s,:\[\]{}\"']+)*")
+_ESCAPE = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
+
+
+def _tokens(text: str) -> Iterator[tuple[str, object]]:
+    """Marks ("[", "]", "{", "}", ",", ":") and values of a damaged JSON text from its first bracket on.
+
+    A string ends at its own quote if what follows it can follow a string: a comma, a colon, a closing bracket, a line's end or the end; so apostrophes and
+    stray quotes inside stay. One that never ends goes on to the end. Bare words are constants, numbers or strings.
+    """
+    at = 0
+    while at < len(text):
+        c = text[at]
+        if c in "[]{},:":
+            yield c, None
+            at += 1
+        elif c in "\"'":
+            out, at = [], at + 1
+            while at < len(text):
+                d = text[at]
+                if d == "\\" and at + 1 < len(text):
+                    e = text[at + 1]
+                    if e == "u" and re.fullmatch(r"[0-9a-fA-F]{4}", text[at + 2 : at + 6]):
+                        out.append(chr(int(text[at + 2 : at + 6], 16)))
+                        at += 6
+                    else:
+                        out.append(_ESCAPE.get(e, e))
+                        at += 2
+                elif d == c and re.match(r"[ \t]*\r?\n|\s*(?:[,:\]}]|$)", text[at + 1 : at + 80]):
+                    break
+                else:
+                    out.append(d)
+                    at += 1
+            yield "value", "".join(out).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+            at += 1
+        elif found := _BARE.match(text, at):
+            word = found[0]
+            at = found.end()
+            if word.lower() in _WORDS:
+                yield "value", _WORDS[word.lower()]
+            else:
+                try:
+                    yield "value", json.loads(word)
+                except json.JSONDecodeError:
+                    yield "value", word
+        else:
+            at += 1
+
+
+def _recovered(text: str):
+    """The first value of a damaged JSON text, by a stack of open arrays and objects.
+
+    Missing and extra commas don't matter, a closing bracket closes what opened last of its kind and all within, an object's
+    key without a value has null, and what is open at the end is closed there.
+    """
+    stack: list[tuple[object, list]] = []
+    gap = object()
+
+    def put(value) -> None:
+        if stack:
+            stack[-1][1].append(value)
+
+    def closed():
+        kind, items = stack.pop()
+        if kind == "[":
+            return [x for x in items if x is not gap]
+        out, key, has = {}, None, False
+        for i, x in enumerate(items):
+            if x is gap:
+                continue
+            if i + 1 < len(items) and items[i + 1] is gap:
+                if has:
+                    out[key] = None
+                key, has = x if isinstance(x, str) else json.dumps(x), True
+            elif has:
+                out[key], has = x, False
+        if has:
+            out[key] = None
+        return out
+
+    for mark, value in _tokens(text):
+        if mark in "[{":
+            stack.append((mark, []))
+        elif mark in "]}":
+            kind = "[" if mark == "]" else "{"
+            if any(k == kind for k, _ in stack):
+                while True:
+                    last = stack[-1][0]
+                    done = closed()
+                    if not stack:
+                        return done
+                    put(done)
+                    if last == kind:
+                        break
+        elif mark == ":":
+            if stack and stack[-1][0] == "{":
+                put(gap)
+        elif mark == "value":
+            put(value)
+    done = None
+    while stack:
+        done = closed()
+        put(done)
+    return done
+
+
 def repair_json(text: str | None):
-    """The first JSON value of a reply: fences and prose around it, trailing commas, single quotes and missing ends are mended; None if nothing helps."""
+    """The first JSON array or object of a reply; None if it has none.
+
+    Prose and fences around it go. A valid value is taken as it is; a damaged one is recovered token by token: single and missing quotes,
+    apostrophes inside strings, trailing and missing commas, other languages' constants, missing ends.
+    """
     if not text:
         return None
     body = re.sub(r"```(?:json)?", "", text)
     start = min((i for i in (body.find("["), body.find("{")) if i >= 0), default=-1)
     if start < 0:
         return None
-    body = body[start:].strip()
-    for attempt in (body, body[: max(body.rfind("]"), body.rfind("}")) + 1]):
-        for mended in (attempt, re.sub(r",\s*([\]}])", r"\1", attempt), re.sub(r",\s*([\]}])", r"\1", attempt.replace("'", '"')), _closed(attempt)):
-            try:
-                return json.loads(mended)
-            except json.JSONDecodeError:
-                continue
-    return None
-
-
-def _closed(body: str) -> str:
-    """A cut-off value with its open string, arrays and objects closed after the last whole item."""
-    stack, quoted, skip = [], False, False
-    for c in body:
-        if skip:
-            skip = False
-        elif quoted:
-            skip, quoted = c == "\\", c != '"'
-        elif c == '"':
-            quoted = True
-        elif c in "[{":
-            stack.append("]" if c == "[" else "}")
-        elif c in "]}" and stack:
-            stack.pop()
-    return re.sub(r",\s*$", "", body + '"' * quoted) + "".join(reversed(stack))
+    try:
+        return json.JSONDecoder().raw_decode(body, start)[0]
+    except (json.JSONDecodeError, RecursionError):
+        return _recovered(body[start:])
 
 
 def fix_rows(value, required: tuple[str, ...], arrays: tuple[str, ...] = ()) -> list[dict]:

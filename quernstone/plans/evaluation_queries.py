@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluation as E
+from ..operators import translation as X
 from . import views as V
 from .registry import query, table
 
@@ -150,6 +151,21 @@ def _loglik(spark, sf):
     return rows.select("item_id", (F.col("item_id") % 3).cast("int").alias("gold"), "choice", "continuation", (-value / 100.0).alias("loglik"))
 
 
+@query("a34_chrf", f"""with {V.ANSWERS}, t as (select qid, regexp_replace(question, '[\\s\\p{{Z}}]+', '', 'g') as p, regexp_replace(answer, '[\\s\\p{{Z}}]+', '', 'g') as g from answers),
+    grams as (select qid, n, unnest(list_transform(range(1, length(p) - n + 2), lambda i: substring(p, i, n))) as gram, 1 as p, 0 as q from t, range(1, 7) r(n) where length(p) >= n and length(g) >= n
+        union all select qid, n, unnest(list_transform(range(1, length(g) - n + 2), lambda i: substring(g, i, n))), 0, 1 from t, range(1, 7) r(n) where length(g) >= n),
+    c as (select n, sum(p) as p, sum(q) as g, sum(least(p, q)) as m from (select qid, n, gram, sum(p) as p, sum(q) as q from grams group by 1, 2, 3) group by n),
+    a as (select avg(m / p) as p, avg(m / g) as r from c where p > 0 and g > 0)
+    select round(coalesce(100 * 5 * p * r / (4 * p + r), 0), 6) as chrf from a""")
+def a34_chrf(spark, sf):
+    return X.chrf(V.answers(spark, sf), "question", "answer").select(F.round("chrf", 6).alias("chrf"))
+
+
+@query("a34_ter")
+def a34_ter(spark, sf):
+    return X.ter(V.answers(spark, sf), "question", "answer")
+
+
 @query("a35_choice_accuracy", f"with {LOGLIK}, r as (select *, row_number() over (partition by item_id order by loglik desc, choice) as a, row_number() over (partition by item_id order by loglik / length(continuation) desc, choice) as b from ll) select item_id, max((a = 1 and choice = gold)::int) as acc, max((b = 1 and choice = gold)::int) as acc_norm from r group by item_id")
 def a35(spark, sf):
     return E.choice_scores(_loglik(spark, sf), "item_id", "gold")

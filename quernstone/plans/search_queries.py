@@ -127,12 +127,16 @@ def j11(spark, sf):
     return t.select("name", F.explode(F.split("file_id", ",")).alias("file")).groupBy("file").agg(F.count("*").alias("nodes"))
 
 
-@query("j14_fuzzy_names", """with terms as (select n_nationkey as k, n_name as term from nation union all select n_nationkey + 100, n_name || 'X' from nation), names as (select n_name as name from nation),
-    m as (select term, name, case when term = name then 1.0 else 1 - levenshtein(term, name)::double / greatest(length(term), length(name)) end as ratio from terms, names)
-    select term, name, round(ratio, 6) as ratio from (select *, row_number() over (partition by term order by ratio desc, name) as r from m where ratio >= 0.8) where r = 1""")
+@query("j14_fuzzy_names")
 def j14(spark, sf):
-    names = table(spark, sf, "nation").select(F.col("n_name").alias("name"))
-    terms = names.select(F.col("name").alias("term")).unionByName(names.select(F.concat("name", F.lit("X")).alias("term")))
+    """Misspelt names of suppliers, customers and nations, linked to all names of the graph."""
+    key = lambda c: F.col(c).cast("string")
+    supplier, customer, nation = (table(spark, sf, t) for t in ("supplier", "customer", "nation"))
+    terms = supplier.select(F.concat(F.lit("suplier "), key("s_suppkey")).alias("term"))
+    terms = terms.unionByName(customer.where("c_custkey % 20 = 0").select(F.concat(F.lit("cust. "), key("c_custkey"), F.lit("r")).alias("term")))
+    terms = terms.unionByName(nation.select(F.concat(F.lit("nation "), key("n_nationkey")).alias("term"))).unionByName(nation.select(F.concat(F.lit("the nation of "), key("n_nationkey")).alias("term")))
+    edges = V.graph_edges(spark, sf)
+    names = edges.select(F.col("src").alias("name")).union(edges.select("dst"))
     return Q.link_names(terms, names).select("term", "name", F.round("ratio", 6).alias("ratio"))
 
 

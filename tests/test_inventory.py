@@ -24,29 +24,6 @@ def distance(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("ratio", [0.6, 0.8])
-def test_linked_by_edit_distance(spark, ratio):
-    rng = np.random.default_rng(5)
-    word = lambda n: "".join(rng.choice(list("abcd"), n))
-    names = sorted({word(int(n)) for n in rng.integers(1, 14, 120)})
-    terms = set(names[:5]) | {""}
-    for _ in range(120):
-        w = list(names[int(rng.integers(0, len(names)))])
-        for _ in range(int(rng.integers(1, 4))):
-            at, what = int(rng.integers(0, len(w) + 1)), int(rng.integers(0, 3))
-            w[at : at + (what > 0)] = [str(rng.choice(list("abcd")))] * (what < 2)
-        terms.add("".join(w))
-    got = {r["term"]: (r["name"], round(r["ratio"], 9)) for r in Q.link_names(spark.createDataFrame([(t,) for t in terms], "term string"), spark.createDataFrame([(n,) for n in names], "name string"), ratio).collect()}
-    want = {}
-    for t in terms:
-        scored = [(-(1 - distance(t, n) / max(len(t), len(n))), n) for n in names if t]
-        if t in names:
-            want[t] = (t, 1.0)
-        elif scored and -min(scored)[0] >= ratio:
-            want[t] = (min(scored)[1], round(-min(scored)[0], 9))
-    assert got == want and len(want) > 40
-
-
 def test_overlaps_keep_their_order(spark):
     triples = spark.createDataFrame([(f"s{i}", "in", f"t{i % 3}", ["in", f"s{i}", f"t{i % 3}"], i % 4) for i in range(40)], "src string, relation string, dst string, words array<string>, degree int").repartition(3)
     asked = spark.createDataFrame([(1, ["in", "t1", "t1"]), (2, ["nothing"]), (3, ["s7"])], "qid long, words array<string>")
