@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+import time
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import Executor, ThreadPoolExecutor
 from functools import reduce
 
 import pandas as pd
@@ -32,28 +35,51 @@ def parity_judge(prompt: str) -> str:
     return "no" if int(re.search(r"\d+", prompt)[0]) % 4 == 0 else "yes"
 
 
-def generate(rows: DataFrame, prompt: str, model: Callable[[], Model], tries: int = 5) -> DataFrame:
-    """``rows`` with ``reply`` and ``error``: a client a partition, each call tried up to ``tries`` times.
+def windowed(texts: Iterable[str], call: Callable[[str], object], window: int, pool: Executor) -> Iterator:
+    """``call`` of each text, in their order, with up to ``window`` calls open: one is begun as the oldest ends."""
+    open_calls: deque = deque()
+    for text in texts:
+        if len(open_calls) >= window:
+            yield open_calls.popleft().result()
+        open_calls.append(pool.submit(call, text))
+    while open_calls:
+        yield open_calls.popleft().result()
+
+
+def patient(call: Model, tries: int, pause: float, budget: float) -> Callable[[str], tuple[str | None, str | None]]:
+    """(reply, error) of a call that is tried again after ``pause`` seconds, then twice as many, and so on, while the row's ``budget`` of seconds allows."""
+
+    def one(text: str) -> tuple[str | None, str | None]:
+        until, error = time.monotonic() + budget, None
+        for turn in range(tries):
+            try:
+                return call(text), None
+            except Exception as e:  # noqa: BLE001  what a client raises is not ours to know
+                error = f"{type(e).__name__}: {e}"
+            wait = pause * 2**turn
+            if turn + 1 == tries or time.monotonic() + wait > until:
+                break
+            time.sleep(wait)
+        return None, error
+
+    return one
+
 
-    A call that keeps failing leaves a null reply and its last error, not an empty result.
+def generate(rows: DataFrame, prompt: str, model: Callable[[], Model], tries: int = 5, window: int = 8, pause: float = 0.0, budget: float = 600.0) -> DataFrame:
+    """``rows`` with ``reply`` and ``error``: a client a partition with up to ``window`` calls open, each tried up to ``tries`` times.
+
+    Replies come in the order of the rows, and a slow one holds back only what is ``window`` calls behind it. A call that keeps failing, or
+    that has used up its ``budget`` of seconds, leaves a null reply and its last error, not an empty result. A client is called from several
+    threads; one that can't be takes ``window=1``.
     """
     schema = T.StructType([*rows.schema.fields, T.StructField("reply", T.StringType()), T.StructField("error", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = model()
-        for pdf in batches:
-            replies, errors = [], []
-            for text in pdf[prompt]:
-                reply = error = None
-                for _ in range(tries):
-                    try:
-                        reply, error = call(text), None
-                        break
-                    except Exception as e:  # noqa: BLE001  what a client raises is not ours to know
-                        error = f"{type(e).__name__}: {e}"
-                replies.append(reply)
-                errors.append(error)
-            yield pdf.assign(reply=replies, error=errors)
+        call = patient(model(), tries, pause, budget)
+        with ThreadPoolExecutor(window) as pool:
+            for pdf in batches:
+                found = list(windowed(pdf[prompt], call, window, pool))
+                yield pdf.assign(reply=[r for r, _ in found], error=[e for _, e in found])
 
     return rows.mapInPandas(run, schema)
 

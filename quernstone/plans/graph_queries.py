@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import graph as G
+from ..operators import shape as H
 from . import views as V
 from .registry import query, table
 
@@ -332,6 +333,26 @@ def g12_clustering(spark, sf):
     return t.agg(F.sum("degree").alias("ends"), F.max("degree").alias("top"), (F.sum("triangles") / 3).cast("long").alias("triangles"))
 
 
+@query("g12_path_lengths")
+def g12_lengths(spark, sf):
+    """Mean and effective distance in the whole graph from sketches, and exact bounds of its diameter."""
+    edges = V.graph_edges(spark, sf)
+    return H.path_lengths(edges).select(F.round("mean", 3).alias("mean"), "effective").join(F.broadcast(H.diameter(edges)))  # a row each
+
+
+CYCLES = f"""with {V.GRAPH}, e as (select distinct src as u, dst as v from edges union select distinct dst, src from edges where relation = 'supplied by' and src <> dst)"""
+
+
+@query("g12_simple_cycles", CYCLES + """, c2 as (select count(*) as n from e a join e b on a.v = b.u and b.v = a.u where a.u < a.v),
+    c3 as (select count(*) as n from e a join e b on a.v = b.u join e c on b.v = c.u and c.v = a.u where a.u < a.v and a.u < b.v and a.v <> b.v)
+    select 1::int as length, (select count(*) from e where u = v) as cycles union all select 2, n from c2 union all select 3, n from c3""")
+def g12_cycles(spark, sf):
+    """Short cycles of the whole graph, with supplies as edges both ways."""
+    edges = V.graph_edges(spark, sf)
+    back = edges.where("relation = 'supplied by'").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return H.simple_cycles(edges.select("src", "dst").union(back), 3)
+
+
 @query("g12_short_paths", f"""with {V.GEOGRAPHY}, h0 as (select distinct src as qid, src as name, 0 as hop from edges), h1 as (select distinct qid, dst as name, 1 as hop from h0 join edges on src = name), h2 as (select distinct qid, dst as name, 2 as hop from h1 join edges on src = name),
     a as (select qid, name, min(hop) as hop from (select * from h0 union all select * from h1 union all select * from h2) group by 1, 2)
     select hop, count(*) as pairs from a group by hop""")

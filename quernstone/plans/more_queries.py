@@ -13,6 +13,7 @@ from ..operators import hooks as H
 from ..operators import relational as R
 from ..operators import retrieval as Q
 from ..operators import search as S
+from ..operators import seeded as W
 from . import views as V
 from .graph_queries import SEEN
 from .registry import query, table
@@ -167,11 +168,20 @@ def _walk_starts(spark, sf):
 
 @query("g6_sampled_pagerank")
 def g6(spark, sf):
-    """PageRank over the edges among the nodes that random walks from the seeds have met."""
-    edges, starts = V.graph_edges(spark, sf), _walk_starts(spark, sf)
-    near = G.walk_sample(edges, starts, 20, 4, 0.4, 7).select("name").distinct()
-    ranks = G.personalised_pagerank(G.induced(edges, near), starts.select("qid", "name", F.lit(1.0).alias("weight")), 0.85, 5)
-    return R.top_per_group(ranks, ["qid"], [F.desc("rank"), F.col("name")], 25, "place").select("qid", "place", "name", F.round("rank", 9).alias("rank"))
+    """For every nation, ranks over the nodes that its own random walks have met."""
+    ranks = W.seed_ranks(V.graph_edges(spark, sf), _walk_starts(spark, sf), epsilon=5e-4)
+    return R.top_per_group(ranks, ["qid", "seed"], [F.desc(F.round("rank", 9)), F.col("name")], 25, "place").select("qid", "seed", "place", "name", F.round("rank", 6).alias("rank"))
+
+
+@query("r8_sampled_passages")
+def r8_sampled(spark, sf):
+    """Passages for misspelt keywords: linked by name, ranked in a sample for each, summed by passage."""
+    t = V.triples(spark, sf)
+    mentions = t.select(F.col("head").alias("name"), F.col("doc").alias("text")).union(t.select("tail", "doc"))
+    n = table(spark, sf, "nation")
+    asked = n.select((F.col("n_nationkey") % 5).cast("long").alias("qid"), F.concat(F.lit("natoin "), F.col("n_nationkey").cast("string")).alias("term"))
+    found = W.keyword_passages(asked, V.graph_edges(spark, sf), mentions, epsilon=5e-4)
+    return found.select("qid", "rank", "text", F.round("score", 9).alias("score"))
 
 
 @query("g9_relation_pruned_paths", f"""with {V.GEOGRAPHY}, e as (select src as u, dst as v, relation from edges union select dst, src, relation from edges),
