@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -11,7 +12,7 @@ from ..operators import composed as P
 from ..operators import hooks as H
 from ..operators import relational as R
 from ..operators import search as S
-from ..sources import archives, readers, writers
+from ..sources import archives, frames, readers, writers
 from . import views as V
 from .registry import query, table
 
@@ -81,11 +82,14 @@ def s10(spark, sf):
 
 @query("s13_archive_scan", "select doc_id, (row_number() over (order by doc_id % 3, doc_id) - 1)::bigint as place, length(text)::bigint as chars from documents qualify doc_id % 3 >= 1")
 def s13(spark, sf):
-    docs = table(spark, sf, "documents").withColumn("archive", F.concat(F.lit("part"), (F.col("doc_id") % 3).cast("string")))
-    body = F.to_json(F.struct("doc_id", "text"))
-    paths = archives.zstd_archives(docs.withColumn("body", body), _folder(spark, "archives"), "archive", "body", ["doc_id"])
-    lines = R.number_rows(readers.zstd_json_lines(spark, paths), ["file", "line"], "place")  # places count the files before the first one taken, too
-    parsed = lines.where("file >= 1").select(F.from_json("text", "doc_id bigint, text string").alias("d"), "place")
+    at = _folder(spark, "archives")
+    docs = table(spark, sf, "documents").select(F.concat(F.lit("part"), (F.col("doc_id") % 3).cast("string")).alias("archive"), F.to_json(F.struct("doc_id", "text")).alias("body"), "doc_id")
+    frames.write_frames(docs, at, "archive", "body", ["doc_id"])
+    sizes = frames.totals(spark, at)  # three rows
+    w = Window.orderBy("archive")
+    before = F.broadcast(sizes.select("archive", (F.sum("lines").over(w) - F.col("lines")).alias("before")))  # places count the archives before the first one taken, too
+    lines = frames.read_frames(spark, at, ["part1", "part2"]).join(before, "archive")
+    parsed = lines.select(F.from_json("text", "doc_id bigint, text string").alias("d"), (F.col("before") + F.col("place")).alias("place"))
     return parsed.select("d.doc_id", "place", F.length("d.text").cast("long").alias("chars"))
 
 
@@ -101,12 +105,9 @@ def k16(spark, sf):
 def s14(spark, sf):
     at = _folder(spark, "paragraphs")
     turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    line = F.to_json(F.struct(F.transform("t", lambda x: x["text"]).alias("text")))
-    archives.one_file(turns.select("conv_id", line.alias("value")), f"{at}/talk.jsonl", ["conv_id"])
-    made = archives.compress_files(spark, [f"{at}/talk.jsonl"]).select("path").first()[0]
-    lines = readers.zstd_json_lines(spark, [f"file://{made}" if made.startswith("/") else made])
-    order = R.number_rows(table(spark, sf, "conversations").select("conv_id").distinct(), ["conv_id"], "line")
-    return lines.join(order, "line").select("conv_id", "text")
+    frames.write_frames(turns.select(F.lit("talk").alias("archive"), "conv_id", F.transform("t", lambda x: x["text"]).alias("paragraphs")), at, "archive", "paragraphs", ["conv_id"])
+    order = R.number_rows(turns.select("conv_id"), ["conv_id"], "place")
+    return frames.read_frames(spark, at).join(order, "place").select("conv_id", "text")
 
 
 @query("s23_header_probe", "select unnest(['c_custkey', 'c_name']) as name, unnest([min(c_custkey)::varchar, min_by(c_name, c_custkey)]) as first from customer")

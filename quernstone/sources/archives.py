@@ -13,6 +13,7 @@ import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .buckets import qualified
 from .readers import _hadoop_files
 
 
@@ -52,33 +53,13 @@ def concatenated(spark: SparkSession, folder: str, ending: str = ".csv") -> Data
     return whole.where("value <> '' and (line > 0 or file = 0)")
 
 
-def zstd_archives(df: DataFrame, folder: str, name: str, text: str, order: list[str]) -> list[str]:
-    """A zstd archive of JSON lines for each value of the column ``name``; the archives' paths by name.
+def compress_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, lines): each text file rewritten as .zst, a task a file; ``path`` is the new one's.
 
-    An archive is one task's stream, written aside and renamed when whole, so a task that runs twice replaces its own file.
+    All are written before any goes: tasks may fail or run twice, and only when every new file is whole does the driver put them in place and
+    delete the old ones. Called again after a crash it goes on: a file that is gone and has its .zst counts as done.
     """
-    uri = folder if "://" in folder else f"file://{folder}"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import zstandard
-
-        store, root = fs.FileSystem.from_uri(uri)
-        store.create_dir(root, recursive=True)
-        at, half = f"{root}/{pdf['name'].iloc[0]}.jsonl.zst", f"{root}/.{uuid.uuid4().hex}"
-        with store.open_output_stream(half) as raw, zstandard.ZstdCompressor().stream_writer(raw, closefd=False) as out:
-            for body in pdf.sort_values(order)["text"]:
-                out.write(json.dumps({"text": body}, ensure_ascii=False).encode() + b"\n")
-        store.move(half, at)
-        return pd.DataFrame({"path": [at]})
-
-    rows = df.select(F.col(name).cast("string").alias("name"), F.col(text).alias("text"), *order)
-    scheme = uri.split("://")[0]
-    found = rows.groupBy("name").applyInPandas(run, "path string").collect()  # a row an archive
-    return sorted(f"{scheme}://{r['path']}" for r in found)
-
-
-def compress_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, lines): each text file rewritten as .zst and then deleted, a task a file; ``path`` is the new one's."""
+    uris = [qualified(spark, p) for p in paths]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -86,47 +67,78 @@ def compress_files(spark: SparkSession, paths: list[str]) -> DataFrame:
         for pdf in batches:
             for uri in pdf["uri"]:
                 store, path = fs.FileSystem.from_uri(uri)
-                lines, half = 0, f"{path}.{uuid.uuid4().hex}"
+                lines, half = 0, f"{path}.{uuid.uuid4().hex}.half"
+                if not store.get_file_info(path).is_file and store.get_file_info(f"{path}.zst").is_file:
+                    with store.open_input_file(f"{path}.zst") as raw, zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True) as plain:
+                        while block := plain.read(1 << 20):
+                            lines += block.count(b"\n")
+                    yield pd.DataFrame({"uri": [uri], "half": [""], "lines": [lines]})
+                    continue
                 with store.open_input_stream(path) as raw, store.open_output_stream(half) as sink, zstandard.ZstdCompressor().stream_writer(sink, closefd=False) as out:
                     while block := raw.read(1 << 20):
                         lines += block.count(b"\n")
                         out.write(block)
-                store.move(half, f"{path}.zst")
-                store.delete_file(path)
-                yield pd.DataFrame({"path": [f"{path}.zst"], "lines": [lines]})
+                yield pd.DataFrame({"uri": [uri], "half": [half], "lines": [lines]})
 
-    listed = spark.createDataFrame([(p,) for p in paths], "uri string").repartition(max(1, len(paths)))
-    return listed.mapInPandas(run, "path string, lines bigint")
+    listed = spark.createDataFrame([(p,) for p in uris], "uri string").repartition(max(1, len(uris)))
+    done = listed.mapInPandas(run, "uri string, half string, lines bigint").collect()  # a row a file that was asked for
+    for row in done:
+        store, path = fs.FileSystem.from_uri(row.uri)
+        if row.half:
+            store.move(row.half, f"{path}.zst")
+            store.delete_file(path)
+    return spark.createDataFrame([(f"{r.uri}.zst", r.lines) for r in done], "path string, lines bigint")
 
 
-def array_files(df: DataFrame, vector: str, folder: str) -> DataFrame:
-    """(path, n, dimensions): the vectors as float32 .npy files, one a task."""
-    uri = folder if "://" in folder else f"file://{folder}"
+#: Vectors of an array file.
+ARRAY_ROWS = 65_536
+
+
+def array_files(df: DataFrame, vector: str, folder: str, rows: int = ARRAY_ROWS) -> DataFrame:
+    """(path, n, dimensions): the vectors as float32 .npy files of up to ``rows`` each, and an index of them, which this returns.
+
+    The index is a table that Spark commits: files of tasks that failed or ran twice aren't in it. A task holds one file's rows.
+    """
+    uri = qualified(df.sparkSession, folder)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [v for pdf in batches for v in pdf["v"]]
-        if rows:
-            store, root = fs.FileSystem.from_uri(uri)
-            store.create_dir(root, recursive=True)
-            data, at = np.stack(rows).astype(np.float32), f"{root}/{uuid.uuid4().hex}.npy"
+        store, root = fs.FileSystem.from_uri(uri)
+        store.create_dir(root, recursive=True)
+        held: list = []
+
+        def flush() -> pd.DataFrame:
+            data, at = np.stack(held).astype(np.float32), f"{uuid.uuid4().hex}.npy"
             body = io.BytesIO()
             np.save(body, data)
-            with store.open_output_stream(at) as out:
+            with store.open_output_stream(f"{root}/{at}") as out:
                 out.write(body.getvalue())
-            yield pd.DataFrame({"path": [at], "n": [len(data)], "dimensions": [data.shape[1]]})
+            held.clear()
+            return pd.DataFrame({"path": [f"{uri}/{at}"], "n": [len(data)], "dimensions": [data.shape[1]]})
 
-    return df.select(F.col(vector).alias("v")).mapInPandas(run, "path string, n bigint, dimensions int")
+        for pdf in batches:
+            for v in pdf["v"]:
+                held.append(v)
+                if len(held) == rows:
+                    yield flush()
+        if held:
+            yield flush()
+
+    df.select(F.col(vector).alias("v")).mapInPandas(run, "path string, n bigint, dimensions int").write.parquet(f"{folder}/index")
+    return df.sparkSession.read.parquet(f"{folder}/index")
 
 
 def read_arrays(spark: SparkSession, folder: str) -> DataFrame:
-    """(vector) of every .npy file of a folder."""
+    """(vector) of every .npy file that a folder's index names, a task a few files."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for body in pdf["content"]:
-                yield pd.DataFrame({"vector": list(np.load(io.BytesIO(body)))})
+            for uri in pdf["path"]:
+                store, path = fs.FileSystem.from_uri(uri)
+                with store.open_input_file(path) as f:
+                    yield pd.DataFrame({"vector": list(np.load(io.BytesIO(f.read())))})
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(folder).select("content").mapInPandas(run, "vector array<float>")
+    index = spark.read.parquet(f"{folder}/index").select("path")
+    return index.repartition("path").mapInPandas(run, "vector array<float>")
 
 
 def bulk_import(nodes: DataFrame, edges: DataFrame, folder: str, key: str = "name", label: str = "type") -> None:
