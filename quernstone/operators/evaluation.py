@@ -81,6 +81,22 @@ def matthews(tp: Column, tn: Column, fp: Column, fn: Column) -> Column:
     return F.when(bottom == 0, 0.0).otherwise((tp.cast("double") * tn - fp.cast("double") * fn) / bottom)
 
 
+def class_f1(rows: DataFrame, predicted: Column, gold: Column, keys: list[str] | None = None) -> DataFrame:
+    """(keys, weighted_f1, macro_f1, accuracy) over any number of classes.
+
+    A class's F1 is 2 tp / (2 tp + fp + fn), 0 where nothing was right; the weighted mean goes by how often a class is the gold one, the
+    plain mean over all classes that were said or gold. Rows with a null on either side aren't items. Each row counts once as said and once
+    as gold, so what shuffles is a count a class and task, and a frequent class is no hot key.
+    """
+    keys = keys or []
+    pairs = rows.select(*keys, predicted.alias("_p"), gold.alias("_g")).where("_p is not null and _g is not null")
+    sides = pairs.select(*keys, F.explode(F.array(F.struct(F.col("_g").alias("c"), F.lit(1).alias("g"), (F.col("_p") == F.col("_g")).cast("int").alias("hit")), F.struct(F.col("_p").alias("c"), F.lit(0).alias("g"), F.lit(0).alias("hit")))).alias("s"))
+    counts = sides.groupBy(*keys, "s.c").agg(F.sum("s.g").alias("gold"), F.sum(1 - F.col("s.g")).alias("said"), F.sum("s.hit").alias("tp"))
+    f1 = 2 * F.col("tp") / (F.col("said") + F.col("gold"))
+    out = counts.groupBy(*keys) if keys else counts
+    return out.agg((F.sum(f1 * F.col("gold")) / F.sum("gold")).alias("weighted_f1"), F.avg(f1).alias("macro_f1"), (F.sum("tp") / F.sum("gold")).alias("accuracy"))
+
+
 def pooled_stderr(rows: DataFrame, group: str, size: str, stderr: str) -> DataFrame:
     """(group, pooled): standard error of parts put together, from theirs."""
     n, e = F.col(size), F.col(stderr)
@@ -208,6 +224,17 @@ def choice_requests(items: DataFrame, key: str, context: Column, choices: Column
     return rows.select(key, "kind", "choice", "context", "continuation")
 
 
+def mutual_information_choices(scored: DataFrame, key: str, gold: str) -> DataFrame:
+    """(key, acc_mutual_info): whether the gold choice gains most by the context, its log likelihood with it less the one without; ties to the first choice.
+
+    ``scored`` (key, gold, choice, kind, loglik), as ``choice_requests`` with ``mutual`` asks for; a choice that lacks one of the two takes no part.
+    """
+    side = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("loglik")))
+    gains = scored.groupBy(key, gold, "choice").agg((side("conditional") - side("unconditional")).alias("gain")).where("gain is not null")
+    best = gains.groupBy(key, gold).agg(F.max_by("choice", F.struct("gain", -F.col("choice"))).alias("a"))
+    return best.select(key, (F.col("a") == F.col(gold)).cast("int").alias("acc_mutual_info"))
+
+
 def choice_scores(scored: DataFrame, key: str, gold: str) -> DataFrame:
     """(key, acc, acc_norm): whether the gold choice has the highest log likelihood, as it is and per character; ties to the first choice.
 

@@ -151,6 +151,25 @@ def _loglik(spark, sf):
     return rows.select("item_id", (F.col("item_id") % 3).cast("int").alias("gold"), "choice", "continuation", (-value / 100.0).alias("loglik"))
 
 
+@query("a33_weighted_f1", """with r as (select o_orderstatus as k, o_orderpriority as g, ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-LOW', '5-NONE'][(o_orderkey % 5)::int + 1] as p from orders),
+    c as (select k, c, sum(g)::double as gold, sum(p) as said, sum(hit) as tp from (select k, g as c, 1 as g, 0 as p, (p = g)::int as hit from r union all select k, p, 0, 1, 0 from r) group by 1, 2)
+    select k, round(sum(2 * tp / (said + gold) * gold) / sum(gold), 6) as weighted_f1, round(avg(2 * tp / (said + gold)), 6) as macro_f1, round(sum(tp) / sum(gold), 6) as accuracy from c group by k""")
+def a33_weighted(spark, sf):
+    said = F.array(*map(F.lit, ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-LOW", "5-NONE")))[(F.col("o_orderkey") % 5).cast("int")]
+    found = E.class_f1(table(spark, sf, "orders").withColumnRenamed("o_orderstatus", "k"), said, F.col("o_orderpriority"), ["k"])
+    return found.select("k", *[F.round(c, 6).alias(c) for c in ("weighted_f1", "macro_f1", "accuracy")])
+
+
+@query("a35_mutual_information", """with ll as (select item_id, (item_id % 3)::int as gold, i::int as choice, -(('0x' || md5(item_id || ':' || i || ':conditional')[1:6])::bigint % 1000) / 100.0 + (('0x' || md5(item_id || ':' || i || ':unconditional')[1:6])::bigint % 1000) / 100.0 as gain from benchmark, range(4) r(i) where len(string_split(text, ' ')) > i),
+    r as (select *, row_number() over (partition by item_id order by round(gain, 4) desc, choice) as a from ll) select item_id, max((a = 1 and choice = gold)::int) as acc_mutual_info from r group by item_id""")
+def a35_mutual(spark, sf):
+    items = table(spark, sf, "benchmark")
+    rows = E.choice_requests(items, "item_id", F.col("text"), F.slice(F.split("text", " "), 1, 4), mutual=True)
+    value = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("item_id").cast("string"), F.col("choice").cast("string"), "kind").cast("binary")), 1, 6), 16, 10).cast("long") % 1000
+    scored = rows.select("item_id", (F.col("item_id") % 3).cast("int").alias("gold"), "choice", "kind", (-value).alias("loglik"))
+    return E.mutual_information_choices(scored, "item_id", "gold")
+
+
 @query("a34_chrf", f"""with {V.ANSWERS}, t as (select qid, regexp_replace(question, '[\\s\\p{{Z}}]+', '', 'g') as p, regexp_replace(answer, '[\\s\\p{{Z}}]+', '', 'g') as g from answers),
     grams as (select qid, n, unnest(list_transform(range(1, length(p) - n + 2), lambda i: substring(p, i, n))) as gram, 1 as p, 0 as q from t, range(1, 7) r(n) where length(p) >= n and length(g) >= n
         union all select qid, n, unnest(list_transform(range(1, length(g) - n + 2), lambda i: substring(g, i, n))), 0, 1 from t, range(1, 7) r(n) where length(g) >= n),

@@ -222,3 +222,20 @@ def test_json_of_replies():
     assert H.repair_json('[{"a": "she said "yes" to it", "b": 1}]') == [{"a": 'she said "yes" to it', "b": 1}]
     assert H.repair_json('{"a": [1, 2} , "b": 3') == {"a": [1, 2]}
     assert H.repair_json("no value") is None and H.repair_json("") is None and H.repair_json("[" * 50) is not None
+
+
+def test_class_f1_by_hand(spark):
+    pairs = [("a", "a"), ("a", "b"), ("b", "b"), ("c", "a"), ("d", "b"), (None, "a"), ("a", None)]
+    row = E.class_f1(spark.createDataFrame(pairs, "p string, g string"), F.col("p"), F.col("g")).first()
+    f = {}
+    for c in "abcd":
+        tp, said, gold = sum(p == g == c for p, g in pairs), sum(p == c for p, g in pairs if p and g), sum(g == c for p, g in pairs if p and g)
+        f[c] = (2 * tp / (said + gold), gold)
+    assert row.weighted_f1 == pytest.approx(sum(x * n for x, n in f.values()) / 5) and row.macro_f1 == pytest.approx(sum(x for x, _ in f.values()) / 4) and row.accuracy == pytest.approx(0.4)
+
+
+def test_gain_by_the_context(spark):
+    rows = [(1, 0, c, k, v) for c, k, v in [(0, "conditional", -5.0), (0, "unconditional", -9.0), (1, "conditional", -1.0), (1, "unconditional", -2.0), (2, "conditional", -1.0)]]
+    rows += [(2, 1, c, k, v) for c, k, v in [(0, "conditional", -1.0), (0, "unconditional", -3.0), (1, "conditional", -2.0), (1, "unconditional", -4.0)]]
+    got = {r.item: r.acc_mutual_info for r in E.mutual_information_choices(spark.createDataFrame(rows, "item long, gold int, choice int, kind string, loglik double"), "item", "gold").collect()}
+    assert got == {1: 1, 2: 0}
