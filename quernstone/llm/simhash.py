@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scratch import few
 from .common import bounded_batches, connected_components, discard, materialise, spare_names
 
 #: Postings of up to this many distinct fingerprints are tallied pair by pair; the fingerprints of longer ones meet in a finer index.
@@ -249,36 +250,63 @@ def spanning_links(n: int, firsts: Iterable[int], alike: Callable[[int, np.ndarr
     return links
 
 
-def _candidate_links(shared: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b): links whose components are those of all pairs that meet in a posting and whose tallies of shared positional bytes reach their least.
-
-    A posting of over BLOCK_TEXTS texts is dealt in blocks, any two of which meet.
-    """
-    parts = F.ceil(F.col("n") / BLOCK_TEXTS)
-    own = F.pmod(F.xxhash64("node"), parts)
-    dealt = shared.select("posting", "node", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
-    dealt = dealt.select("posting", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
-    members = dealt.join(nodes.select("node", "fp", "sig"), "node").groupBy("posting", "i", "j").agg(F.collect_list(F.struct("node", "fp", "sig")).alias("m"))
+def _block_links(dealt: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(posting, a, b): links whose components are those of all pairs of a block (posting, i, j, node, first) with one end ``first`` whose tallies of shared positional bytes reach their least."""
+    members = dealt.join(nodes.select("node", "fp", "sig"), "node").groupBy("posting", "i", "j").agg(F.collect_list(F.struct("node", "first", "fp", "sig")).alias("m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends, m = batch.column(0).offsets.to_numpy(), batch.column(0).values
-            ids = m.field("node").to_numpy()
+            ends, m = batch.column(1).offsets.to_numpy(), batch.column(1).values
+            ids, firsts = m.field("node").to_numpy(), m.field("first").to_numpy(zero_copy_only=False)
             fps = np.frombuffer(b"".join(m.field("fp").to_pylist()), np.uint8).reshape(-1, WIDE_BYTES)
             sigs = np.frombuffer(b"".join(m.field("sig").to_pylist()), np.uint8).reshape(-1, MIN_BYTES)
-            links: set[tuple[int, int]] = set()
-            for begin, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                fp, sig = fps[begin:end], sigs[begin:end]
+            links: set[tuple[int, int, int]] = set()
+            for posting, begin, end in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                node, at = np.unique(ids[begin:end], return_index=True)
+                fp, sig = fps[begin:end][at], sigs[begin:end][at]
+                first = np.unique(np.searchsorted(node, ids[begin:end][firsts[begin:end]]))
 
                 def alike(i: int, rows: np.ndarray, fp=fp, sig=sig) -> np.ndarray:
                     return ((sig[rows] == sig[i]).sum(1) >= LEAST_AGREED) & ((fp[rows] == fp[i]).sum(1) >= LEAST_SHARED)
 
-                for i, j in spanning_links(end - begin, range(end - begin), alike):
-                    a, b = int(ids[begin + i]), int(ids[begin + j])
-                    links.add((min(a, b), max(a, b)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+                for i, j in spanning_links(len(node), first.tolist(), alike):
+                    a, b = int(node[i]), int(node[j])
+                    links.add((posting, min(a, b), max(a, b)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in range(3)], ["posting", "a", "b"])
+
+    return members.select("posting", "m").mapInArrow(run, "posting long, a long, b long")
+
 
-    return members.select("m").mapInArrow(run, "a long, b long").distinct()
+def _candidate_links(shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): links whose components are those of all pairs that meet in a posting and whose tallies of shared positional bytes reach their least.
+
+    In a posting of over BLOCK_TEXTS texts all are first compared with its hub, the smallest node, which every block of them gets. Those
+    that it isn't linked to must still meet all of the posting, and only they are dealt in blocks, so rows grow with
+    the posting where its texts are alike, and with its texts times the blocks of outsiders where they aren't.
+    """
+    parts = F.ceil(F.col("n") / BLOCK_TEXTS)
+    none = F.lit(0).cast("long")
+    numbers = lambda n: F.explode(F.sequence(none, F.col(n) - 1))
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    sized = shared.select("posting", "node", parts.alias("parts"))
+    single = sized.where("parts = 1").select("posting", none.alias("i"), none.alias("j"), "node", F.lit(True).alias("first"))
+    crowd = sized.where("parts > 1")
+    if crowd.isEmpty():
+        return _block_links(single, nodes).select("a", "b").distinct()
+    hubs = crowd.groupBy("posting").agg(F.min("node").alias("node"), F.first("parts").alias("parts"))
+    rays = crowd.select("posting", block("parts").alias("i"), none.alias("j"), "node", F.lit(False).alias("first"))
+    rays = rays.unionByName(hubs.select("posting", numbers("parts").alias("i"), none.alias("j"), "node", F.lit(True).alias("first")))
+    near = materialise(_block_links(single.unionByName(rays), nodes), "near-links")
+    # only hubs' links matter here; those of single postings name no crowd's
+    joined = near.select("posting", F.explode(F.array("a", "b")).alias("node")).distinct()
+    outside = materialise(crowd.join(joined, ["posting", "node"], "left_anti"), "outsiders")
+    high = few(outside.groupBy("posting").agg(F.ceil(F.count("*") / BLOCK_TEXTS).alias("high")))  # a posting may be a hot key; few have outsiders
+    left = outside.join(high, "posting").select("posting", block("high").alias("i"), numbers("parts").alias("j"), "node", F.lit(True).alias("first"))
+    right = crowd.join(high, "posting").select("posting", numbers("high").alias("i"), block("parts").alias("j"), "node", F.lit(False).alias("first"))
+    far = materialise(_block_links(left.unionByName(right), nodes), "far-links")
+    out = materialise(near.unionByName(far).select("a", "b").distinct(), "met-links")
+    discard(near, far, outside)
+    return out
 
 
 def _texts_of(members: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -360,7 +388,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, key
     similarity alone and not on the kind of edit; a pair at 0.8 is missed with a chance of a few in ten thousand,
     more in sets of five. Texts of equal words are one node.
 
-    A posting passes on a spanning forest of its candidate pairs, never the pairs themselves, and the
+    A posting passes on a spanning forest of its candidate pairs, never the pairs themselves (``_candidate_links``), and the
     texts that such forests join are a cluster. Within a cluster any two texts are compared by the Jaccard
     similarity of their ``width``-word shingle sets unless they have come together by other links, so no unlike texts are
     linked and no candidate is left out; this too gives a forest. Clusters of more than a block are dealt

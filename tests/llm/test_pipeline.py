@@ -216,3 +216,63 @@ def test_letter_junk_is_rejected(spark, docs):
     kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, more, SF).select("doc_id").collect()}
     assert sum(d >= 10**9 for d in kept) <= 9
     assert {r["doc_id"] for r in docs.select("doc_id", "text").collect() if any(c.isalpha() for c in r["text"] or "")} <= kept
+
+
+@pytest.mark.parametrize("block", [16, 512])
+def test_candidates_of_crowded_postings(spark, monkeypatch, block):
+    """Components of all pairs of a posting that are alike, for members near the hub, chained to it, apart from it together, and alone."""
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", block)
+    rng = np.random.default_rng(11)
+    fp = rng.integers(0, 256, simhash.WIDE_BYTES).astype(np.uint8)
+    base = rng.integers(0, 256, simhash.MIN_BYTES).astype(np.uint8)
+
+    def changed(sig, n):
+        out = sig.copy()
+        at = rng.permutation(simhash.MIN_BYTES)[:n]
+        out[at] = out[at] + 1 + rng.integers(0, 200, n).astype(np.uint8)
+        return out
+
+    apart = rng.integers(0, 256, simhash.MIN_BYTES).astype(np.uint8)
+    sigs = [base] + [changed(base, int(n)) for n in rng.integers(0, 60, 90)]
+    sigs += [changed(sigs[int(i)], 40) for i in rng.integers(1, 91, 40)]  # alike to some member, mostly not to the hub
+    sigs += [changed(apart, int(n)) for n in rng.integers(0, 30, 30)] + [rng.integers(0, 256, simhash.MIN_BYTES).astype(np.uint8) for _ in range(20)]
+    ids = rng.permutation(len(sigs)) * 7 - 300
+    nodes = spark.createDataFrame([(int(i), bytearray(fp.tobytes()), bytearray(s.tobytes())) for i, s in zip(ids, sigs)], "node long, fp binary, sig binary").repartition(3)
+    shared = nodes.selectExpr("10L as posting", "node", f"{len(sigs)}L as n").union(nodes.where("node % 2 = 0").selectExpr("11L", "node", f"{int((ids % 2 == 0).sum())}L"))
+    root = {int(i): int(i) for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for p in range(len(sigs)):
+        for q in range(p):
+            if (sigs[p] == sigs[q]).sum() >= simhash.LEAST_AGREED:
+                root[find(int(ids[p]))] = find(int(ids[q]))
+    want = {frozenset(x for x in root if find(x) == r) for r in root.values() if find(r) == r}
+    links = [(r.a, r.b) for r in simhash._candidate_links(shared, nodes).collect()]
+    alike = {frozenset((int(ids[p]), int(ids[q]))) for p in range(len(sigs)) for q in range(p) if (sigs[p] == sigs[q]).sum() >= simhash.LEAST_AGREED}
+    assert {frozenset(e) for e in links} <= alike
+    root = {int(i): int(i) for i in ids}
+    for a, b in links:
+        root[find(a)] = find(b)
+    assert {frozenset(x for x in root if find(x) == find(r)) for r in root} == want
+
+
+def test_like_texts_are_dealt_once(spark, monkeypatch):
+    """What a crowded posting deals grows with its texts where they are alike: twice and the hub's copies, not a block for each of its blocks."""
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", 32)
+    dealt = []
+    plain = simhash._block_links
+    monkeypatch.setattr(simhash, "_block_links", lambda d, n: dealt.append(d.count()) or plain(d, n))
+    rng = np.random.default_rng(3)
+    sig = rng.integers(0, 256, simhash.MIN_BYTES).astype(np.uint8)
+    rows = []
+    for i in range(2000):
+        s = sig.copy()
+        s[rng.permutation(simhash.MIN_BYTES)[:20]] = i % 251
+        rows.append((i, bytearray(bytes(simhash.WIDE_BYTES)), bytearray(s.tobytes())))
+    nodes = spark.createDataFrame(rows, "node long, fp binary, sig binary")
+    links = simhash._candidate_links(nodes.selectExpr("1L as posting", "node", "2000L as n"), nodes)
+    assert links.count() == 1999 and sum(dealt) <= 2000 + 2000 // 32 + 2
