@@ -109,9 +109,9 @@ def j2(spark, sf):
     return both.groupBy("concepts", "relation").agg(F.count("*").alias("edges"))
 
 
-@query("j3_endpoint_ids", f"with {V.GEOGRAPHY} select sha256(src || '_entity') as src, sha256(dst || '_entity') as dst, relation from edges")
+@query("j3_endpoint_ids", f"with {V.GRAPH} select sha256(src || '_entity') as src, sha256(dst || '_entity') as dst, relation from edges")
 def j3(spark, sf):
-    return V.geography(spark, sf).select(T.hash_id(F.col("src"), "_entity").alias("src"), T.hash_id(F.col("dst"), "_entity").alias("dst"), "relation")
+    return V.graph_edges(spark, sf).select(T.hash_id(F.col("src"), "_entity").alias("src"), T.hash_id(F.col("dst"), "_entity").alias("dst"), "relation")
 
 
 MENTIONS = "mentions as materialized (select n.name, sha256(d.text || '_text') as text_id from nodes n join documents d on n.doc = d.doc_id)"
@@ -298,9 +298,9 @@ def g11(spark, sf):
     return found.select("qid", F.array_join("nodes", ">").alias("path"))
 
 
-@query("j10_path_no_cycle", f"with {V.GEOGRAPHY}, e as (select src as u, dst as v from edges union select dst, src from edges) select count(*) as paths from e a join e b on a.v = b.u where b.v <> a.u")
+@query("j10_path_no_cycle", f"with {V.GRAPH}, e as (select src as u, dst as v from edges union select dst, src from edges) select count(*) as paths from e a join e b on a.v = b.u where b.v <> a.u")
 def j10(spark, sf):
-    edges = V.geography(spark, sf).drop("relation").withColumn("relation", F.lit(""))
+    edges = V.graph_edges(spark, sf).drop("relation").withColumn("relation", F.lit(""))
     starts = G.undirected(edges).select(F.col("u").alias("qid"), F.col("u").alias("name")).distinct()
     found = G.paths(edges, starts, 2, both_ways=True).where(F.size("nodes") == 3)
     return found.agg(F.count("*").alias("paths"))
@@ -353,21 +353,21 @@ def g12_cycles(spark, sf):
     return H.simple_cycles(edges.select("src", "dst").union(back), 3)
 
 
-@query("g12_short_paths", f"""with {V.GEOGRAPHY}, h0 as (select distinct src as qid, src as name, 0 as hop from edges), h1 as (select distinct qid, dst as name, 1 as hop from h0 join edges on src = name), h2 as (select distinct qid, dst as name, 2 as hop from h1 join edges on src = name),
+@query("g12_short_paths", f"""with {V.GRAPH}, h0 as (select distinct src as qid, src as name, 0 as hop from edges), h1 as (select distinct qid, dst as name, 1 as hop from h0 join edges on src = name), h2 as (select distinct qid, dst as name, 2 as hop from h1 join edges on src = name),
     a as (select qid, name, min(hop) as hop from (select * from h0 union all select * from h1 union all select * from h2) group by 1, 2)
     select hop, count(*) as pairs from a group by hop""")
 def g12_paths(spark, sf):
-    edges = V.geography(spark, sf)
+    edges = V.graph_edges(spark, sf)
     seeds = edges.select(F.col("src").alias("qid"), F.col("src").alias("name"))
     return G.shortest_hops(edges, seeds, 2).groupBy("hop").agg(F.count("*").alias("pairs"))
 
 
-@query("g15_neighbour_context", f"""with {V.GEOGRAPHY}, ranked as (select dst as name, src || ' ' || relation as said, row_number() over (partition by dst order by md5(src || relation), src) as n from (select distinct src, dst, relation from edges))
+@query("g15_neighbour_context", f"""with {V.GRAPH}, ranked as (select dst as name, src || ' ' || relation as said, row_number() over (partition by dst order by md5(src || relation), src) as n from (select distinct src, dst, relation from edges))
     select name, string_agg(said, ', ' order by n) as context from ranked where n <= 3 group by name""")
 def g15(spark, sf):
     from ..operators.relational import top_per_group
 
-    e = V.geography(spark, sf).distinct()
+    e = V.graph_edges(spark, sf).distinct()
     kept = top_per_group(e, ["dst"], [F.md5(F.concat("src", "relation").cast("binary")), F.col("src")], 3, "n")
     grouped = kept.groupBy(F.col("dst").alias("name")).agg(F.array_sort(F.collect_list(F.struct("n", F.concat_ws(" ", "src", "relation").alias("said")))).alias("s"))
     return grouped.select("name", F.array_join(F.transform("s", lambda x: x["said"]), ", ").alias("context"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -210,9 +208,7 @@ def z3(spark, sf):
 def z1(spark, sf):
     at = _folder(spark, "windows")
     events = table(spark, sf, "events")
-    events.write.parquet(f"{at}/in")
-    stream = ingest.read_folder(spark, f"{at}/in", events.schema, 1000)
+    events.repartition(4).write.parquet(f"{at}/in")
+    stream = ingest.read_folder(spark, f"{at}/in", events.schema, 2)
     counts = ingest.window_counts(stream, "ts", "event_type", "1 day", "3650 days")
-    name = f"windows_{uuid.uuid4().hex}"
-    counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n")
+    return ingest.latest_table(counts, f"{at}/out", f"{at}/checkpoint").select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n")

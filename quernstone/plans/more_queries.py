@@ -62,9 +62,9 @@ def j7(spark, sf):
     return V.passages(spark, sf).join(wanted, "text_id", "left_semi")
 
 
-@query("j8_hashed_expansion", f"with {V.GEOGRAPHY}, b as (select src as u, dst as v from edges union select dst, src from edges), f as (select distinct dst as u from edges where relation = 'part of'), x as (select b.u, b.v, row_number() over (partition by b.u order by md5('1:' || b.v), b.v) as r from b join f using (u)) select u, v from x where r <= 3")
+@query("j8_hashed_expansion", f"with {V.GRAPH}, b as (select src as u, dst as v from edges union select dst, src from edges), f as (select distinct dst as u from edges where relation = 'part of'), x as (select b.u, b.v, row_number() over (partition by b.u order by md5('1:' || b.v), b.v) as r from b join f using (u)) select u, v from x where r <= 3")
 def j8(spark, sf):
-    edges = V.geography(spark, sf)
+    edges = V.graph_edges(spark, sf)
     front = edges.where("relation = 'part of'").select(F.col("dst").alias("u")).distinct()
     step = G.undirected(edges).join(front, "u")
     return R.top_per_group(step, ["u"], [F.md5(F.concat(F.lit("1:"), "v").cast("binary")), F.col("v")], 3).select("u", "v")

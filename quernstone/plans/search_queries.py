@@ -179,14 +179,14 @@ def r2(spark, sf):
 QUESTION_WORDS = "q as (select item_id as qid, list_distinct(regexp_extract_all(lower('order placed by customer ' || (item_id * 7 % 50) || ' located in nation ' || (item_id % 25)), '[a-z0-9]+')) as words from benchmark)"
 
 
-@query("r10_lexical_triples", f"""with {V.GRAPH}, {DEGREE}, {QUESTION_WORDS}, e as (select distinct src, relation, dst from edges where relation <> 'placed by'),
+@query("r10_lexical_triples", f"""with {V.GRAPH}, {DEGREE}, {QUESTION_WORDS}, e as (select distinct src, relation, dst from edges),
     t as (select src, relation, dst, a.out_degree + a.in_degree + b.out_degree + b.in_degree as degree, list_distinct(regexp_extract_all(lower(src || ' ' || relation || ' ' || dst), '[a-z0-9]+')) as words from e join degree a on a.name = src join degree b on b.name = dst),
     h as (select qid, src || ' ' || relation || ' ' || dst as triple, degree, len(list_intersect(q.words, t.words)) as overlap from q, t where list_has_any(q.words, t.words))
     select qid, r::int as rank, triple, overlap::bigint as overlap from (select *, row_number() over (partition by qid order by overlap desc, degree desc, triple desc) as r from h) where r <= 10""")
 def r10(spark, sf):
     edges = V.graph_edges(spark, sf)
     degree = G.degrees(edges).select("name", (F.col("out_degree") + F.col("in_degree")).alias("d"))
-    e = edges.where("relation <> 'placed by'").distinct().join(degree.toDF("src", "a"), "src").join(degree.toDF("dst", "b"), "dst")
+    e = edges.distinct().join(degree.toDF("src", "a"), "src").join(degree.toDF("dst", "b"), "dst")
     t = e.select("src", "relation", "dst", (F.col("a") + F.col("b")).alias("degree"), T.word_set(F.concat_ws(" ", "src", "relation", "dst")).alias("words"))
     said = F.concat(F.lit("order placed by customer "), (F.col("item_id") * 7 % 50).cast("string"), F.lit(" located in nation "), (F.col("item_id") % 25).cast("string"))
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), T.word_set(said).alias("words"))

@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -44,6 +45,24 @@ def run_to_end(stream: DataFrame, folder: str, checkpoint: str, mode: str = "app
     return stream.sparkSession.read.schema(stream.schema).parquet(folder)
 
 
+def latest_table(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
+    """A stream's aggregate as it stands when what is there is drained: every batch writes the whole table to a folder of its own, and the last one counts.
+
+    Tasks write it, so nothing of it passes through the driver, and a batch that runs twice replaces itself. A stream without a batch gives an empty table.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number:010d}")
+
+    stream.writeStream.foreachBatch(one).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    spark, schema = stream.sparkSession, T.StructType([*stream.schema.fields, T.StructField("batch", T.StringType())])
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], stream.schema)
+    whole = spark.read.schema(schema).parquet(folder)
+    return whole.where(F.col("batch") == whole.agg(F.max("batch")).first()[0]).drop("batch")
+
+
 def fingerprint(config: dict) -> str:
     """The digest of a configuration in canonical JSON."""
     return hashlib.sha256(json.dumps(config, sort_keys=True, separators=(",", ":")).encode()).hexdigest()

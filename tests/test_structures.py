@@ -140,3 +140,17 @@ def test_killed_stream_goes_on(spark, tmp_path):
     read = lambda out: Counter(map(tuple, buckets.read_buckets(spark, f"file://{tmp_path}/{out}", ROWS).collect()))
     assert read("a") == read("b") == Counter(words(4000))
     assert not (tmp_path / "a/data/stream-rubble").exists() and len(list(commits.glob("batch-*.json"))) == 8
+
+
+def test_latest_table_of_a_stream(spark, tmp_path):
+    """An aggregate over several batches, gone on with after more has come, is that of all rows; without any it is empty."""
+    from quernstone.streaming import ingest
+
+    at = f"file://{tmp_path}/s"
+    run = lambda: {r.bucket: r.n for r in ingest.latest_table(ingest.read_folder(spark, f"{at}/in", ROWS, 1).groupBy("bucket").agg(F.count("*").alias("n")), f"{at}/out", f"{at}/checkpoint").collect()}
+    (tmp_path / "s/in").mkdir(parents=True)
+    assert run() == {}
+    for n in (100, 40):
+        spark.createDataFrame(words(n), ROWS).repartition(3).write.mode("append").parquet(f"{at}/in")
+        found = run()
+    assert found == Counter(b for b, _ in words(100) + words(40))
