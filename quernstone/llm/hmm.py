@@ -27,6 +27,8 @@ LEXICON = 200_000
 #: Training takes texts of up to so many tokens together and longer ones together, so many tokens at once.
 LONG = 1024
 TOKENS = 1_000_000
+#: Tokens of which a task holds the vectors at once; a longer stretch of steps keeps those at its cuts and makes the others again.
+STRETCH = 1_500_000
 #: Distinct words that a task counts before it passes them on.
 MEMORY = 300_000
 #: Expected counts are summed as multiples of 1/QUANTUM, so that sums don't depend on their order.
@@ -145,42 +147,63 @@ def expected_counts(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray,
     """Baum-Welch: expected starts, moves and emissions over whole texts, all texts a step at a time.
 
     Texts lie longest first, so step t's rows are those of the texts of more than t tokens, and rows of all
-    steps follow each other without a gap.
+    steps follow each other without a gap. Steps are cut into stretches of at most STRETCH rows: a forward pass
+    keeps the vectors at the cuts, the backward pass makes those of a stretch again, so the longest text doesn't decide
+    what a task holds.
     """
     states = len(model.start)
     texts = sorted((t for t in texts if len(t)), key=lambda t: -len(t))
-    starts, emits = np.zeros(states), np.zeros((CLASSES, states))
+    starts, moves, emits = np.zeros(states), np.zeros((states, states)), np.zeros((CLASSES, states))
     if not texts:
-        return starts, np.zeros((states, states)), emits
+        return starts, moves, emits
     lengths = np.array([len(t) for t in texts])
     live = len(texts) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), "right")
     begin = np.concatenate([[0], np.cumsum(live)])
-    seen = np.empty(begin[-1], np.int64)
+    seen = np.empty(begin[-1], np.uint16)
     for i, t in enumerate(texts):
         seen[begin[: len(t)] + i] = t
-    emit = model.emit[seen]
-    forward, scale, back = np.empty_like(emit), np.empty(len(emit)), np.ones_like(emit)
-    now = model.start * emit[: live[0]]
-    for t in range(lengths[0]):
-        here = slice(begin[t], begin[t + 1])
-        if t:
-            now = (now[: live[t]] @ model.move) * emit[here]
-        scale[here] = total = now.sum(1)
-        now = now / total[:, None]
-        forward[here] = now
-    later = emit / scale[:, None]
+    cuts = [0]
+    while cuts[-1] < lengths[0]:
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(begin, begin[cuts[-1]] + STRETCH, "right")) - 1))
+
+    def sweep(first: int, last: int, now: np.ndarray | None) -> tuple[np.ndarray, ...]:
+        """A stretch's emissions, scaled forward vectors and scales, and its last step's vectors."""
+        emit = model.emit[seen[begin[first] : begin[last]]]
+        forward, scale = np.empty_like(emit), np.empty(len(emit))
+        for t in range(first, last):
+            here = slice(begin[t] - begin[first], begin[t + 1] - begin[first])
+            now = (now[: live[t]] @ model.move if t else model.start) * emit[here]
+            scale[here] = total = now.sum(1)
+            now = now / total[:, None]
+            forward[here] = now
+        return emit, forward, scale, now
+
+    entries: list[np.ndarray | None] = [None]
+    for first, last in zip(cuts[:-2], cuts[1:-1], strict=True):
+        entries.append(sweep(first, last, entries[-1])[-1])
     onward = np.ascontiguousarray(model.move.T)
-    for t in range(lengths[0] - 2, -1, -1):
-        after = slice(begin[t + 1], begin[t + 2])
-        later[after] *= back[after]
-        back[begin[t] : begin[t] + live[t + 1]] = later[after] @ onward
-    before = np.arange(begin[1], begin[-1]) - np.repeat(live[:-1], live[1:])  # the row of the same text a step earlier
-    moves = forward[before].T @ later[begin[1] :] * model.move
-    both = forward * back
-    both /= both.sum(1)[:, None]
-    for k in range(states):
-        emits[:, k] = np.bincount(seen, both[:, k], CLASSES)
-    return both[: live[0]].sum(0), moves, emits
+    beyond = None  # what the step behind the stretch passes back
+    for first, last, entry in zip(cuts[-2::-1], cuts[:0:-1], entries[::-1], strict=True):
+        emit, forward, scale, _ = sweep(first, last, entry)
+        back, later, rows = np.ones_like(emit), emit / scale[:, None], begin[first : last + 1] - begin[first]
+        if beyond is not None:
+            back[rows[-2] : rows[-2] + len(beyond)] = beyond @ onward
+        for t in range(last - first - 2, -1, -1):
+            after = slice(rows[t + 1], rows[t + 2])
+            later[after] *= back[after]
+            back[rows[t] : rows[t] + live[first + t + 1]] = later[after] @ onward
+        before = np.arange(rows[1], rows[-1]) - np.repeat(live[first : last - 1], live[first + 1 : last])  # the row of the same text a step earlier
+        moves += forward[before].T @ later[rows[1] :]
+        if first:
+            beyond = later[: rows[1]] * back[: rows[1]]
+            moves += entry[: rows[1]].T @ beyond
+        both = forward * back
+        both /= both.sum(1)[:, None]
+        for k in range(states):
+            emits[:, k] += np.bincount(seen[begin[first] : begin[last]], both[:, k], CLASSES)
+        if not first:
+            starts += both[: live[0]].sum(0)
+    return starts, moves * model.move, emits
 
 
 def baum_welch(coded: DataFrame, marginal: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Model:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import string
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,8 +22,11 @@ from .common import bounded_batches, materialise, spare_names
 KINDS = ("email", "ip", "card", "phone", "secret", "term")
 #: The kinds whose patterns are given; secrets and terms are the method's own.
 BASE_KINDS = 4
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: An address is found by its sign and then matched outwards, a network address from the first digit of a run only:
+#: the leftmost matches are the same, and a long run of one class costs its length and not the square of it.
+_MAIL_SIGNS = string.ascii_letters + string.digits + "._%+-"
+_MAIL_HOST = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -50,11 +55,23 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def mail_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses, leftmost and not overlapping: a local part holds no sign, so it lies between two of them."""
+    low, sign = 0, text.find("@")
+    while sign >= 0:
+        start, host = low + len(text[low:sign].rstrip(_MAIL_SIGNS)), _MAIL_HOST.match(text, sign)
+        found = host is not None and start < sign
+        if found:
+            yield start, host.end()
+        low = host.end() if found else sign + 1
+        sign = text.find("@", sign + 1)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) by kind, then start, in code points; leftmost, not overlapping within a kind."""
     found: list[tuple[int, int, int]] = []
     if "@" in text:
-        found += [(0, *m.span()) for m in _EMAIL.finditer(text)]
+        found += [(0, start, end) for start, end in mail_spans(text)]
     if not _DIGIT.search(text):
         return found
     if "." in text:
@@ -72,12 +89,34 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def cover(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that the spans cover, in order, none overlapping."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for start, end in sorted((s, e) for _, s, e in spans):
+        if starts and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
+def within(covered: tuple[list[int], list[int]], low: int, high: int) -> Iterator[tuple[int, int]]:
+    """What ``covered`` has of the stretch from ``low`` to ``high``."""
+    starts, ends = covered
+    for i in range(bisect_right(ends, low), len(starts)):
+        if starts[i] >= high:
+            return
+        yield max(low, starts[i]), min(high, ends[i])
+
+
 def secret_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Keys and tokens: long runs of letters and digits too random to be words, outside the spans ``taken``."""
-    out = []
+    out, covered = [], cover(taken)
     for m in _SECRET.finditer(text):
         digits, letters = sum(c.isdigit() for c in m[0]), sum(c.isalpha() for c in m[0])
-        if min(digits, letters) < SECRET_SIGNS or any(s < m.end() and m.start() < e for _, s, e in taken):
+        if min(digits, letters) < SECRET_SIGNS or next(within(covered, *m.span()), None):
             continue
         n = len(m[0])
         if -sum(k / n * math.log2(k / n) for k in Counter(m[0]).values()) >= SECRET_BITS:
@@ -105,7 +144,7 @@ def surroundings(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
 
     A window that ends within a word goes on to the word's end.
     """
-    out, taken = [], sorted((s, e) for _, s, e in spans)
+    out, covered = [], cover(spans)
     for kind, start, end in spans:
         low, high = max(0, start - WINDOW), min(len(text), end + WINDOW)
         while low and text[low - 1].isalpha() and text[low].isalpha():
@@ -113,9 +152,8 @@ def surroundings(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
         while high < len(text) and text[high].isalpha() and text[high - 1].isalpha():
             high += 1
         chars, base = list(text[low:high]), low
-        for s, e in taken:
-            for i in range(max(s, low), min(e, high)):
-                chars[i - base] = " "
+        for s, e in within(covered, low, high):
+            chars[s - base : e - base] = " " * (e - s)
         terms = sorted({t.lower() for t in _TERM.findall("".join(chars))})
         if terms:
             value = text[start:end].lower()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, materialise
 
 #: A sentence ends after its closing marks and the white space behind them, full-width marks need none, or with its line.
-_END = re.compile(r"[.!?]+\s+|[。！？]+\s*|\n+")
+#: A run of marks is tried from its first one only, so that a long run costs its length.
+_END = re.compile(r"(?<![.!?])[.!?]++\s+|[。！？]+\s*|\n+")
 #: Scripts written without blanks: each of their characters counts as a word.
 _SIGN = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
 _WORD = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]|[^\s\u3040-\u30ff\u3400-\u9fff]+")
@@ -58,19 +60,16 @@ def spans(text: str, least_sentences: int, least_words: int) -> Iterator[tuple[i
         if size:
             ends[i].append(end)
         total -= size
-    start, total = 0, sum(sizes[:1])
+    before = list(accumulate(sizes, initial=0))
+    following, at = [0] * len(units), len(units)  # the next sentence with a word
+    for i in range(len(units) - 1, -1, -1):
+        following[i] = at
+        at = i if sizes[i] else at
+    start = 0
     for end in range(1, len(units) + 1):
-        if end > 1:
-            total += sizes[end - 1]
-        at = start + 1
-        while at < end:  # the last start with a word from which the run is long enough
-            less = total - sum(sizes[start:at])
-            if end - at < least_sentences or less < least_words:
-                break
-            if sizes[at]:
-                start, total = at, less
-            at += 1
-        if sizes[end - 1] and sizes[start] and end - start >= least_sentences and total >= least_words and end not in ends[start]:
+        while (at := following[start]) < end and end - at >= least_sentences and before[end] - before[at] >= least_words:
+            start = at  # the last start with a word from which the run is long enough
+        if sizes[end - 1] and sizes[start] and end - start >= least_sentences and before[end] - before[start] >= least_words and end not in ends[start]:
             ends[start].append(end)
     for i, found in enumerate(ends):
         for end in sorted(found):
