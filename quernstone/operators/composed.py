@@ -25,16 +25,14 @@ def explore(edges: DataFrame, topics: DataFrame, width: int, depth: int, score:
     if most_topics is not None:
         order = [topic_score.desc(), F.col("name")] if topic_score is not None else [F.col("name")]
         topics = top_per_group(topics.distinct(), ["qid"], order, most_topics).select("qid", "name")
-    start = topics.select("qid", "name").distinct()
-    done, closed = None, None
+    steps, at, done = cut(G.path_steps(edges, both_ways), "steps"), G.path_starts(topics), None
     for d in range(1, depth + 1):
-        open_ = start if closed is None else start.join(closed, "qid", "left_anti")
-        found = G.paths(edges, open_, d, width, score, both_ways)
-        ready = cut(found.where(enough).select("qid").distinct(), "ready")
-        over = found if d == depth else found.join(ready, "qid", "left_semi")
-        over = cut(over.select("qid", F.lit(d).alias("rounds"), "nodes", "relations"), "explored")
+        at = G.grow_paths(steps, at, width, score)
+        ready = cut(at.where(enough).select("qid").distinct(), "ready")
+        over = at if d == depth else at.join(ready, "qid", "left_semi")
+        over = over.select("qid", F.lit(d).alias("rounds"), "nodes", "relations")
         done = over if done is None else done.unionByName(over)
-        closed = ready if closed is None else closed.unionByName(ready)
+        at = at.join(ready, "qid", "left_anti")  # open questions go on from where they are
     return done
 
 

@@ -196,26 +196,42 @@ def paths(edges: DataFrame, starts: DataFrame, depth: int, width: int | None = N
     A path that cannot grow is carried on. After each step the ``width`` best by ``score`` (a Column
     over nodes and relations) stay for a question, ties by the path itself; without ``width`` all stay.
     """
-    from pyspark.sql import Window
-
-    steps = edges.select(F.col("src").alias("last"), F.col("dst").alias("next"), "relation").distinct()
-    if both_ways:
-        steps = steps.unionByName(edges.select(F.col("dst").alias("last"), F.col("src").alias("next"), "relation")).distinct()
-    at = starts.select("qid", F.array("name").alias("nodes"), F.array().cast("array<string>").alias("relations")).distinct()
+    steps = path_steps(edges, both_ways)
+    at = path_starts(starts)
     for _ in range(depth):
-        tip = at.withColumn("last", F.element_at("nodes", -1))
-        grown = tip.join(steps, "last").where(~F.array_contains("nodes", F.col("next")))
-        grown = grown.select("qid", F.concat("nodes", F.array("next")).alias("nodes"), F.concat("relations", F.array("relation")).alias("relations"), F.col("nodes").alias("was"), F.col("relations").alias("by"))
-        grown = cut(grown, "paths")
-        grew = grown.select("qid", F.col("was").alias("nodes"), F.col("by").alias("relations")).distinct()
-        at = grown.select("qid", "nodes", "relations").unionByName(at.join(grew, ["qid", "nodes", "relations"], "left_anti"))
-        if width is not None:
-            order = Window.partitionBy("qid").orderBy(score.desc() if score is not None else F.size("nodes").desc(), F.array_join("nodes", "\x1f"), F.array_join("relations", "\x1f"))
-            at = at.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= width).drop("_r")
-        at = cut(at, "paths")
+        at = grow_paths(steps, at, width, score)
     return at
 
 
+def path_steps(edges: DataFrame, both_ways: bool = False) -> DataFrame:
+    """(last, next, relation): the steps that a path may take."""
+    steps = edges.select(F.col("src").alias("last"), F.col("dst").alias("next"), "relation")
+    if both_ways:
+        steps = steps.unionByName(edges.select(F.col("dst").alias("last"), F.col("src").alias("next"), "relation"))
+    return steps.distinct()
+
+
+def path_starts(starts: DataFrame) -> DataFrame:
+    """(qid, nodes, relations): a path without a step from each of (qid, name)."""
+    return starts.select("qid", F.array("name").alias("nodes"), F.array().cast("array<string>").alias("relations")).distinct()
+
+
+def grow_paths(steps: DataFrame, at: DataFrame, width: int | None = None, score: Column | None = None) -> DataFrame:
+    """One step of ``paths``: all paths ``at`` grown by ``steps``, and the ``width`` best of each question. Written, so rounds don't nest."""
+    from pyspark.sql import Window
+
+    tip = at.withColumn("last", F.element_at("nodes", -1))
+    grown = tip.join(steps, "last").where(~F.array_contains("nodes", F.col("next")))
+    grown = grown.select("qid", F.concat("nodes", F.array("next")).alias("nodes"), F.concat("relations", F.array("relation")).alias("relations"), F.col("nodes").alias("was"), F.col("relations").alias("by"))
+    grown = cut(grown, "paths")
+    grew = grown.select("qid", F.col("was").alias("nodes"), F.col("by").alias("relations")).distinct()
+    at = grown.select("qid", "nodes", "relations").unionByName(at.join(grew, ["qid", "nodes", "relations"], "left_anti"))
+    if width is not None:
+        order = Window.partitionBy("qid").orderBy(score.desc() if score is not None else F.size("nodes").desc(), F.array_join("nodes", "\x1f"), F.array_join("relations", "\x1f"))
+        at = at.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= width).drop("_r")
+    return cut(at, "paths")
+
+
 def weak_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(name, component): component the smallest name. Nodes go to their smallest neighbour, and edges contract, until none is left."""
     live = cut(undirected(edges).where("u < v").select(F.col("u").alias("a"), F.col("v").alias("b")), "wcc-edges")

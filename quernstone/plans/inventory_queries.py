@@ -376,7 +376,7 @@ def m21(spark, sf):
     return scored.select("qid", F.col("reply").alias("answer"), F.col("f1").cast("double").alias("f1"))
 
 
-TOG = f"""{V.TRIPLES}, e as (select distinct head as src, relation, tail as dst from triples where stage in (1, 2, 3)),
+TOG = f"""{V.TRIPLES}, e as materialized (select distinct head as src, relation, tail as dst from triples),
     l0 as (select (n_nationkey % 5)::bigint as qid, ['order ' || (n_nationkey * 7 + 1)] as nodes, []::varchar[] as rels from nation where ('order ' || (n_nationkey * 7 + 1)) in (select src from e)),
     g1 as (select qid, list_append(nodes, e.dst) as nodes, list_append(rels, e.relation) as rels from l0 join e on e.src = nodes[-1]),
     l1 as (select * from (select *, row_number() over (partition by qid order by ('0x' || md5(array_to_string(nodes, ':'))[1:6])::bigint desc, array_to_string(nodes, chr(31)), array_to_string(rels, chr(31))) as r from g1) where r <= 2),
@@ -386,8 +386,7 @@ TOG = f"""{V.TRIPLES}, e as (select distinct head as src, relation, tail as dst
 
 
 def _explored(spark, sf):
-    t = V.triples(spark, sf).where("stage in (1, 2, 3)")
-    edges = t.select(F.col("head").alias("src"), F.col("tail").alias("dst"), "relation").distinct()
+    edges = V.graph_edges(spark, sf)
     topics = table(spark, sf, "nation").select((F.col("n_nationkey") % 5).cast("long").alias("qid"), F.concat(F.lit("order "), (F.col("n_nationkey") * 7 + 1).cast("string")).alias("name"))
     topics = topics.join(edges.select(F.col("src").alias("name")).distinct(), "name", "left_semi")
     score = _hash(F.array_join("nodes", ":"))
@@ -408,12 +407,12 @@ def r9(spark, sf):
     return P.path_passages(_explored(spark, sf), mentions, 5)
 
 
-@query("m16_topic_pruning", "select qid, name from (select qid, name, row_number() over (partition by qid order by ('0x' || md5(name)[1:6])::bigint desc, name) as r from (select distinct (c_nationkey % 5)::bigint as qid, 'customer ' || c_custkey as name from customer)) where r <= 4")
+@query("m16_topic_pruning", """with t as (select distinct (c_nationkey % 5)::bigint as qid, 'customer ' || c_custkey as name, 'nation ' || c_nationkey as tip from customer)
+    select qid, name, tip from (select *, row_number() over (partition by qid order by ('0x' || md5(name)[1:6])::bigint desc, name) as r from t) where r <= 4""")
 def m16(spark, sf):
     topics = table(spark, sf, "customer").select((F.col("c_nationkey") % 5).cast("long").alias("qid"), F.concat(F.lit("customer "), F.col("c_custkey").cast("string")).alias("name"))
-    none = spark.createDataFrame([], "src string, dst string, relation string")
-    kept = P.explore(none, topics, 9, 1, F.lit(0.0), F.lit(True), most_topics=4, topic_score=_hash(F.col("name")))
-    return kept.select("qid", F.element_at("nodes", 1).alias("name"))
+    kept = P.explore(V.graph_edges(spark, sf), topics, 9, 1, F.lit(0.0), F.lit(True), most_topics=4, topic_score=_hash(F.col("name")))
+    return kept.select("qid", F.element_at("nodes", 1).alias("name"), F.element_at("nodes", -1).alias("tip"))
 
 
 @query("r6_filtered_trace", """with f as (select r_regionkey::bigint as qid, n_name as fact, ('0x' || md5(r_regionkey || ':' || n_name)[1:6])::bigint as score from region, nation),
