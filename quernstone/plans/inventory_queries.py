@@ -429,6 +429,20 @@ def r6(spark, sf):
     return P.strict_passages(edges, facts, chosen, passages, candidates=6, iterations=3)[1]
 
 
+@query("r6_strict_passages")
+def r6_strict(spark, sf):
+    """Passages ranked from the facts that a filter leaves: where customers live, and the passages that say so. A region is a question."""
+    lives = V.triples(spark, sf).where("relation = 'located in'")
+    regions = table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("qid"))  # five stated questions
+    facts = lives.select(F.col("head").alias("src"), F.col("tail").alias("dst"), F.concat_ws(" ", "head", "relation", "tail").alias("fact")).join(F.broadcast(regions))
+    facts = facts.select("qid", "fact", "src", "dst", _hash(F.col("qid").cast("string"), "fact").alias("score"))
+    said = F.concat(F.lit("passage "), F.col("doc").cast("string"))
+    edges = lives.select(F.col("head").alias("src"), F.col("tail").alias("dst")).unionByName(lives.select(F.col("head").alias("src"), said.alias("dst")))
+    passages = lives.select(said.alias("name")).distinct().join(F.broadcast(regions)).select("qid", "name", _hash(F.col("qid").cast("string"), "name").alias("score"))
+    chosen = facts.where(F.substring_index("src", " ", -1).cast("long") % 2 == 0).select("qid", "fact")
+    return P.strict_passages(edges, facts, chosen, passages, candidates=6, iterations=3)[0]
+
+
 @query("j13_nearest_names", """with n as (select distinct source as name from documents), t as (select name as term from n union select 'nowhere' union select 'some place'),
     enc as (select x, list_transform(range(8), lambda i: ('0x' || sha256(x)[(2 * i + 1)::int:(2 * i + 2)::int])::int + 1) as v from (select name as x from n union select term from t)),
     u as (select x, list_transform(v, lambda y: y / sqrt(list_sum(list_transform(v, lambda z: z * z)))) as v from enc),

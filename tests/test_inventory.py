@@ -1,5 +1,9 @@
 """Composed retrievers, catalogues and single files: what the queries' SQL doesn't reach."""
 
+import hashlib
+from collections import defaultdict
+
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +16,7 @@ from quernstone.operators import graph as G
 from quernstone.operators import hooks as H
 from quernstone.operators import retrieval as Q
 from quernstone.operators import search as S
+from quernstone.plans import QUERIES
 from quernstone.sources import archives, readers
 
 
@@ -124,3 +129,46 @@ def test_scratch_is_cleared(spark, tmp_path, monkeypatch):
     assert scratch.cut(spark.range(3), "x").count() == 3 and list(tmp_path.rglob("*.parquet"))
     scratch.clear(spark)
     assert not list(tmp_path.rglob("*.parquet"))
+
+
+def test_strict_passages_by_brute_force(spark):
+    """The whole query over sf0.001, ranks walked in plain Python."""
+    sf = "/root/testdata/sf0.001"
+    people = duckdb.sql(f"select c_custkey, c_nationkey from '{sf}/customer.parquet'").fetchall()
+    hashed = lambda *parts: int(hashlib.md5(":".join(parts).encode()).hexdigest()[:6], 16)
+    links = defaultdict(set)
+    for c, n in people:
+        links[f"customer {c}"] |= {f"nation {n}", f"passage {c % 200}"}
+    nodes = set(links) | {d for ds in links.values() for d in ds}
+
+    def scaled(scores):
+        low, high = min(scores.values()), max(scores.values())
+        return {k: (v - low) / (high - low) if high > low else 1.0 for k, v in scores.items()}
+
+    wanted = {}
+    for (q,) in duckdb.sql(f"select r_regionkey from '{sf}/region.parquet'").fetchall():
+        facts = {(f"customer {c}", f"nation {n}"): hashed(str(q), f"customer {c} located in nation {n}") for c, n in people}
+        best = sorted(facts, key=lambda f: (-facts[f], " located in ".join(f)))[:6]
+        even = [f for f in best if int(f[0].split()[1]) % 2 == 0]
+        kept = scaled({f: facts[f] for f in even or best})
+        met = defaultdict(list)
+        for ends, s in kept.items():
+            for end in ends:
+                met[end].append(s)
+        mean = {n: sum(s) / len(s) for n, s in met.items()}
+        seeds = {n: mean[n] for n in sorted(mean, key=lambda n: (-mean[n], n))[:10]}
+        seeds |= scaled({p: hashed(str(q), p) for p in nodes if p.startswith("passage")})
+        total = sum(seeds.values())
+        rank = dict.fromkeys(nodes, 1 / len(nodes))
+        for _ in range(3):
+            lost, new = sum(x for n, x in rank.items() if not links.get(n)), dict.fromkeys(nodes, 0.0)
+            for n, x in rank.items():
+                for d in links.get(n, ()):
+                    new[d] += 0.9 * x / len(links[n])
+            rank = {n: x + (0.9 * lost + 0.1) * seeds.get(n, 0) / total for n, x in new.items()}
+        wanted[q] = [round(x, 9) for x in sorted((rank[n] for n in nodes if n.startswith("passage")), reverse=True)[:5]]
+        wanted[q, "ranks"] = rank
+    got = QUERIES["r6_strict_passages"](spark, sf).orderBy("qid", "rank").collect()
+    assert len(got) == 25
+    for r in got:
+        assert r["score"] == pytest.approx(wanted[r["qid"]][r["rank"] - 1], abs=1e-8) and r["score"] == pytest.approx(wanted[r["qid"], "ranks"][r["name"]], abs=1e-8)
