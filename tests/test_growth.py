@@ -21,3 +21,14 @@ def test_hop_counts(spark):
         for held in (1_000_000, 12):
             assert {r.hop: r.pairs for r in G.hop_counts(edges, cutoff, held).collect()} == want
     assert G.hop_counts(edges.where("false"), 2).collect() == []
+
+
+def test_two_step_paths(spark):
+    rows, edges = _random_edges(spark, 2)
+    for both_ways in (False, True):
+        starts = edges.select(F.col("src").alias("qid"), F.col("src").alias("name")).unionAll(edges.select("dst", "dst"))
+        want = G.paths(edges, starts, 2, both_ways=both_ways).where(F.size("nodes") == 3).count()
+        assert G.two_step_paths(edges, both_ways).collect()[0].paths == want > 0
+    hub = spark.range(100_000).select(F.concat(F.lit("n"), "id").alias("src"), F.lit("hub").alias("dst"), F.lit("").alias("relation"))
+    assert G.two_step_paths(hub, True).first().paths == 100_000 * 99_999  # a row a path would not end
+    assert G.two_step_paths(hub.where("false")).first().paths == 0
