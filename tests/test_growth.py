@@ -1,5 +1,7 @@
 """Counts without their pairs, searches without their scores: the same results as brute force, and no rows that grow with the square."""
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -32,3 +34,15 @@ def test_two_step_paths(spark):
     hub = spark.range(100_000).select(F.concat(F.lit("n"), "id").alias("src"), F.lit("hub").alias("dst"), F.lit("").alias("relation"))
     assert G.two_step_paths(hub, True).first().paths == 100_000 * 99_999  # a row a path would not end
     assert G.two_step_paths(hub.where("false")).first().paths == 0
+
+
+def test_triangles_open_no_wedge_between_hubs(spark):
+    rows, edges = _random_edges(spark, 3)
+    links = {frozenset((a, b)) for a, b, _ in rows if a != b}
+    names = sorted({n for e in links for n in e})
+    want = Counter(x for i, x in enumerate(names) for y in names for z in names if y < z and {frozenset((x, y)), frozenset((x, z)), frozenset((y, z))} <= links)
+    assert {r["name"]: r.triangles for r in G.triangles(edges).collect() if r.triangles} == dict(want)
+    shared = spark.range(300).crossJoin(spark.range(40).toDF("h")).select(F.concat(F.lit("n"), "id").alias("src"), F.concat(F.lit("hub"), "h").alias("dst"))
+    up = G.upward_edges(G.undirected(shared))
+    assert up.count() == 12_000 and up.join(up.select(F.col("u").alias("v")), "v", "left_semi").count() == 0
+    assert G.triangle_corners(up).count() == 0
