@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.scratch import cut
 from . import graph as G
 from . import relational as R
 
@@ -56,9 +57,9 @@ def record_triples(records: DataFrame) -> DataFrame:
 
 
 def tables(records: DataFrame) -> dict[str, DataFrame]:
-    """The five tables of a build: nodes, edges, passages, mentions and the work list."""
-    triples = record_triples(records)
-    nodes = G.first_seen_nodes(triples, F.col("at"))
+    """The five tables of a build: nodes, edges, passages, mentions and the work list. Triples and nodes, which several of them share, are made once and written."""
+    triples = cut(record_triples(records), "build-triples")
+    nodes = cut(G.first_seen_nodes(triples, F.col("at")), "build-nodes")
     text = T.passage_of_prompt(F.col("original_text"))
     passages = records.select(T.hash_id(text, "_text").alias("text_id"), text.alias("original_text")).distinct()
     edges = triples.select(F.col("head").alias("src"), F.col("tail").alias("dst"), "relation", "at")
