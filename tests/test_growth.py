@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quernstone.operators import graph as G
 from quernstone.operators import search as S
+from quernstone.operators import shape as H
 
 
 def _random_edges(spark, seed, nodes=25, n=120):
@@ -79,3 +80,15 @@ def test_build_shares_its_triples(spark):
 
     made = B.tables(_records(spark, "/root/testdata/sf0.001"))
     assert all("entity_relation_dict" not in made[t]._jdf.queryExecution().optimizedPlan().toString() for t in ("nodes", "edges", "mentions", "worklist"))
+
+
+def test_three_cycles_make_no_paths_between_hubs(spark):
+    rows, edges = _random_edges(spark, 5)
+    e = {(a, b) for a, b, _ in rows}
+    names = sorted({n for r in e for n in r})
+    three = sum((a, b) in e and (b, c) in e and (c, a) in e for a in names for b in names for c in names if a < b and a < c and b != c)
+    two = sum((a, b) in e and (b, a) in e for a in names for b in names if a < b)
+    assert {r.length: r.cycles for r in H.simple_cycles(edges, 3).collect()} == {1: sum(a == b for a, b in e), 2: two, 3: three} and three
+    hubs = spark.range(3000).crossJoin(spark.range(40).toDF("h")).select(F.concat(F.lit("n"), "id").alias("src"), F.concat(F.lit("hub"), "h").alias("dst"))
+    both = hubs.unionAll(hubs.select("dst", "src"))
+    assert {r.length: r.cycles for r in H.simple_cycles(both, 3).collect()} == {1: 0, 2: 120_000, 3: 0}  # paths of two steps would be 180 million
