@@ -92,3 +92,13 @@ def test_three_cycles_make_no_paths_between_hubs(spark):
     hubs = spark.range(3000).crossJoin(spark.range(40).toDF("h")).select(F.concat(F.lit("n"), "id").alias("src"), F.concat(F.lit("hub"), "h").alias("dst"))
     both = hubs.unionAll(hubs.select("dst", "src"))
     assert {r.length: r.cycles for r in H.simple_cycles(both, 3).collect()} == {1: 0, 2: 120_000, 3: 0}  # paths of two steps would be 180 million
+
+
+def test_sketches_are_not_broadcast(spark, monkeypatch):
+    """However small their files, tables of sketches and of reached nodes are merged: the driver holds none."""
+    plans, real = [], H.cut
+    monkeypatch.setattr(H, "cut", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or real(df, name))
+    _, edges = _random_edges(spark, 6)
+    H.path_lengths(edges)
+    H.diameter(edges)
+    assert len([n for n, p in plans if n == "reach"]) > 1 and not [n for n, p in plans if "BroadcastHashJoin" in p]
