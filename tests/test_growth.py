@@ -102,3 +102,13 @@ def test_sketches_are_not_broadcast(spark, monkeypatch):
     H.path_lengths(edges)
     H.diameter(edges)
     assert len([n for n, p in plans if n == "reach"]) > 1 and not [n for n, p in plans if "BroadcastHashJoin" in p]
+
+
+def test_bucket_totals_move_no_grams(spark):
+    """Equal to distinct counts, null documents included; a gram is never copied for each of them."""
+    from quernstone.plans.io_queries import _bucket_totals
+
+    rows = [(1, "a b", 1), (1, "a b", 2), (1, "c", 2), (2, "d", None), (2, "d", 3), (2, "d", 3)]
+    got = _bucket_totals(spark.createDataFrame(rows, "bucket int, gram string, doc_id long"))
+    assert sorted(map(tuple, got.collect())) == [(1, 3, 2, 2), (2, 3, 1, 1)]
+    assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
