@@ -112,3 +112,31 @@ def test_bucket_totals_move_no_grams(spark):
     got = _bucket_totals(spark.createDataFrame(rows, "bucket int, gram string, doc_id long"))
     assert sorted(map(tuple, got.collect())) == [(1, 3, 2, 2), (2, 3, 1, 1)]
     assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_names_are_compared_by_bags(spark):
+    """Bounds hold for every pair, and 1,000 terms meet their own bags among 20,000 names, not all of them."""
+    from quernstone.operators import retrieval as Q
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+            row = new
+        return row[-1]
+
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("abcdé\U0001f600"), int(n)))
+    for most in (6, 14, 30, 80):
+        terms, names = ([word(n) for n in rng.integers(0, most, 100)] for _ in range(2))
+        want = [1.0 if len(a) > Q.BITS or not a + b else 2 * longest(a, b) / (len(a) + len(b)) for a, b in zip(terms, names, strict=True)]
+        assert np.allclose(Q.common_bounds(terms, names), want)
+    wanted = spark.range(1000).select(F.concat(F.lit("suplier "), "id").alias("term"))
+    names = spark.range(10_000).select(F.concat(F.lit("supplier "), "id").alias("name")).unionAll(spark.range(10_000).select(F.concat(F.lit("order "), "id")))
+    bags = names.select(Q._bag("name").alias("bag")).distinct()
+    asked = [r[0] for r in wanted.select(Q._bag("term")).distinct().collect()]
+    assert bags.count() < 2100 and len(asked) < 300 and Q.bag_bounds(bags, asked, 0.8).count() < 100_000
+    got = {r.term: r["name"] for r in Q.link_names(wanted, names).collect()}
+    assert got == {f"suplier {i}": f"supplier {i}" for i in range(1000)}
