@@ -140,3 +140,21 @@ def test_names_are_compared_by_bags(spark):
     assert bags.count() < 2100 and len(asked) < 300 and Q.bag_bounds(bags, asked, 0.8).count() < 100_000
     got = {r.term: r["name"] for r in Q.link_names(wanted, names).collect()}
     assert got == {f"suplier {i}": f"supplier {i}" for i in range(1000)}
+
+
+def test_walks_number_only_where_they_are(spark, monkeypatch):
+    """Neighbours far from every walk are neither numbered nor ordered, and mentions of other names aren't gathered."""
+    from quernstone.operators import seeded as W
+
+    far = spark.range(5000).select(F.concat(F.lit("far "), "id").alias("src"), F.concat(F.lit("far "), F.col("id") * 7 % 5000).alias("dst"))
+    near = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "d")], "src string, dst string")
+    starts = spark.createDataFrame([(1, "a", 0), (2, "c", 1)], "qid long, name string, number long")
+    alone = {tuple(r) for r in G.walk_sample(near, starts, 10, 3, 0.4, 7).collect()}
+    written, real = [], G.cut
+    for module in (G, W):
+        monkeypatch.setattr(module, "cut", lambda df, name: written.append((name, real(df, name))) or written[-1][1])
+    both = near.unionAll(far)
+    assert {tuple(r) for r in G.walk_sample(both, starts, 10, 3, 0.4, 7).collect()} == alone
+    links = W.sampled_links(both, spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (2, "a")], "sid long, name string"))
+    assert {tuple(r) for r in links.collect()} == {(1, "a", "b"), (1, "b", "a"), (2, "a", "c"), (2, "c", "a")}
+    assert {n for n, _ in written} >= {"walk-neighbours", "sample-edges"} and max(df.count() for _, df in written) < 100
