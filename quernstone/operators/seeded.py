@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scratch import cut
+from ..functions.scratch import cut, few
 from .graph import undirected, walk_sample
 from .relational import top_per_group
 from .retrieval import link_names
@@ -14,10 +14,13 @@ from .retrieval import link_names
 def sampled_links(edges: DataFrame, samples: DataFrame) -> DataFrame:
     """(sid, u, v): both ways, the edges with both ends in a sample (sid, name).
 
-    An edge is looked up at its end of the lower degree, so a hub in many samples doesn't open all its edges in each.
+    Only edges between nodes of samples are ordered at all. One is looked up at its end of the lower degree among these, so a hub in many
+    samples doesn't open all its edges in each.
     """
-    both = undirected(edges).where("u <> v")
-    degree = cut(both.groupBy("u").agg(F.count("*").alias("d")), "sample-degrees")
+    some = few(cut(samples.select("name").distinct(), "sample-nodes"))
+    inside = edges.join(some.select(F.col("name").alias("src")), "src", "left_semi").join(some.select(F.col("name").alias("dst")), "dst", "left_semi")
+    both = cut(undirected(inside).where("u <> v"), "sample-edges")
+    degree = both.groupBy("u").agg(F.count("*").alias("d"))
     ends = both.where("u < v").join(degree, "u").join(degree.select(F.col("u").alias("v"), F.col("d").alias("e")), "v")
     low = ends.select(F.when(F.col("d") <= F.col("e"), F.col("u")).otherwise(F.col("v")).alias("low"), F.when(F.col("d") <= F.col("e"), F.col("v")).otherwise(F.col("u")).alias("high"))
     held = samples.select("sid", "name").distinct()
@@ -63,12 +66,14 @@ def keyword_passages(keywords: DataFrame, edges: DataFrame, mentions: DataFrame,
     together, a question keeps the ``nodes`` best of all, and a passage scores the sum over those that it mentions. Ties go by name.
     """
     linked = link_names(keywords.select("term"), edges.select(F.col("src").alias("name")).union(edges.select("dst")), ratio)
-    once = mentions.select("name", "text").distinct()
-    weight = once.groupBy("name").agg((1.0 / F.count("*")).alias("weight"))
+    linked = cut(linked, "keyword-nodes")
+    of = lambda names: mentions.select("name", "text").join(few(names.select("name").distinct()), "name", "left_semi").distinct()
+    weight = of(linked).groupBy("name").agg((1.0 / F.count("*")).alias("weight"))
     seeds = cut(keywords.join(linked, "term").select("qid", "name").distinct().join(weight, "name").withColumn("number", F.lit(0).cast("long")), "keyword-seeds")
     ranks = seed_ranks(edges, seeds.select("qid", "name", "number"), **walk).where("rank > 0")
     best = top_per_group(ranks, ["qid", "seed"], [F.desc(F.round("rank", 12)), F.col("name")], per_seed, "place")
     scored = best.join(seeds.select("qid", F.col("name").alias("seed"), "weight"), ["qid", "seed"]).withColumn("score", F.col("rank") * F.col("weight"))
     kept = top_per_group(scored.drop("rank"), ["qid"], [F.desc(F.round("score", 12)), F.col("seed"), F.col("name")], nodes, "place")
-    texts = kept.join(once, "name").groupBy("qid", "text").agg(F.sum("score").alias("score"))
+    kept = cut(kept, "keyword-best")
+    texts = kept.join(of(kept), "name").groupBy("qid", "text").agg(F.sum("score").alias("score"))
     return top_per_group(texts, ["qid"], [F.desc(F.round("score", 12)), F.col("text")], top).select("qid", "rank", "text", "score")
