@@ -158,3 +158,27 @@ def test_walks_number_only_where_they_are(spark, monkeypatch):
     links = W.sampled_links(both, spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (2, "a")], "sid long, name string"))
     assert {tuple(r) for r in links.collect()} == {(1, "a", "b"), (1, "b", "a"), (2, "a", "c"), (2, "c", "a")}
     assert {n for n, _ in written} >= {"walk-neighbours", "sample-edges"} and max(df.count() for _, df in written) < 100
+
+
+def test_ranks_walk_links_placed_once(spark, monkeypatch):
+    """As walked over all nodes by hand; later rounds leave out the links of nodes that nothing leads to, and don't shuffle links."""
+    plans, real = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString(), real(df, name))) or plans[-1][2])
+    rows = [(f"o{i}", f"p{i % 3}") for i in range(60)] + [("p0", "s"), ("p1", "s"), ("s", "p2"), ("p2", None), (None, "s"), ("p0", "s")]
+    edges = spark.createDataFrame(rows, "src string, dst string")
+    seeds = spark.createDataFrame([(1, "o1", 2.0), (1, "p0", 1.0), (2, "s", 1.0), (2, "none", 5.0)], "qid long, name string, weight double")
+    got = {(r.qid, r["name"]): r["rank"] for r in G.personalised_pagerank(edges, seeds, 0.9, 4).collect()}
+    links = {(a, b) for a, b in rows if a is not None}
+    out = Counter(a for a, _ in links)
+    names = {x for e in rows for x in e}
+    for qid, p in ((1, {"o1": 2 / 3, "p0": 1 / 3}), (2, {"s": 1.0})):
+        x = dict.fromkeys(names, 1 / len(names))
+        for _ in range(4):
+            lost = sum(v for n, v in x.items() if not out[n]) + sum(x[a] / out[a] for a, b in links if b is None)
+            x = {n: 0.9 * (sum(x[a] / out[a] for a, b in links if b == n and n is not None) + lost * p.get(n, 0)) + 0.1 * p.get(n, 0) for n in names}
+        for (q, n), rank in got.items():
+            if q == qid:
+                assert abs(rank - x[n]) < 1e-12, (q, n)
+    assert {n for q, n in got if q == 1} == {"o1", "p0", "p1", "p2", "s"}
+    assert [df.count() for n, _, df in plans if n == "ppr-links"] == [64, 5]
+    assert all("InMemoryTableScan" in p for n, p, _ in [x for x in plans if x[0] == "ppr-flow"][1:])
