@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +19,8 @@ from .relational import top_per_group
 RUN = 32
 #: Rounds of joining end when fewer than this share of the links changed.
 SETTLED = 0.01
+#: Lists of neighbours that a task compares before it passes proposals on.
+LISTS = 128
 
 
 def _first_links(rows: DataFrame, dimensions: int, neighbours: int, orders: int, seed: int) -> DataFrame:
@@ -75,23 +78,28 @@ def _joined(links: DataFrame, rows: DataFrame, neighbours: int, turn: int) -> Da
     known = rows.join(worst, "id", "left").select(F.col("id").alias("v"), "worst", F.col("v").alias("vector"))
     lists = around.join(known, "v").groupBy("u").agg(F.collect_list(F.struct("v", "worst", "vector")).alias("near")).select("near")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            us, vs, scores = [], [], []
-            for near in pdf["near"]:
-                ids = np.array([r["v"] for r in near])
-                worst = np.array([-np.inf if r["worst"] is None else r["worst"] for r in near], float)
-                m = np.stack([r["vector"] for r in near]).astype(float)
-                s = m @ m.T
-                np.fill_diagonal(s, -np.inf)
-                i, j = np.nonzero(s > worst[:, None] + 1e-12)
-                us.append(ids[i])
-                vs.append(ids[j])
-                scores.append(s[i, j])
-            if us:
-                yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs), "score": np.concatenate(scores)})
-
-    return lists.mapInPandas(run, T.StructType().add("u", kind).add("v", kind).add("score", "double"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, LISTS):
+                near = batch.column(0).slice(at, LISTS)
+                sizes, rows = near.value_lengths().to_numpy(zero_copy_only=False), near.flatten()
+                ids, worst, vectors = (rows.field(f) for f in ("v", "worst", "vector"))
+                worst = worst.fill_null(-np.inf).to_numpy(zero_copy_only=False)
+                m = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1)
+                us, vs, scores, first = [], [], [], 0
+                for size in sizes:
+                    own = m[first : first + size]
+                    s = own @ own.T
+                    np.fill_diagonal(s, -np.inf)
+                    i, j = np.nonzero(s > worst[first : first + size, None] + 1e-12)
+                    us.append(i + first)
+                    vs.append(j + first)
+                    scores.append(s[i, j])
+                    first += size
+                found = (ids.take(pa.array(np.concatenate(x))) for x in (us, vs))
+                yield pa.RecordBatch.from_arrays([*found, pa.array(np.concatenate(scores))], ["u", "v", "score"])
+
+    return lists.mapInArrow(run, T.StructType().add("u", kind).add("v", kind).add("score", "double"))
 
 
 def neighbour_links(vectors: DataFrame, neighbours: int = 16, orders: int = 3, rounds: int = 8, key: str = "vec_id", vector: str = "embedding", seed: int = 7) -> DataFrame:

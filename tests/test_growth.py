@@ -201,3 +201,26 @@ def test_search_multiplies_in_bounded_blocks(spark, monkeypatch):
     want = S.top_k(df, asked, 6).collect()
     monkeypatch.setattr(S, "HELD_SCORES", 700)
     assert sorted(S.top_k(df, asked, 6).collect()) == sorted(want) and len(want) == 1800
+
+
+def test_neighbours_propose_in_slices(spark):
+    """Proposals as by hand from every list, however few lists a task compares at once."""
+    from quernstone.operators import neighbour_graph as NG
+
+    rng = np.random.default_rng(11)
+    v = rng.standard_normal((300, 4)).astype(np.float32)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<float>")
+    links = [(u, int(w), float(v[u].astype(float) @ v[w].astype(float)), True) for u in range(300) for w in rng.choice(300, 3, replace=False) if u != w]
+    df = spark.createDataFrame(links, "u long, v long, score double, new boolean")
+    worst, count, around = {}, Counter(u for u, *_ in links), {}
+    for a, b, score, _ in links:
+        worst[a] = min(worst.get(a, np.inf), score)
+        around.setdefault(a, set()).add(b)
+        around.setdefault(b, set()).add(a)
+    limit = {n: worst[n] if count[n] >= 30 else -np.inf for n in range(300)}
+    score = lambda a, b: float(v[a].astype(float) @ v[b].astype(float))
+    want = Counter((a, b) for near in around.values() for a in near for b in near if a != b and score(a, b) > limit[a])
+    joined = NG._joined(df, rows, 30, 0)
+    got = joined.collect()
+    assert Counter((r.u, r.v) for r in got) == want and all(abs(r.score - score(r.u, r.v)) < 1e-9 for r in got)
+    assert "MapInArrow" in joined._jdf.queryExecution().optimizedPlan().toString() and NG.LISTS <= 1000
