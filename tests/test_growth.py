@@ -224,3 +224,32 @@ def test_neighbours_propose_in_slices(spark):
     got = joined.collect()
     assert Counter((r.u, r.v) for r in got) == want and all(abs(r.score - score(r.u, r.v)) < 1e-9 for r in got)
     assert "MapInArrow" in joined._jdf.queryExecution().optimizedPlan().toString() and NG.LISTS <= 1000
+
+
+def _below(plan, what, parent):
+    """Whether a line of a plan with ``what`` lies below one that begins with ``parent``."""
+    over = []
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        over = [(d, t) for d, t in over if d < depth]
+        if what in line and any(t.startswith(parent) for _, t in over):
+            return True
+        over.append((depth, line[depth:]))
+    return False
+
+
+def test_assembled_edges_move_names(spark):
+    """Of parallel edges the first, whatever ids the mentions have; names are told apart first and hashed after they have moved."""
+    from hashlib import sha256
+
+    nodes = spark.createDataFrame([("a", "entity"), ("b", "event")], "name string, type string")
+    texts = spark.createDataFrame([("t1", "text")], "text_id string, original_text string")
+    edges = spark.createDataFrame([("a", "b", "later", 9), ("a", "b", "first", 2), ("b", "a", "back", 5)], "src string, dst string, relation string, pos long")
+    mentions = spark.createDataFrame([("a", "t1"), ("a", "t1"), ("b", "t1")], "name string, text_id string")
+    concepts = spark.createDataFrame([("a", "c"), ("a", "c"), ("none", "c")], "name string, concept string")
+    h = lambda x, kind: sha256(f"{x}_{kind}".encode()).hexdigest()
+    a, b = h("a", "entity"), h("b", "entity")
+    found = G.assemble(nodes, texts, edges, mentions, concepts)[1]
+    want = [(a, b, "first", "Relation"), (b, a, "back", "Relation"), (a, "t1", "mention in", "Source"), (b, "t1", "mention in", "Source"), (a, h("c", "concept"), "has_concept", "Concept")]
+    assert sorted(map(tuple, found.select("src", "dst", "relation", "type").collect())) == sorted(want)
+    assert not _below(found._jdf.queryExecution().optimizedPlan().toString(), "sha2(", "Aggregate")
