@@ -253,3 +253,22 @@ def test_assembled_edges_move_names(spark):
     want = [(a, b, "first", "Relation"), (b, a, "back", "Relation"), (a, "t1", "mention in", "Source"), (b, "t1", "mention in", "Source"), (a, h("c", "concept"), "has_concept", "Concept")]
     assert sorted(map(tuple, found.select("src", "dst", "relation", "type").collect())) == sorted(want)
     assert not _below(found._jdf.queryExecution().optimizedPlan().toString(), "sha2(", "Aggregate")
+
+
+def test_first_sights_and_typed_edges(spark):
+    """Nodes by hash aggregation where their order is a number; edges between types are joined twice, not four times, and targets move as counts."""
+    rows = [(7, "a", "b", "event", "entity", 1), (3, "b", "a", "event", "entity", 2), (3 + 1, "b", "c", "entity", "entity", 3), (9, "c", "c", "event", "other", 4), (9 + 1, "d", "a", "event", "entity", 5)]
+    triples = spark.createDataFrame(rows, "at long, head string, tail string, head_type string, tail_type string, doc long")
+    for order in (F.col("at"), F.struct("at")):
+        nodes = G.first_seen_nodes(triples, order)
+        assert {tuple(r) for r in nodes.collect()} == {("a", "entity", 2), ("b", "event", 2), ("c", "entity", 3), ("d", "event", 5)}
+    plan = G.first_seen_nodes(triples, F.col("at"))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[name" in plan and not any("SortAggregate" in line and "side" in line.partition("keys=")[2].partition("]")[0] for line in plan.splitlines())
+    _, edges = _random_edges(spark, 12)
+    e = {(r.src, r.relation, r.dst) for r in edges.collect()}
+    types = {f"n{i}": "xy"[i % 2] for i in range(20)}  # five names have none
+    named = spark.createDataFrame(list(types.items()), "name string, type string")
+    want = Counter((types[a], r, types[b]) for a, r, b in e if a in types and b in types)
+    got = G.typed_counts(edges.unionAll(edges), named)
+    assert {tuple(r)[:3]: r.edges for r in got.collect()} == dict(want)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
