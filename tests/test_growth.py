@@ -272,3 +272,14 @@ def test_first_sights_and_typed_edges(spark):
     got = G.typed_counts(edges.unionAll(edges), named)
     assert {tuple(r)[:3]: r.edges for r in got.collect()} == dict(want)
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+
+
+def test_induced_edges_are_counted_where_they_are_placed(spark):
+    rows, edges = _random_edges(spark, 13)
+    named = spark.createDataFrame([(f"n{i}",) for i in range(15)], "name string")
+    inside = {f"n{i}" for i in range(15)}
+    want = Counter((a, r, b) for a, b, r in rows if a in inside and b in inside)
+    got = G.induced_counts(edges, named)
+    assert {tuple(r)[:3]: r.n for r in got.collect()} == dict(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert [line.lstrip(" :+-").split()[0] for line in plan if "Join" in line or "Aggregate" in line] == ["Join", "Aggregate", "Join"]
