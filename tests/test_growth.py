@@ -283,3 +283,40 @@ def test_induced_edges_are_counted_where_they_are_placed(spark):
     assert {tuple(r)[:3]: r.n for r in got.collect()} == dict(want)
     plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert [line.lstrip(" :+-").split()[0] for line in plan if "Join" in line or "Aggregate" in line] == ["Join", "Aggregate", "Join"]
+
+
+def _gram_rows(spark, seed):
+    """Rows with null texts and keys, keys of several texts, copies and a text of one word again and again."""
+    rng = np.random.default_rng(seed)
+    texts = [" ".join(rng.choice(list("abc"), int(n))) for n in rng.integers(0, 12, 60)] + ["A, b. c"] * 5 + ["a " * 40, None, "c c c"]
+    keys = [None if i % 17 == 5 else i // 3 if i % 4 == 0 else i + 100 for i in range(len(texts))]
+    words = [[] if t is None else "".join(c for c in t.lower() if c not in ",.").split() for t in texts]
+    grams = [(k, " ".join(w[i : i + 3])) for k, w in zip(keys, words, strict=True) for i in range(len(w) - 2)]
+    return spark.createDataFrame(list(zip(keys, texts, strict=True)), "doc_id long, text string"), grams
+
+
+def test_frequent_grams_move_once(spark, monkeypatch):
+    """As SQL counts them: keys of several rows once, null keys never; grams are strings only in one document each."""
+    from quernstone.operators import decontamination as D
+
+    docs, grams = _gram_rows(spark, 14)
+    seen = Counter(g for _, g in {(k, g) for k, g in grams if k is not None})
+    for held in (D.HELD_GRAMS, 20):
+        monkeypatch.setattr(D, "HELD_GRAMS", held)
+        monkeypatch.setattr(D, "STRETCH", held)
+        for above in (1, 3):
+            for df in (docs, docs.repartition(3)):
+                got = D.frequent_grams(df, 3, above).collect()
+                assert len(got) == len({r.gram for r in got}) and {r.gram: r.docs for r in got} == {g: k for g, k in seen.items() if k > above}
+    same = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("a b c d").alias("text"))
+    monkeypatch.undo()
+    assert D.task_counts(same.coalesce(2), 3, "doc_id", "text").count() <= 4  # a gram that all rows have is a row a task
+    assert {(r.gram, r.docs) for r in D.frequent_grams(same, 3, 1).collect()} == {("a b c", 2000), ("b c d", 2000)}
+
+
+def test_colliding_hashes_stay_apart():
+    from quernstone.operators import decontamination as D
+
+    rows, h0, h1 = np.array([0, 0, 0, 1, 1]), np.array([7, 7, 7, 7, 5]), np.array([1, 2, 1, 1, 1])
+    first, often, within = D.combined(rows, h0, h1)
+    assert sorted(zip(h0[first], h1[first], often, within, strict=True)) == [(5, 1, 1, 1), (7, 1, 3, 2), (7, 2, 1, 1)]
