@@ -314,6 +314,17 @@ def test_frequent_grams_move_once(spark, monkeypatch):
     assert {(r.gram, r.docs) for r in D.frequent_grams(same, 3, 1).collect()} == {("a b c", 2000), ("b c d", 2000)}
 
 
+def test_gram_totals_are_placed_once(spark):
+    from quernstone.operators import decontamination as D
+
+    docs, grams = _gram_rows(spark, 15)
+    got = D.gram_counts(docs, 3)
+    assert tuple(got.first()) == (len(grams), len({g for _, g in grams}))
+    assert tuple(D.gram_counts(docs.where("false"), 3).first()) == (0, 0)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and _below(plan, "MapInArrow", "Exchange") and not _below(plan, "HashAggregate(keys=[h0", "Exchange hashpartitioning")
+
+
 def test_colliding_hashes_stay_apart():
     from quernstone.operators import decontamination as D
 
