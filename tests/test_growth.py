@@ -331,3 +331,25 @@ def test_colliding_hashes_stay_apart():
     rows, h0, h1 = np.array([0, 0, 0, 1, 1]), np.array([7, 7, 7, 7, 5]), np.array([1, 2, 1, 1, 1])
     first, often, within = D.combined(rows, h0, h1)
     assert sorted(zip(h0[first], h1[first], often, within, strict=True)) == [(5, 1, 1, 1), (7, 1, 3, 2), (7, 2, 1, 1)]
+
+
+def test_gram_places_make_no_row_a_word(spark, monkeypatch):
+    """As a regular expression finds the words, in stretches of any size; repeated rows once, null keys too, null texts never; nothing is shuffled for the places."""
+    import re
+
+    from quernstone.operators import decontamination as D
+
+    texts = ["a bb  ccc\td e", "  x y\U0001f600 z w ", "one two", "", None, "q r s t u v", "a bb  ccc\td e"]
+    keys = [1, 2, 3, 4, 5, None, 1]
+    rows = list(zip(keys, texts, strict=True)) + [(1, "other text of one"), (None, "q r s t u v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = Counter()
+    for k, t in set(rows):
+        spans = [m.span() for m in re.finditer(r"\S+", t or "")]
+        want.update((k, i, spans[i][0], spans[i + 2][1]) for i in range(len(spans) - 2))
+    for stretch in (D.STRETCH, 4):
+        monkeypatch.setattr(D, "STRETCH", stretch)
+        got = D.gram_places(docs, 3)
+        assert Counter((r.doc_id, r.place, r.start, r.stop) for r in got.collect()) == want
+    plan = D.gram_places(docs.where("doc_id > 1"), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan and "Generate" not in plan
