@@ -353,3 +353,28 @@ def test_gram_places_make_no_row_a_word(spark, monkeypatch):
         assert Counter((r.doc_id, r.place, r.start, r.stop) for r in got.collect()) == want
     plan = D.gram_places(docs.where("doc_id > 1"), 3)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Exchange" not in plan and "Generate" not in plan
+
+
+def test_lexical_search_counts_only_ends_that_can_win(spark, monkeypatch):
+    """As by hand from all edges; edges of kinds that no question's best can have are neither moved nor counted."""
+    from quernstone.operators import retrieval as Q
+
+    rng = np.random.default_rng(16)
+    name = lambda i: f"{'abc'[i % 3]} {i}"
+    rows = [(name(int(a)), f"r{int(r)}", name(int(b))) for a, b, r in zip(rng.integers(0, 20, 300), rng.integers(0, 20, 300), rng.integers(0, 2, 300), strict=True)]
+    edges = spark.createDataFrame([*rows, *[("a 3", "r0", None)] * 60], "src string, relation string, dst string")
+    words = {1: ["a", "3", "r0"], 2: ["b", "c", "7", "11"], 3: ["none"], 4: ["19"], 5: ["a", "3", "r0"], 6: []}
+    asked = spark.createDataFrame(list(words.items()), "qid long, words array<string>")
+    degree = Counter(x for a, _, b in rows for x in (a, b)) + Counter({"a 3": 60})
+    want = set()
+    for q, w in words.items():
+        found = [(len(set(w) & set(" ".join(e).split())), degree[e[0]] + degree[e[2]], " ".join(e)) for e in set(rows)]
+        want |= {(q, i + 1, t, o) for i, (o, _, t) in enumerate(sorted((x for x in found if x[0]), reverse=True)[:4])}
+    written, real = [], Q.cut
+    monkeypatch.setattr(Q, "cut", lambda df, n: written.append((n, real(df, n))) or written[-1][1])
+    for kinds in (Q.KINDS, 0):
+        monkeypatch.setattr(Q, "KINDS", kinds)
+        got = Q.lexical_edges(edges, asked, 4)
+        assert {(r.qid, r.rank, r.triple, r.overlap) for r in got.collect()} == {(q, i, t, o) for q, i, t, o in want}
+        sizes = {n: df.count() for n, df in written}
+        assert (sizes["lexical-edges"] < len(set(rows)) / 2) == (kinds > 0)
