@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 import re
 import time
-from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import Executor, ThreadPoolExecutor
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,15 +35,21 @@ def parity_judge(prompt: str) -> str:
     return "no" if int(re.search(r"\d+", prompt)[0]) % 4 == 0 else "yes"
 
 
-def windowed(texts: Iterable[str], call: Callable[[str], object], window: int, pool: Executor) -> Iterator:
-    """``call`` of each text, in their order, with up to ``window`` calls open: one is begun as the oldest ends."""
-    open_calls: deque = deque()
-    for text in texts:
-        if len(open_calls) >= window:
-            yield open_calls.popleft().result()
-        open_calls.append(pool.submit(call, text))
-    while open_calls:
-        yield open_calls.popleft().result()
+def windowed(texts: Iterable[str], call: Callable[[str], object], window: int, pool: Executor) -> list:
+    """``call`` of each text, in their order, with up to ``window`` calls open: each of as many threads takes the next text as its last call ends.
+
+    The pool is given a thread's work at a time, not a call: handing over each call costs many times what a quick one takes.
+    """
+    texts = list(texts)
+    found, left = [None] * len(texts), iter(range(len(texts)))
+
+    def work() -> None:
+        for i in left:
+            found[i] = call(texts[i])
+
+    for worker in [pool.submit(work) for _ in range(min(window, len(texts)))]:
+        worker.result()
+    return found
 
 
 def patient(call: Model, tries: int, pause: float, budget: float) -> Callable[[str], tuple[str | None, str | None]]:
@@ -68,20 +74,23 @@ def patient(call: Model, tries: int, pause: float, budget: float) -> Callable[[s
 def generate(rows: DataFrame, prompt: str, model: Callable[[], Model], tries: int = 5, window: int = 8, pause: float = 0.0, budget: float = 600.0) -> DataFrame:
     """``rows`` with ``reply`` and ``error``: a client a partition with up to ``window`` calls open, each tried up to ``tries`` times.
 
-    Replies come in the order of the rows, and a slow one holds back only what is ``window`` calls behind it. A call that keeps failing, or
+    Replies come in the order of the rows, and a slow one holds back only its own thread until its Arrow batch ends. A call that keeps failing, or
     that has used up its ``budget`` of seconds, leaves a null reply and its last error, not an empty result. A client is called from several
-    threads; one that can't be takes ``window=1``.
+    threads; one that can't be takes ``window=1``. Only prompts become Python objects, the other columns stay in Arrow.
     """
     schema = T.StructType([*rows.schema.fields, T.StructField("reply", T.StringType()), T.StructField("error", T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = patient(model(), tries, pause, budget)
         with ThreadPoolExecutor(window) as pool:
-            for pdf in batches:
-                found = list(windowed(pdf[prompt], call, window, pool))
-                yield pdf.assign(reply=[r for r, _ in found], error=[e for _, e in found])
-
-    return rows.mapInPandas(run, schema)
+            for batch in batches:
+                texts = batch.column(prompt)
+                found = windowed(texts.to_pylist(), call, window, pool)
+                for i, name in enumerate(("reply", "error")):
+                    batch = batch.append_column(name, pa.array([f[i] for f in found], texts.type))
+                yield batch
+
+    return rows.mapInArrow(run, schema)
 
 
 def named_entities(text: Column) -> Column:

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions.scratch import scratch_path as _folder
 from ..operators import catalogue as C
 from ..operators import composed as P
+from ..operators import graph as G
 from ..operators import hooks as H
 from ..operators import relational as R
 from ..operators import search as S
@@ -353,12 +354,9 @@ def m18(spark, sf):
 
 @query("m19_typed_concepts", f"with {V.TRIPLES}, e as (select distinct head as src, tail as dst from triples), n as (select name, sum(o) as o, sum(i) as i from (select src as name, 1 as o, 0 as i from e union all select dst, 0, 1 from e) group by name) select name, split_part(name, ' ', 1) || ' with ' || (least(o, 3) + least(i, 3))::bigint as concept from n")
 def m19(spark, sf):
-    e = V.triples(spark, sf).select(F.col("head").alias("src"), F.col("tail").alias("dst")).distinct()
-    after = R.top_per_group(e, ["src"], [F.col("dst")], 3).select(F.col("src").alias("name"), F.col("dst").alias("near"))
-    before = R.top_per_group(e, ["dst"], [F.col("src")], 3).select(F.col("dst").alias("name"), F.col("src").alias("near"))
-    context = after.unionByName(before).groupBy("name").agg(F.array_join(F.array_sort(F.collect_list("near")), ", ").alias("context"), F.count("*").alias("n"))
-    prompt = H.render(F.lit("Name a concept for {name} ({context}).\n{kind} with {n}"), name=F.col("name"), context=F.col("context"), kind=F.substring_index("name", " ", 1), n=F.col("n"))
-    return H.generate(context.select("name", prompt.alias("prompt")), "prompt", lambda: H.stub_model).select("name", F.col("reply").alias("concept"))
+    near = G.first_neighbours(V.graph_edges(spark, sf), 3)
+    prompt = H.render(F.lit("Name a concept for {name} ({context}).\n{kind} with {n}"), name=F.col("name"), context=F.array_join("near", ", "), kind=F.substring_index("name", " ", 1), n=F.size("near"))
+    return H.generate(near.select("name", prompt.alias("prompt")), "prompt", lambda: H.stub_model).select("name", F.when(F.col("name").isNotNull(), F.col("reply")).alias("concept"))
 
 
 @query("m21_bundle_answers", "select c_custkey as qid, 'nation ' || c_nationkey as answer, 1.0::double as f1 from customer")

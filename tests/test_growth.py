@@ -378,3 +378,28 @@ def test_lexical_search_counts_only_ends_that_can_win(spark, monkeypatch):
         assert {(r.qid, r.rank, r.triple, r.overlap) for r in got.collect()} == {(q, i, t, o) for q, i, t, o in want}
         sizes = {n: df.count() for n, df in written}
         assert (sizes["lexical-edges"] < len(set(rows)) / 2) == (kinds > 0)
+
+
+def test_first_neighbours(spark):
+    """Both sides of a node by brute force: repeats, loops, hubs and names without edges one way."""
+    rows, edges = _random_edges(spark, 9)
+    rows += [("n1", "n1", "r"), ("n1", "n1", "again"), *[(f"m{i}", "hub", "r") for i in range(500)]]
+    edges = spark.createDataFrame(rows, "src string, dst string, relation string").repartition(5)
+    want = {x: sorted(sorted({b for a, b, _ in rows if a == x})[:3] + sorted({a for a, b, _ in rows if b == x})[:3]) for x in {n for r in rows for n in r[:2]}}
+    assert {r["name"]: r.near for r in G.first_neighbours(edges, 3).collect()} == want
+
+
+def test_typed_concepts_rank_both_sides_at_once(spark, tmp_path):
+    """One ranking of all ends, and the SQL's rows where foreign keys are null or point to one hub."""
+    import duckdb
+
+    from quernstone.plans import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    for t, change in {"nation": "", "customer": "", "orders": "replace (case when o_orderkey % 5 = 0 then null when o_orderkey % 3 = 0 then 1 else o_custkey end as o_custkey)", "lineitem": "replace (case when l_orderkey % 7 = 0 then null else l_partkey end as l_partkey)"}.items():
+        con.execute(f"copy (select * {change} from '/root/testdata/sf0.001/{t}.parquet') to '{tmp_path}/{t}.parquet' (format parquet)")
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    found = QUERIES["m19_typed_concepts"](spark, str(tmp_path))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+    by = lambda r: (r[0] or "", r[1] or "")
+    assert sorted([(r["name"], r.concept) for r in found.collect()], key=by) == sorted(con.sql(ORACLE_SQL["m19_typed_concepts"]).fetchall(), key=by)

@@ -188,3 +188,29 @@ def test_generate_runs_calls_side_by_side(spark):
     got = {r.id: (r.reply, r.error) for r in H.generate(rows, "prompt", client, tries=2).collect()}
     assert time.monotonic() - began < 2.5
     assert got == {i: (None, "RuntimeError: never") if i == 7 else (str(i)[::-1], None) for i in range(40)}
+
+
+def test_quick_calls_are_not_handed_over_one_by_one():
+    from concurrent.futures import ThreadPoolExecutor
+
+    class Counted(ThreadPoolExecutor):
+        handed = 0
+
+        def submit(self, *args, **more):
+            self.handed += 1
+            return super().submit(*args, **more)
+
+    with Counted(8) as pool:
+        assert list(H.windowed((f"a{i}" for i in range(1000)), str.upper, 8, pool)) == [f"A{i}" for i in range(1000)]
+        assert pool.handed <= 8
+        assert list(H.windowed([], str.upper, 8, pool)) == []
+
+
+def test_generate_leaves_other_columns_as_they_are(spark):
+    rows = spark.sql("select id, if(id % 3 = 0, null, id + 9007199254740993) as n, if(id = 4, null, concat('p', id)) as prompt, array(named_struct('a', id, 'b', date'1500-01-01')) as s, timestamp'2020-01-01 01:02:03' as t from range(40)")
+    found = H.generate(rows, "prompt", lambda: H.stub_model, tries=1)
+    assert found.drop("reply", "error").schema == rows.schema
+    assert sorted(found.drop("reply", "error").collect(), key=lambda r: r.id) == sorted(rows.collect(), key=lambda r: r.id)
+    assert {r.id: r.reply for r in found.collect()} == {i: None if i == 4 else f"p{i}" for i in range(40)}
+    assert [r.id for r in found.where("error is not null").collect()] == [4]
+    assert "MapInPandas" not in found._jdf.queryExecution().toString()
