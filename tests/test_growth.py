@@ -82,6 +82,19 @@ def test_build_shares_its_triples(spark):
     assert all("entity_relation_dict" not in made[t]._jdf.queryExecution().optimizedPlan().toString() for t in ("nodes", "edges", "mentions", "worklist"))
 
 
+def test_build_records_hold_whole_texts(spark, tmp_path):
+    """Every line of a text is in its record's triples as a whole, and every line but the first takes part in its event."""
+    from quernstone.plans.io_queries import _records
+
+    text = "one two three four\n\n five  six seven\nlast line of all\nend"
+    spark.createDataFrame([(1, text, "en", "web", len(text)), (2, "a single line", "en", "web", 13)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
+    r, single = _records(spark, f"file://{tmp_path}").orderBy("line").collect()
+    lines = ["one two three four", "five six seven", "last line of all", "end"]
+    assert [(t.Head, t.Tail) for t in r.entity_relation_dict] == list(zip(lines, lines[1:]))
+    assert [(e.Event, e.Entity) for e in r.event_entity_dict] == [(lines[0], lines[1:])]
+    assert single.entity_relation_dict == [] and [(e.Event, e.Entity) for e in single.event_entity_dict] == [("a single line", [])]
+
+
 def test_three_cycles_make_no_paths_between_hubs(spark):
     rows, edges = _random_edges(spark, 5)
     e = {(a, b) for a, b, _ in rows}
