@@ -137,13 +137,13 @@ def k14(spark, sf):
 
 @query("z4_restarted_buckets", BUCKETED)
 def z4(spark, sf):
-    """The same buckets from a stream of document files that is stopped half way and started again on its checkpoint."""
-    at = _folder(spark, "bucket-stream")
+    """The same buckets from a stream of document files that is stopped half way and started again on its checkpoint. A batch takes as many files as tasks run at once."""
+    at, files = _folder(spark, "bucket-stream"), max(1, spark.sparkContext.defaultParallelism)
     docs = table(spark, sf, "documents").select("doc_id", "text")
     halves = docs.withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
     for half in (0, 1):
         halves.where(F.col("half") == half).drop("half").write.mode("append").parquet(f"{at}/in")
-        grams = _grams_by_bucket(ingest.read_folder(spark, f"{at}/in", docs.schema, 1))
+        grams = _grams_by_bucket(ingest.read_folder(spark, f"{at}/in", docs.schema, files))
         buckets.stream_buckets(grams, f"{at}/out", f"{at}/checkpoint")
     return _bucket_totals(buckets.read_buckets(spark, f"{at}/out", grams.schema))
 

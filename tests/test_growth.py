@@ -117,6 +117,23 @@ def test_sketches_are_not_broadcast(spark, monkeypatch):
     assert len([n for n, p in plans if n == "reach"]) > 1 and not [n for n, p in plans if "BroadcastHashJoin" in p]
 
 
+def test_restarted_buckets_fill_every_core(spark, monkeypatch, tmp_path):
+    """A batch takes as many files as tasks run at once, not one after the other."""
+    from quernstone.plans import io_queries as Q
+
+    docs = [(i, " ".join(f"w{i % 9} x{j}" for j in range(20)), "en", "web", 9) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    df.repartition(6).write.option("parquet.block.size", 1024).parquet(f"file://{tmp_path}/documents.parquet")
+    batches, real = [], Q.buckets.stream_buckets
+    monkeypatch.setattr(Q.buckets, "stream_buckets", lambda stream, out, checkpoint: (real(stream, out, checkpoint), batches.append((out, checkpoint))))
+    got = Q.z4(spark, f"file://{tmp_path}").agg(F.sum("n")).first()[0]
+    assert got == 60 * 28
+    (out, checkpoint), = set(batches)
+    files = len(spark.read.parquet(f"{out.removesuffix('/out')}/in").inputFiles())
+    commits = spark.read.format("binaryFile").load(f"{checkpoint}/commits").count()
+    assert files > 4 and len(batches) == 2 and commits <= 2 * -(-files // 2 // spark.sparkContext.defaultParallelism)
+
+
 def test_bucket_totals_move_no_grams(spark):
     """Equal to distinct counts, null documents included; a gram is never copied for each of them."""
     from quernstone.plans.io_queries import _bucket_totals
