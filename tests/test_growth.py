@@ -117,6 +117,31 @@ def test_sketches_are_not_broadcast(spark, monkeypatch):
     assert len([n for n, p in plans if n == "reach"]) > 1 and not [n for n, p in plans if "BroadcastHashJoin" in p]
 
 
+def test_sketches_are_united_in_tasks(spark, monkeypatch):
+    """A round joins a node's sketch with its list of neighbours, never with a row an edge; unions are right where runs end in a batch or outgrow it."""
+    import pyarrow as pa
+
+    plans, real = [], H.cut
+    monkeypatch.setattr(H, "cut", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or real(df, name))
+    _, edges = _random_edges(spark, 9)
+    H.neighbourhood_function(edges)
+    rounds = [p for n, p in plans if n == "reach"][1:]
+    assert rounds and all("hll" not in p and "to#" in p and "MapInArrow" in p for p in rounds)
+    rng = np.random.default_rng(9)
+    sketches = rng.integers(0, 30, (500, 1 << H.REGISTERS)).astype(np.uint8)
+    ids = np.sort(np.append(rng.integers(0, 40, 200), [7] * 300))
+    starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    want = np.maximum.reduceat(sketches, starts)
+    assert (H._unions(sketches, starts) == want).all()
+    own = np.isin(np.arange(500), starts)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), H._sketch_column(sketches), pa.array(own)], ["u", "sketch", "own"])
+    monkeypatch.setattr(H, "UNITED", 16)
+    got = pa.Table.from_batches(H._united(iter([batch.slice(0, 111), batch.slice(111)])))
+    assert got["u"].to_pylist() == ids[starts].tolist()
+    assert (H._matrix(got["sketch"].combine_chunks()) == want).all()
+    assert got["grew"].to_pylist() == (want != sketches[starts]).any(axis=1).tolist()
+
+
 def test_restarted_buckets_fill_every_core(spark, monkeypatch, tmp_path):
     """A batch takes as many files as tasks run at once, not one after the other."""
     from quernstone.plans import io_queries as Q
