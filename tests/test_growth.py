@@ -1,5 +1,6 @@
 """Counts without their pairs, searches without their scores: the same results as brute force, and no rows that grow with the square."""
 
+import os
 from collections import Counter
 
 import numpy as np
@@ -107,6 +108,35 @@ def test_three_cycles_make_no_paths_between_hubs(spark):
     assert {r.length: r.cycles for r in H.simple_cycles(both, 3).collect()} == {1: 0, 2: 120_000, 3: 0}  # paths of two steps would be 180 million
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    """A cut's shuffle files go with it, and the setting that does it is left as it was; a discarded table's files go too."""
+    from quernstone.functions import scratch
+
+    jvm, before = spark._jvm.org.apache.spark.SparkEnv, spark.conf.get(scratch.CLEANUP, None)
+    held = lambda: jvm.get().mapOutputTracker().shuffleStatuses().size()
+    n = held()
+    table = scratch.cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "kept")
+    assert held() <= n and spark.conf.get(scratch.CLEANUP, None) == before
+    assert table.count() == 7
+    at = table.inputFiles()[0].removeprefix("file://")
+    scratch.discard(table)
+    assert not os.path.exists(at)
+
+
+def test_an_edge_moves_once_to_each_end(spark, monkeypatch):
+    """Triangles join half of what both directions are, and of the tables of a search for cycles one of the edges is left."""
+    plans, real = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df, name: plans.append((name, df)) or real(df, name))
+    rows, edges = _random_edges(spark, 12)
+    pairs = {(min(a, b), max(a, b)) for a, b, _ in rows if a != b}
+    assert sum(r.degree for r in G.triangles(edges).collect()) == 2 * len(pairs)
+    assert next(df.count() for name, df in plans if name == "simple-pairs") == len(pairs)
+    gone, real_discard = [], H.discard
+    monkeypatch.setattr(H, "discard", lambda table: gone.append(table.inputFiles()) or real_discard(table))
+    H.simple_cycles(edges, 3).collect()
+    assert gone and all(not os.path.exists(f.removeprefix("file://")) for files in gone for f in files)
+
+
 def test_sketches_are_not_broadcast(spark, monkeypatch):
     """However small their files, tables of sketches and of reached nodes are merged: the driver holds none."""
     plans, real = [], H.cut
