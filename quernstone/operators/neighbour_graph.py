@@ -21,6 +21,8 @@ RUN = 32
 SETTLED = 0.01
 #: Lists of neighbours that a task compares before it passes proposals on.
 LISTS = 128
+#: Bytes of questions' vectors that a round of a search sends to all tasks, and so through the driver; of more, they are shuffled.
+SENT = 32 << 20
 
 
 def _first_links(rows: DataFrame, dimensions: int, neighbours: int, orders: int, seed: int) -> DataFrame:
@@ -142,9 +144,11 @@ def search_graph(spark: SparkSession, folder: str, questions: DataFrame, k: int,
     All questions move together. A round opens the ``width`` best nodes of every question's beam that aren't open, scores their neighbours
     that the question hasn't met, and keeps the ``beam`` best; it ends when no beam has a node to open. A round is a
     written table of one row a question; what it looks up in the index are single rows by id. Questions are the stated side:
-    what they ask of a round is sent to the index's tasks where it is counted to be small, and shuffled by id otherwise.
+    what they ask of a round is sent to the index's tasks where it is counted to be at most SENT bytes, and shuffled by id otherwise.
     """
     nodes = spark.read.parquet(f"{folder}/nodes")
+    size = questions.select(F.size("query").alias("d")).first()
+    most = max(1, SENT // (8 * max((size.d if size else 0) or 0, 0) + 64))  # rows of a question's vector, its id and a node's
     beam = max(beam, k)
     starts = spark.read.parquet(f"{folder}/entries").agg(F.collect_set("id").alias("wanted"))
     state = questions.select("qid", F.transform("query", lambda x: x.cast("double")).alias("query")).join(F.broadcast(starts))  # one row of a few ids
@@ -152,7 +156,7 @@ def search_graph(spark: SparkSession, folder: str, questions: DataFrame, k: int,
     state = state.select("qid", "query", none.alias("pool"), F.array().cast(nodes.schema["neighbours"].dataType).alias("open"), F.col("wanted").alias("seen"), "wanted")
     for _ in range(rounds):
         asked = cut(state.select("qid", "query", F.explode("wanted").alias("id")), "graph-asked")
-        scored = few(asked).join(nodes, "id").groupBy("qid").agg(F.collect_list(F.struct(dot(F.col("v"), F.col("query")).alias("score"), F.col("id"))).alias("met"))
+        scored = few(asked, most).join(nodes, "id").groupBy("qid").agg(F.collect_list(F.struct(dot(F.col("v"), F.col("query")).alias("score"), F.col("id"))).alias("met"))
         pool = F.slice(F.sort_array(F.concat("pool", F.coalesce("met", none)), asc=False), 1, beam)
         state = state.join(scored, "qid", "left").select("qid", "query", "open", "seen", pool.alias("pool"))
         fresh = F.slice(F.array_except(F.transform("pool", lambda x: x["id"]), F.col("open")), 1, width)

@@ -189,6 +189,22 @@ def test_restarted_buckets_fill_every_core(spark, monkeypatch, tmp_path):
     assert files > 4 and len(batches) == 2 and commits <= 2 * -(-files // 2 // spark.sparkContext.defaultParallelism)
 
 
+def test_many_vectors_are_not_broadcast(spark, monkeypatch, tmp_path):
+    """What questions ask of a round is bounded in bytes, not rows, before it goes through the driver; results are the same."""
+    from quernstone.operators import neighbour_graph as NG
+
+    v = np.random.default_rng(11).standard_normal((300, 8))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
+    NG.save_graph(df, f"file://{tmp_path}/graph", neighbours=6)
+    want = NG.search_graph(spark, f"file://{tmp_path}/graph", asked, 3).collect()
+    bounds, real = [], NG.few
+    monkeypatch.setattr(NG, "few", lambda rows, most=1_000_000: bounds.append((rows.columns, most)) or real(rows, most))
+    monkeypatch.setattr(NG, "SENT", 4 * 128)
+    assert sorted(NG.search_graph(spark, f"file://{tmp_path}/graph", asked, 3).collect()) == sorted(want)
+    assert {most for columns, most in bounds if "query" in columns} == {4}
+
+
 def test_bucket_totals_move_no_grams(spark):
     """Equal to distinct counts, null documents included; a gram is never copied for each of them."""
     from quernstone.plans.io_queries import _bucket_totals
